@@ -3,23 +3,74 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runline.llm import packing
+from runline.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from runline.llm.scratch import Scratch
 
+#: The least score of the winning language; a text below it belongs to none of the languages learned.
+LEAST_LANGUAGE_SCORE = 0.3
+SECRET = "[secret]"
+
+
+def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents but those of `ids` (doc_id). The ids are written first: only if the table is small, it is broadcast."""
+    return docs.join(Scratch(spark, "dropped").stored(ids.distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those that resemble no language of the corpus."""
+    model = language_id.train(spark, docs, "doc_id", "lang", "text")
+    judged = language_id.language_id(spark, docs, model, keep=docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of near copies. Rows that repeat an id are one document: one stays."""
+    found = Scratch(spark, "groups").stored(ngram_join.ngram_join(spark, docs))
+    kept = found.where("doc_id = component_id").select("doc_id")
+    others = found.where("doc_id <> component_id").select("doc_id").join(kept, "doc_id", "left_anti")
+    left = _without(spark, docs, others)
+    again = Scratch(spark, "again").stored(kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    first = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(spark, left, again).unionByName(first.select(*docs.columns))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a benchmark passage."""
+    found = decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(spark, docs, found.where(F.size("hits") > 0).select("doc_id"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps all documents; each secret's text is replaced, and n_chars follows."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    cleaned = secret_scan.secret_spans(docs, secret_scan.train(docs), others, redact=SECRET).withColumnRenamed("redacted", "text")
+    kind = docs.schema["n_chars"].dataType
+    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, cut into sequences of 1024 tokens."""
     return packing.pack(spark, docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", no_benchmark),
+    ("secret scans", no_secrets),
+    ("packing", packed),
+]
 
-#: Tokens are out of reach of SQL.
+#: Trained models and token ids are out of reach of SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over sf_dir's documents, each written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
