@@ -77,7 +77,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "secret int, pair int, n long").groupBy("secret", "pair").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", smooth: float = 0.5) -> np.ndarray | None:
+def train(docs: DataFrame, text: str = "text", smooth: float = 0.5, backoff: float = 20.0) -> np.ndarray | None:
     """Log-likelihood ratio of each pair of characters; the table has 64**2 entries or so, whatever the corpus.
 
     None if the corpus has no labelled secret, then the models add nothing.
@@ -89,7 +89,11 @@ def train(docs: DataFrame, text: str = "text", smooth: float = 0.5) -> np.ndarra
         return None
     counts = counts.reshape(2, _SIZE, _SIZE)
     counts[0, 0, 0] = 0  # blanks between words
-    logs = np.log(counts + smooth) - np.log((counts + smooth).sum(axis=2, keepdims=True))
+    # A pair backs off to how frequent its second character is, so what a model has never seen stays unlikely in it.
+    single = counts.sum(axis=1) + smooth
+    single /= single.sum(axis=1, keepdims=True)
+    pairs = counts + backoff * single[:, None, :]
+    logs = np.log(pairs) - np.log(pairs.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
 

@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, a linear classifier on its posteriors.
 
-Voters are lexicon entries (a word is in the text) and patterns (a word begins or ends with a string). They are mined from a
+Voters are lexicon entries (a word is in the text) and patterns (words begin or end with a string), each at a few counts. They are mined from a
 bounded sample of labelled texts: greedily, each covers toxic texts that fewer voters cover yet, so a group of copies
 does not fill the list. The label model has for each voter its chance to vote on toxic and on clean texts, by expectation
 maximisation over labelled and unlabelled texts, and the correlation of voters within a class, which lowers the say of those
@@ -17,23 +17,25 @@ from pyspark.sql import functions as F
 from runline.llm import words as W
 
 #: Letters of patterns: word beginnings and ends of so many bytes.
-BEGINNINGS, ENDINGS = (4, 5, 6, 7), (5, 6)
+BEGINNINGS, ENDINGS = (4, 5, 6, 7, 8, 10), (5, 6)
+#: A voter votes more than once: if one, two, or four different words of a text have its trait.
+LEVELS = (1, 2, 4)
 #: Sample bounds (rows): toxic and clean labelled texts of which voters are mined, further texts for the label model.
 TOXIC_ROWS, CLEAN_ROWS, OTHER_ROWS = 2500, 12_000, 6_000
 MOST_VOTERS = 400
 
 
 def traits(data: np.ndarray, offsets: np.ndarray):
-    """(text number, trait) of words and word patterns; with repeats."""
+    """(text number, trait, word) of words and word patterns; with repeats."""
     low = W.LOWER[data]
     start, end, doc = W.word_spans(low, offsets, W.ALPHANUMERIC)
-    size = end - start
-    yield doc, W.word_hashes(low, start, end)
+    size, word = end - start, W.word_hashes(low, start, end)
+    yield doc, word, word
     for kind, lengths in ((1, BEGINNINGS), (2, ENDINGS)):
         for n in lengths:
             long = size > n
             a = start[long] if kind == 1 else end[long] - n
-            yield doc[long], W.mix(W.word_hashes(low, a, a + n) + np.uint64(64 * kind + n))
+            yield doc[long], W.mix(W.word_hashes(low, a, a + n) + np.uint64(64 * kind + n)), word[long]
 
 
 class Voters:
@@ -41,15 +43,24 @@ class Voters:
         self.order = np.argsort(keys)
         self.sorted = keys[self.order]
 
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, voter) of every different word with a voter's trait."""
+        found = []
+        for doc, key, word in traits(data, offsets):
+            at = np.searchsorted(self.sorted, key)
+            at[at == len(self.sorted)] = 0
+            hit = np.flatnonzero(self.sorted[at] == key)
+            found.append(np.stack([doc[hit], self.order[at[hit]], word[hit].view(np.int64)]))
+        rows = np.unique(np.hstack(found), axis=1)
+        return rows[0], rows[1]
+
     def votes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(offsets) - 1, len(self.sorted)), dtype=np.uint8)
-        if len(self.sorted):
-            for doc, key in traits(data, offsets):
-                at = np.searchsorted(self.sorted, key)
-                at[at == len(self.sorted)] = 0
-                hit = self.sorted[at] == key
-                out[doc[hit], self.order[at[hit]]] = 1
-        return out
+        n, k = len(offsets) - 1, len(self.sorted)
+        if not k:
+            return np.zeros((n, 0), dtype=np.uint8)
+        doc, voter = self.hits(data, offsets)
+        count = np.bincount(doc * k + voter, minlength=n * k).reshape(n, k)
+        return np.hstack([count >= level for level in LEVELS]).astype(np.uint8)
 
 
 def _traits_of(rows: DataFrame) -> list[np.ndarray]:
@@ -59,7 +70,7 @@ def _traits_of(rows: DataFrame) -> list[np.ndarray]:
         for batch in batches:
             for part, data, offsets in W.text_slices(batch, "text"):
                 pairs = list(traits(data, offsets))
-                doc, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                doc, key, _ = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
                 found = [np.unique(key[order[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -77,12 +88,9 @@ def _counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
         counts, n = np.zeros(len(sent.value) + 1, dtype=np.int64), 0
         for batch in batches:
             for part, data, offsets in W.text_slices(batch, "text"):
-                for doc, key in [tuple(np.concatenate(x) for x in zip(*traits(data, offsets), strict=True))]:
-                    at = np.searchsorted(voters.sorted, key)
-                    at[at == len(voters.sorted)] = 0
-                    hit = voters.sorted[at] == key
-                    pairs = np.unique(doc[hit].astype(np.int64) * len(voters.sorted) + voters.order[at[hit]])
-                    counts[:-1] += np.bincount(pairs % len(voters.sorted), minlength=len(voters.sorted))
+                k = len(voters.sorted)
+                doc, trait = voters.hits(data, offsets)
+                counts[:-1] += np.bincount(np.unique(doc * k + trait) % k, minlength=k)
                 n += part.num_rows
         counts[-1] = n
         full = np.flatnonzero(counts)
@@ -94,7 +102,7 @@ def _counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def mine(toxic: DataFrame, clean: DataFrame, most: int = MOST_VOTERS, cover: int = 4, ratio: float = 25.0) -> np.ndarray:
+def mine(toxic: DataFrame, clean: DataFrame, most: int = MOST_VOTERS, cover: int = 4, ratio: float = 6.0) -> np.ndarray:
     """Traits that are `ratio` times as frequent in toxic as in clean texts, chosen until toxic texts have `cover` each."""
     sets = _traits_of(toxic)
     if not sets:
@@ -141,25 +149,27 @@ def _vote_matrix(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["label", "votes"])
 
     got = rows.select("label", "text").mapInArrow(run, "label int, votes binary").collect()
-    votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[: len(keys)] for r in got], dtype=np.float64).reshape(len(got), len(keys))
+    votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8))[: len(keys) * len(LEVELS)] for r in got], dtype=np.float64).reshape(len(got), -1)
     return votes, np.array([r.label for r in got], dtype=np.int64)
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Posterior chance that each row is toxic. Labels start the estimate and are held; accuracies and correlations follow."""
-    toxic = np.where(labels >= 0, labels, votes.any(axis=1)).astype(float)
-    say = np.ones(votes.shape[1])
+    silent = ~votes.any(axis=1)
+    toxic = np.where(labels >= 0, labels, ~silent).astype(float)
     for _ in range(rounds):
         weight = np.stack([1 - toxic, toxic])
-        chance = (weight @ votes + 0.05) / (weight.sum(axis=1, keepdims=True) + 1.0)
+        total = weight.sum(axis=1, keepdims=True)
+        chance = (weight @ votes + np.array([[0.02], [0.1]])) / (total + 1.0)
+        none = (weight @ silent + 0.5) / (total[:, 0] + 1.0)
         prior = np.clip(toxic.mean(), 1e-3, 1 - 1e-3)
-        # Correlation within the classes: votes without what the class explains.
+        # Correlation within the classes: votes without what the class explains. Voters that repeat each other share one say.
         rest = votes - weight.T @ chance
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        alike = np.clip((rest / spread).T @ (rest / spread) / len(votes), 0, 1)
-        say = 1 / np.maximum(alike.sum(axis=1), 1)
-        odds = np.log(prior / (1 - prior))
-        odds = odds + votes @ (say * (np.log(chance[1]) - np.log(chance[0]))) + (1 - votes) @ (say * (np.log1p(-chance[1]) - np.log1p(-chance[0])))
+        alike = (rest / spread).T @ (rest / spread) / len(votes)
+        say = 1 / np.maximum((np.clip(alike - 0.3, 0, None) / 0.7).sum(axis=1), 1)
+        # A voter that abstains says nothing; only that all abstain does.
+        odds = np.log(prior / (1 - prior)) + votes @ (say * (np.log(chance[1]) - np.log(chance[0]))) + silent * np.log(none[1] / none[0])
         fresh = np.where(labels >= 0, labels, 1 / (1 + np.exp(-np.clip(odds, -40, 40))))
         done = np.abs(fresh - toxic).max() < 1e-6
         toxic = fresh
@@ -168,7 +178,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return toxic
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Weights and intercept by Newton steps; y: chances. Both classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1))])
     total = max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)

@@ -244,7 +244,7 @@ def test_cascade_is_exact(spark):
 
 def test_substring_dedup(spark):
     passage, other = sentence(60), sentence(55)
-    values = [sentence(30) + "\n" + passage + "\n" + sentence(25), passage, "x y\n" + edited(passage, 1), other + "\n" + other, sentence(80), None, "", "short\nshort", passage.upper()]
+    values = [sentence(30) + "\n" + passage + "\n" + sentence(25), passage, "x y\n" + edited(passage, 1), other + "\n" + other, sentence(80), None, "", "short\nshort", passage.replace("w", "W")]
     rows = substring_dedup.substring_dedup(spark, frame(spark, values)).orderBy("doc_id", "paragraph").collect()
     got = [(r.doc_id, r.paragraph, r.class_id, r.class_paragraph, r.removed) for r in rows]
     assert got == [(0, 1, 0, 1, False), (1, 0, 0, 1, True), (2, 1, 0, 1, True), (3, 0, 3, 0, False), (3, 1, 3, 0, True), (8, 0, 0, 1, True)]
