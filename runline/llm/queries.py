@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runline.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, substring_dedup, toxicity, training_order, url_filter
+from runline.llm.oracle import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +107,3 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_training_order": op10_training_order,
 }
-
-#: DuckDB SQL of those queries that SQL can express at a bearable cost.
-ORACLE_SQL: dict[str, str] = {}
