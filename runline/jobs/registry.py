@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from runline.jobs import stage_one, stage_two
+
 
 def queries() -> dict:
-    return {}
+    return {**stage_one.QUERIES, **stage_two.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**stage_one.ORACLE, **stage_two.ORACLE}
