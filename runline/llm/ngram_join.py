@@ -10,8 +10,9 @@ node when the n-grams that remain below it can't reach the overlap that their si
 2. A range counts in how many sets each n-gram is, and returns those of two sets or more to their chunks.
 3. A chunk gives each set's size, digest, shared n-grams in global order, and prefix.
 4. Equal sets count once (by digest). Under each node the sets are first compared with one of them, so a group of near
-   copies costs a row each, not a pair each; then only pairs between sets that aren't in one component yet are compared.
-5. Links are verified by the exact overlap, components are taken as soon as links are found.
+   copies costs a row each, not a pair each. Links are verified by the exact overlap, and components taken.
+5. What then lies outside a node's largest component is compared with all sets under the node: as pairs under small nodes; under
+   large ones block by block within tasks, by matrix products, which return one row per component that they join.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from runline.llm.scratch import Scratch, partitions
 #: Bits of an n-gram's hash. Unequal n-grams of one pair of texts of 500 words collide with a chance of 1e-9.
 BITS = 48
 _NO_ID = -(1 << 63)
-#: Rows of candidate pairs per prefix row up to which all open pairs are compared at once; above, one set per node and round.
-PAIRS_PER_ROW = 32
+#: Sets under a node up to which those of different components are paired; under larger nodes they meet in blocks.
+MOST_PAIRED = 32
+#: Sets of either side of a block, and n-grams that its product takes at once.
+BLOCK, COLUMNS = 256, 8192
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, kept: np.ndarray = W.BLANK_SEPARATED) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +143,57 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], ["a", "b", "n_a", "n_b", "overlap"])
 
 
+def _indicators(sets: list[np.ndarray], vocabulary: np.ndarray):
+    """Matrices of sets x n-grams, for so many columns at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    at = np.searchsorted(vocabulary, tokens)
+    at[at == len(vocabulary)] = 0
+    known = vocabulary[at] == tokens
+    row, at = row[known], at[known]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for low in range(0, len(vocabulary), COLUMNS):
+        part = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+        out = np.zeros((len(sets), min(COLUMNS, len(vocabulary) - low)), dtype=np.float32)
+        out[row[part], at[part] - low] = 1
+        yield out
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Which components of a block are linked: (a, b), b the smallest that a hangs together with."""
+        side = table["side"].to_numpy()
+        n, label = table["n"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(b, "<i8") for b in table["tokens"].to_pylist()]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        vocabulary = np.unique(np.concatenate([sets[k] for k in left]))
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+        for x, y in zip(_indicators([sets[k] for k in left], vocabulary), _indicators([sets[k] for k in right], vocabulary), strict=True):
+            overlap += x @ y.T
+        linked = (100 + percent) * overlap.astype(np.int64) >= percent * (n[left][:, None] + n[right][None, :])
+        names, at = np.unique(label, return_inverse=True)
+        best = np.arange(len(names))
+        while True:
+            own = best[at]
+            top = np.iinfo(np.int64).max
+            to_left = np.where(linked, own[right][None, :], top).min(axis=1)
+            to_right = np.where(linked, own[left][:, None], top).min(axis=0)
+            fresh = best.copy()
+            np.minimum.at(fresh, at[left], to_left)
+            np.minimum.at(fresh, at[right], to_right)
+            fresh = fresh[fresh]
+            if (fresh == best).all():
+                break
+            best = fresh
+        moved = np.flatnonzero(best != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[best[moved]]})
+
+    return run
+
+
 class _Search:
     """Links between the distinct sets of one run."""
 
@@ -178,28 +232,31 @@ class _Search:
         first = self.nodes.groupBy("token").agg(F.min(me).alias("x"), F.count("*").alias("k")).where("k > 1")
         row = [c("x.id").alias("x"), c("x.n").alias("n_x"), c("x.at").alias("at_x"), c("id").alias("y"), c("n").alias("n_y"), c("at").alias("at_y")]
         self.compare(self.nodes.join(first, "token").where("id <> x.id").select(*row))
-        done: DataFrame | None = None  # (token, id) that has met all others under its node
-        while True:
-            found = components(self.scratch, self.links)
-            rest = self.nodes if done is None else self.nodes.join(done, ["token", "id"], "left_anti")
-            rest = rest.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            rest = self.scratch.stored(rest)
-            each = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
-            open_ = each.groupBy("token").agg(F.sum("k").alias("k"), F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main"))
-            small = rest.join(open_.where("parts > 1"), "token").where("component <> main")
-            small = self.scratch.stored(small.select("token", "id", "n", "at", "component", "k"))
-            size = small.agg(F.sum("k")).first()[0] or 0
-            if not size:
-                return found
-            last = size <= PAIRS_PER_ROW * rest.count()
-            asked = small if last else small.groupBy("token").agg(F.min(F.struct("id", "n", "at", "component")).alias("s")).select("token", "s.*")
-            asked = asked.select("token", c("id").alias("x"), c("n").alias("n_x"), c("at").alias("at_x"), c("component").alias("component_x"))
-            pairs = rest.join(asked, "token").where("component <> component_x")
-            self.compare(pairs.select("x", "n_x", "at_x", c("id").alias("y"), c("n").alias("n_y"), c("at").alias("at_y")))
-            if last:
-                return components(self.scratch, self.links)
-            met = asked.select("token", c("x").alias("id"))
-            done = self.scratch.stored(met if done is None else done.unionByName(met))
+        found = components(self.scratch, self.links)
+        rest = self.nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = self.scratch.stored(rest)
+        each = rest.groupBy("token", "component").agg(F.count("*").alias("k"))
+        open_ = each.groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("k_main"), F.max_by("component", F.struct("k", "component")).alias("main"))
+        open_ = self.scratch.stored(open_.where("k > 2 and k > k_main"))  # under a node of two sets both have met
+        few, many = open_.where(c("k") <= MOST_PAIRED), open_.where(c("k") > MOST_PAIRED)
+        asked = rest.join(few, "token").where("component <> main")
+        asked = asked.select("token", c("id").alias("x"), c("n").alias("n_x"), c("at").alias("at_x"), c("component").alias("component_x"))
+        pairs = rest.join(asked, "token").where("component <> component_x")
+        self.compare(pairs.select("x", "n_x", "at_x", c("id").alias("y"), c("n").alias("n_y"), c("at").alias("at_y")))
+        if not many.isEmpty():
+            self.links = self.links.unionByName(self.scratch.stored(self.blocks(rest.join(many, "token"))))
+        return components(self.scratch, self.links)
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Links of components under large nodes: each block of the sets outside the largest one against each of all sets."""
+        c = F.col
+        full = rows.join(self.sets.select("id", "tokens"), "id")
+        full = full.withColumn("_i", F.ceil((c("k") - c("k_main")) / BLOCK).cast("int")).withColumn("_j", F.ceil(c("k") / BLOCK).cast("int"))
+        own, every = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), ["token", "i", "j", "side", "n", "component", "tokens"]
+        left = full.where("component <> main").withColumns({"i": (own % c("_i")).cast("int"), "side": F.lit(0)}).withColumn("j", F.explode(F.sequence(F.lit(0), c("_j") - 1)))
+        right = full.withColumns({"j": (own % c("_j")).cast("int"), "side": F.lit(1)}).withColumn("i", F.explode(F.sequence(F.lit(0), c("_i") - 1)))
+        both = left.select(*every).unionByName(right.select(*every))
+        return both.groupBy("token", "i", "j").applyInArrow(_block_links(self.percent), "a long, b long")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -56,10 +56,12 @@ def test_ngram_join_dense_groups(spark):
     assert got == brute.ngram_join(list(enumerate(values)))
 
 
-def test_ngram_join_one_set_per_node_and_round(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
+@pytest.mark.parametrize("block", [3, 16])
+def test_ngram_join_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "MOST_PAIRED", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     base = sentence(60)
-    values = [edited(base, RNG.randrange(4)) for _ in range(14)]
+    values = [edited(base, RNG.randrange(6)) for _ in range(40)] + [sentence(30) + " " + base for _ in range(10)]
     got = {tuple(r) for r in ngram_join.ngram_join(spark, frame(spark, values)).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == brute.ngram_join(list(enumerate(values)))
 
@@ -73,10 +75,12 @@ def test_ngram_join_odd_rows(spark):
 
 def test_components(spark):
     edges = [(RNG.randrange(80), RNG.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
-    got = dict(map(tuple, components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()))
     want = brute.groups({x for e in edges for x in e}, edges)
-    assert {n: c for n, c in want.items() if n in got} == got
-    assert all(want[n] == n for n in want if n not in got)
+    for most in (None, 0):
+        got = dict(map(tuple, components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), most).collect()))
+        assert {n: c for n, c in want.items() if n in got} == got
+        assert all(want[n] == n for n in want if n not in got)
+    assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_quality_counts(spark):
