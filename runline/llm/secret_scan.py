@@ -2,7 +2,8 @@
 
 Two first-order models over the bytes of a string, one of random strings and one of ordinary identifiers, are counted
 over the whole corpus: strings that the patterns label as secrets are the samples of the first, all other words
-those of the second. A candidate string is a secret if its log-likelihood ratio passes a threshold.
+those of the second, but for candidates: long strings of letters and digits that no pattern labels. A candidate
+is a secret if its log-likelihood ratio passes a threshold.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ KEYWORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 #: Bytes of a candidate string of the models; word characters of identifiers and of encoded keys.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(_ALPHABET) + 1  # 0 stands for the edge of a string
 _CODE = np.zeros(256, dtype=np.int64)
@@ -51,6 +53,11 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
     return np.bincount(codes[:-1] * _SIZE + codes[1:], minlength=_SIZE * _SIZE)
 
 
+def candidates(text: str) -> list[re.Match]:
+    """Long strings with letters and digits."""
+    return [m for m in CANDIDATE.finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
+
+
 def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts (secret, pair, n) of neighbouring characters over all texts: in labelled secrets and in all other words."""
 
@@ -58,11 +65,13 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         totals = np.zeros((2, _SIZE * _SIZE), dtype=np.int64)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            secrets = []
+            secrets, others = [], []
             for value in column:
                 t = value.as_py()
                 if t:
-                    secrets += [t[m[3] : m[2]] for m in base_spans(t)]
+                    spans = base_spans(t)
+                    secrets += [t[m[3] : m[2]] for m in spans]
+                    others += [m.group() for m in candidates(t) if not any(x[0] < m.end() and m.start() < x[2] for x in spans)]
                     raw = t.encode()
                     for low in range(0, len(raw), 1 << 22):  # every byte; a cut counts as one edge
                         codes = _CODE[np.frombuffer(b"\x00" + raw[low : low + (1 << 22)] + b"\x00", dtype=np.uint8)]
@@ -71,6 +80,8 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 own = _pairs(_codes(secrets)[0])
                 totals[1] += own
                 totals[0] -= own
+            if others:
+                totals[0] -= _pairs(_codes(others)[0])
         label, pair = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(totals[label, pair])], ["secret", "pair", "n"])
 
@@ -99,7 +110,7 @@ def train(docs: DataFrame, text: str = "text", smooth: float = 0.5, backoff: flo
 
 def model_spans(text: str, ratios: np.ndarray, threshold: float, taken: list) -> list[tuple[int, int, int]]:
     found = []
-    matches = [m for m in CANDIDATE.finditer(text)]
+    matches = candidates(text)
     if not matches:
         return found
     codes, lengths = _codes([m.group() for m in matches])
@@ -107,9 +118,8 @@ def model_spans(text: str, ratios: np.ndarray, threshold: float, taken: list) ->
     ends = np.cumsum(lengths)
     scores = sums[ends] - sums[ends - lengths]
     for m, score in zip(matches, scores, strict=True):
-        if score > threshold and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()):
-            if not any(a[0] < m.end() and m.start() < a[2] for a in taken):
-                found.append((m.start(), 3, m.end()))
+        if score > threshold and not any(a[0] < m.end() and m.start() < a[2] for a in taken):
+            found.append((m.start(), 3, m.end()))
     return found
 
 
