@@ -1,0 +1 @@
+"""Column expressions live beside the operators that use them."""

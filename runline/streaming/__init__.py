@@ -1,0 +1 @@
+"""Streaming forms: none of the operators needs one; sessions arrive as files."""
