@@ -76,7 +76,7 @@ def _traits_of(rows: DataFrame) -> list[np.ndarray]:
                 found = [np.unique(key[order[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["keys"])
 
-    return [np.frombuffer(b, np.uint64) for b in {r.keys: 0 for r in rows.mapInArrow(run, "keys binary").toLocalIterator()}]
+    return [np.frombuffer(b, np.uint64) for b in {r.keys: 0 for r in rows.repartition(16).mapInArrow(run, "keys binary").toLocalIterator()}]
 
 
 def _counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
