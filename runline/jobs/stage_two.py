@@ -46,7 +46,7 @@ def fixture(spark, sf_dir) -> DataFrame:
         return ((c("event_id") * k) % 100).cast("double") / F.lit(100.0) * F.lit(spread) + F.when(c("phase") == 2, high).otherwise(low)
 
     rows = rows.withColumns({"program": prob(37, 0.4, 0.45, 0.1), "physical": prob(53, 0.5, 0.35, 0.15)}).withColumn("program_physical", (c("program") + c("physical")) / 2)
-    return rows.withColumns({"tool_number": c("tool_number").cast("double"), "program_status": c("program_status").cast("double")})
+    return rows.withColumns({"tool_number": c("tool_number").cast("double"), "program_status": c("program_status").cast("double")}).persist()
 
 
 def lengths(rows: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def tracks(rows: DataFrame) -> DataFrame:
     """The global boundary signal and the support of every row."""
     program, physical = (boundary.branch_boundary_signal(rows, *BRANCHES[b], KEYS) for b in ("program", "physical"))
     both = boundary.global_boundary_signal(program, physical, KEYS)
-    return both.join(boundary.probability_support_track(rows, "program", "physical", "program_physical", KEYS), [K, "row_idx"])
+    return both.join(boundary.probability_support_track(rows, "program", "physical", "program_physical", KEYS), [K, "row_idx"]).persist()
 
 
 def branch_signal(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def branch_signal(rows: DataFrame) -> DataFrame:
         p = rows.select(K, "row_idx", F.round(temporal.smooth(b, W, KEYS), 9).alias("prob_s"))
         one = p.join(s, [K, "row_idx"]).withColumn("branch", F.lit(b))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.persist()
 
 
 def blobs(rows: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def blobs(rows: DataFrame) -> DataFrame:
     for b in BRANCHES:
         one = intervals.prob_to_blobs(rows, b, THRESHOLDS, KEYS, W, GAP, MIN_LEN).withColumn("branch", F.lit(b))
         out = one if out is None else out.unionByName(one)
-    return candidates.with_prior(out, prior_of(rows), KEYS)
+    return candidates.with_prior(out, prior_of(rows), KEYS).persist()
 
 
 def in_order(df: DataFrame) -> DataFrame:
@@ -169,15 +169,15 @@ def in_order(df: DataFrame) -> DataFrame:
 def pool(rows: DataFrame) -> DataFrame:
     """Uncut blobs as candidates."""
     scored = candidates.segment_confidence(blobs(rows), branch_signal(rows), [K, "branch"])
-    return in_order(scored.withColumn("center", (F.col("start") + F.col("end")) / 2))
+    return in_order(scored.withColumn("center", (F.col("start") + F.col("end")) / 2)).persist()
 
 
 def kept(rows: DataFrame) -> DataFrame:
-    return candidates.nms(candidates.candidate_nms_score(pool(rows), KEYS), KEYS, "nms_score", "ord")
+    return candidates.nms(candidates.candidate_nms_score(pool(rows), KEYS), KEYS, "nms_score", "ord").persist()
 
 
 def members(rows: DataFrame) -> DataFrame:
-    return clusters.cluster_candidates(kept(rows), KEYS)
+    return clusters.cluster_candidates(kept(rows), KEYS).persist()
 
 
 # ---- queries
@@ -271,7 +271,7 @@ def boundary_votes(spark, sf_dir):
 def voted(rows: DataFrame):
     own, n = members(rows), lengths(rows)
     votes = clusters.boundary_votes(own, n, KEYS)
-    return clusters.vote_boundaries(clusters.cluster_stats(own, KEYS), votes, tracks(rows), n, KEYS), votes, n
+    return clusters.vote_boundaries(clusters.cluster_stats(own, KEYS), votes, tracks(rows), n, KEYS).persist(), votes, n
 
 
 VOTED = f"""nv AS (SELECT {K}, cluster_id, row_idx, {norm('sv', f'{K}, cluster_id')} AS sv, {norm('ev', f'{K}, cluster_id')} AS ev FROM dv),
@@ -327,7 +327,7 @@ def cluster_features(spark, sf_dir):
 def refined(rows: DataFrame):
     found, votes, n = voted(rows)
     track = tracks(rows)
-    return clusters.refine_boundaries(found, track, n, KEYS, radius=10), votes, n, track
+    return clusters.refine_boundaries(found, track, n, KEYS, radius=10).persist(), votes, n, track
 
 
 @query()
