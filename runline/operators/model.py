@@ -121,12 +121,14 @@ def score_rows(rows: DataFrame, models: dict[tuple, LogReg], key_names: list[str
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*kinds, *[f"`{k}` {t}" for k, t in zip(key_names, key_types, strict=True)], "prob double"])
 
+    types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in key_types]
+
     def run(batches):
         for batch in batches:
             x = np.stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], axis=1) if names else np.zeros((batch.num_rows, 0))
             p = 1 / (1 + np.exp(-np.clip(x @ matrix + bias, -500, 500)))
             for k, key in enumerate(keys):
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([v] * batch.num_rows) for v in key], pa.array(p[:, k])], [*keep, *key_names, "prob"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([v] * batch.num_rows, t) for v, t in zip(key, types, strict=True)], pa.array(p[:, k])], [*keep, *key_names, "prob"])
 
     return rows.select(*keep, *names).mapInArrow(run, schema)
 

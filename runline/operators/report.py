@@ -29,11 +29,12 @@ def row_metrics(pred: DataFrame, gt: DataFrame, lengths: DataFrame, keys: list[s
 
 def row_auc(df: DataFrame, prob: str, label: str, keys: list[str]) -> DataFrame:
     """Exact area under the ROC curve with ties; null for one class. Equal probabilities are aggregated first."""
-    counts = df.groupBy(*keys, prob).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = counts.withColumn("a", F.col("p") * (below + F.col("n") / 2.0))
-    sums = area.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p") * F.col("n"))).alias("row_auc"))
+    c = F.col
+    counts = df.groupBy(*keys, c(prob).alias("_prob")).agg(F.sum((c(label) == 1).cast("long")).alias("_pos"), F.sum((c(label) != 1).cast("long")).alias("_neg"))
+    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*keys).orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = counts.withColumn("_area", c("_pos") * (below + c("_neg") / 2.0))
+    sums = area.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("_area", "_pos", "_neg")])
+    return sums.select(*keys, F.when((c("_pos") > 0) & (c("_neg") > 0), c("_area") / (c("_pos") * c("_neg"))).alias("row_auc"))
 
 
 def count_error(evaluated: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def read_files(spark: SparkSession, path: str, pattern: str = "Data_from_*.csv")
         raise FileNotFoundError(f"no file {pattern} in {path}")
     out = None
     for p in paths:
-        one = normalise_header(spark.read.option("header", True).csv(p)).withColumns({"file_name": F.col("_metadata.file_name"), "_at": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+        read = spark.read.option("header", True).csv(p)
+        one = normalise_header(read.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return row_index(out, ["file_name"], ["_at", "_id"]).drop("_at", "_id")
 
@@ -85,7 +86,7 @@ def parse_time(df: DataFrame, candidates: list[str] = TIME_COLUMNS, name: str =
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, partition_by: list[str] | None = None, kind: str = "parquet") -> None:
-    """Each table in a folder of its own; an empty one keeps its schema."""
+    """Each table in a folder of its own; an empty one keeps its schema, in a file without partitions."""
     for name, df in tables.items():
-        by = [c for c in partition_by or [] if c in df.columns]
+        by = [] if df.isEmpty() else [c for c in partition_by or [] if c in df.columns]
         df.write.mode("overwrite").partitionBy(*by).format(kind).options(**({"header": True} if kind == "csv" else {})).save(f"{path}/{name}")

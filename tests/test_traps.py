@@ -57,7 +57,7 @@ def test_absent_feature_and_constant(spark):
 
 
 def test_even_window(spark):
-    rows = series(spark, [1.0, 2, 3, 4, 5, 6])
+    rows = series(spark, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
     got = rows.select("row_idx", temporal.rolling_mean("v", 4, K).alias("m")).orderBy("row_idx").collect()
     assert [r.m for r in got] == [3 / 2, 6 / 3, 10 / 4, 14 / 4, 18 / 4, 15 / 3]
     assert series(spark, [7.0]).select(temporal.rolling_std("v", 5, K).alias("s")).first().s == 0.0
