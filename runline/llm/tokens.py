@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text encoded at once; a longer text alone.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _IRREGULAR = rf"\x20(?:[{_SPACE}]|\z)"
 
