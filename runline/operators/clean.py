@@ -78,16 +78,16 @@ def finite(c: Column) -> Column:
 
 
 def minmax_normalise(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    """Each column to 0..1 within its series; all 0 where it is constant. One row per series is joined back."""
+    """Each column to 0..1 within its series; all 0 where it is constant. A window by the series, so that it shares the
+    partitioning of the windows before and after it, and the plan does not double."""
+    series = Window.partitionBy(*keys)
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols})
-    ends = clean.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    joined = clean.join(ends, keys)
 
     def scaled(c: str) -> Column:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        lo, hi = F.min(c).over(series), F.max(c).over(series)
         return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
 
-    return joined.withColumns({c: scaled(c) for c in cols}).select(*df.columns)
+    return clean.withColumns({c: scaled(c) for c in cols})
 
 
 def session_profile(df: DataFrame, label: str, segments: DataFrame, keys: list[str]) -> DataFrame:
