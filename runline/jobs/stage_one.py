@@ -11,6 +11,7 @@ from runline.sources.machine_log import KEYS, SQL, machine_log
 
 # Parameters of the fixture: a tenth of the real ones, as its sessions are.
 W, THRESHOLD, GAP, MIN_LEN, GRID = 15, 0.5, 3, 4, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+MOST_ROWS = 800
 K = "session_id"
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -391,6 +392,7 @@ sample AS (SELECT test_session, {K}, row_idx, production FROM rk WHERE rn <= CAS
 
 
 def _small(log: DataFrame) -> DataFrame:
+    """The sessions of SMALL_FOLDS, for the two queries that are compared with its SQL."""
     return log.where(F.col(K) <= 4)
 
 
@@ -412,13 +414,14 @@ def standard_scaler(spark, sf_dir):
 
 def _training_rows(spark, sf_dir, features=("feed_rate", "spindle_speed", "raw_score")):
     log = machine_log(spark, sf_dir)
-    rows = temporal.temporal_features_sql(_small(log), list(features), [5], KEYS)
-    return log, _sample(log).join(rows, [K, "row_idx"]), [c for c in rows.columns if c not in (K, "row_idx")]
+    rows = temporal.temporal_features_sql(log, list(features), [5], KEYS)
+    sample = folds.balanced_sample(log, folds.loo_folds(log), "production", max_rows=MOST_ROWS)
+    return log, sample.join(rows, [K, "row_idx"]), [c for c in rows.columns if c not in (K, "row_idx")]
 
 
 @query()
 def train_logreg(spark, sf_dir):
-    """Weights per fold; SQL has no fit, tests compare with a plain Newton fit."""
+    """Weights per fold, over all sessions; SQL has no fit, tests compare with a plain Newton fit."""
     _, rows, names = _training_rows(spark, sf_dir)
     models = model.train_logreg(rows, names, ["test_session"], "production")
     entries = [F.struct(F.lit(k[0]).alias("test_session"), F.lit(f).alias("feature"), F.lit(float(w)).alias("weight")) for k, m in sorted(models.items()) for f, w in zip([*m.features, "intercept"], m.weights, strict=True)]
