@@ -37,9 +37,12 @@ M2 = f"""m2 AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY row_idx
 m3 AS (SELECT *, (program + physical) / 2 AS program_physical, count(*) OVER (PARTITION BY {K}) AS n_rows FROM m2)"""
 
 
-def fixture(spark, sf_dir) -> DataFrame:
+def fixture(spark, sf_dir, sessions: tuple[int, ...] | None = None) -> DataFrame:
+    """All sessions, or those given: SESSIONS in queries that are compared with SQL, which reads these alone."""
     c = F.col
-    log = machine_log(spark, sf_dir).where(c(K).isin(*SESSIONS))
+    log = machine_log(spark, sf_dir)
+    if sessions:
+        log = log.where(c(K).isin(*sessions))
     rows = clean.remove_production(log, [1, 2, 3, 4, 6], KEYS).withColumn("row_idx", c("removed_row"))
 
     def prob(k: int, spread: float, high: float, low: float):
@@ -185,7 +188,7 @@ def members(rows: DataFrame) -> DataFrame:
 
 @query(sql(SIGNALS, " UNION ALL ".join(f"SELECT {K}, row_idx, {r('boundary', 'boundary')}, '{b}' AS branch FROM {n}" for n, b in (("bp", "program"), ("bq", "physical"), ("bb", "program_physical")))))
 def branch_boundary_signal(spark, sf_dir):
-    rows, out = fixture(spark, sf_dir), None
+    rows, out = fixture(spark, sf_dir, SESSIONS), None
     for b, s in signals(rows).items():
         one = s.withColumn("branch", F.lit(b))
         out = one if out is None else out.unionByName(one)
@@ -194,13 +197,13 @@ def branch_boundary_signal(spark, sf_dir):
 
 @query(sql(SIGNALS, f"SELECT {K}, row_idx, {r('boundary', 'boundary')} FROM gs"))
 def global_boundary_signal(spark, sf_dir):
-    found = signals(fixture(spark, sf_dir))
+    found = signals(fixture(spark, sf_dir, SESSIONS))
     return boundary.global_boundary_signal(found["program"], found["physical"], KEYS)
 
 
 @query(sql(SUPPORT, f"SELECT {K}, row_idx, {r('support', 'support')} FROM tr"))
 def probability_support_track(spark, sf_dir):
-    return boundary.probability_support_track(fixture(spark, sf_dir), "program", "physical", "program_physical", KEYS)
+    return boundary.probability_support_track(fixture(spark, sf_dir, SESSIONS), "program", "physical", "program_physical", KEYS)
 
 
 @query()
@@ -224,7 +227,7 @@ def split_blob(spark, sf_dir):
 
 @query(sql(SIGNALS, PRIOR, POOL, f"SELECT {K}, branch, {r('threshold', 'threshold')}, s AS start, e AS \"end\", {r('confidence', 'confidence')} FROM pool"))
 def segment_confidence(spark, sf_dir):
-    return pool(fixture(spark, sf_dir)).select(K, "branch", "threshold", "start", "end", "confidence")
+    return pool(fixture(spark, sf_dir, SESSIONS)).select(K, "branch", "threshold", "start", "end", "confidence")
 
 
 @query()
@@ -235,23 +238,23 @@ def generate_candidates(spark, sf_dir):
 
 @query(sql(SIGNALS, PRIOR, POOL, f"SELECT {K}, ord, {r('confidence_norm', 'confidence_norm')}, {r('duration_fit', 'duration_fit')}, {r('nms_score', 'nms_score')} FROM nm"))
 def candidate_nms_score(spark, sf_dir):
-    return candidates.candidate_nms_score(pool(fixture(spark, sf_dir)), KEYS).select(K, "ord", "confidence_norm", "duration_fit", "nms_score")
+    return candidates.candidate_nms_score(pool(fixture(spark, sf_dir, SESSIONS)), KEYS).select(K, "ord", "confidence_norm", "duration_fit", "nms_score")
 
 
 @query(sql(SIGNALS, PRIOR, POOL, NMS, f"SELECT {K}, ord, branch, s AS start, e AS \"end\" FROM kept"))
 def nms(spark, sf_dir):
-    return kept(fixture(spark, sf_dir)).select(K, "ord", "branch", "start", "end")
+    return kept(fixture(spark, sf_dir, SESSIONS)).select(K, "ord", "branch", "start", "end")
 
 
 @query(sql(SIGNALS, PRIOR, POOL, NMS, f"SELECT a.{K}, n_before, n_after, n_program, n_physical, n_program_physical, {r('n_after / CAST(n_before AS DOUBLE)', 'keep_ratio')} FROM (SELECT {K}, count(*) AS n_before FROM nm GROUP BY {K}) a JOIN (SELECT {K}, count(*) AS n_after, count(*) FILTER (branch = 'program') AS n_program, count(*) FILTER (branch = 'physical') AS n_physical, count(*) FILTER (branch = 'program_physical') AS n_program_physical FROM kept GROUP BY {K}) b USING ({K})"))
 def nms_diagnostics(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     return candidates.nms_diagnostics(pool(rows), kept(rows), rows.select(K).distinct(), KEYS, list(BRANCHES))
 
 
 @query(sql(SIGNALS, PRIOR, POOL, NMS, CLUSTERS, f"SELECT {K}, ord, cluster_id FROM mb"))
 def cluster_candidates(spark, sf_dir):
-    return members(fixture(spark, sf_dir)).select(K, "ord", "cluster_id")
+    return members(fixture(spark, sf_dir, SESSIONS)).select(K, "ord", "cluster_id")
 
 
 STAT_COLUMNS = f"{K}, cluster_id, n_members, branches, branch_diversity, {r('center_mean', 'center_mean')}, start_median, end_median, {r('total_confidence', 'total_confidence')}, {r('mean_confidence', 'mean_confidence')}, {r('score', 'score')}"
@@ -259,12 +262,12 @@ STAT_COLUMNS = f"{K}, cluster_id, n_members, branches, branch_diversity, {r('cen
 
 @query(sql(SIGNALS, PRIOR, POOL, NMS, CLUSTERS, f"SELECT {STAT_COLUMNS} FROM cs2"))
 def cluster_stats(spark, sf_dir):
-    return clusters.cluster_stats(members(fixture(spark, sf_dir)), KEYS).drop(*candidates.PRIOR)
+    return clusters.cluster_stats(members(fixture(spark, sf_dir, SESSIONS)), KEYS).drop(*candidates.PRIOR)
 
 
 @query(sql(SIGNALS, PRIOR, POOL, NMS, CLUSTERS, VOTES, f"SELECT {K}, cluster_id, row_idx, {r('sv', 'start_votes')}, {r('ev', 'end_votes')} FROM dv WHERE sv > 0 OR ev > 0"))
 def boundary_votes(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     return clusters.boundary_votes(members(rows), lengths(rows), KEYS)
 
 
@@ -290,7 +293,7 @@ CHAIN = (SIGNALS, SUPPORT, PRIOR, POOL, NMS, CLUSTERS, VOTES, VOTED)
 
 @query(sql(*CHAIN, f"SELECT {K}, cluster_id, s AS start, e AS \"end\" FROM vb"))
 def vote_boundaries(spark, sf_dir):
-    return voted(fixture(spark, sf_dir))[0].select(K, "cluster_id", "start", "end")
+    return voted(fixture(spark, sf_dir, SESSIONS))[0].select(K, "cluster_id", "start", "end")
 
 
 def _h(p: str) -> str:
@@ -306,7 +309,7 @@ eg AS (SELECT {K}, cluster_id, CASE WHEN n < 3 OR n = ni THEN 0.0 ELSE greatest(
 
 @query(sql(*CHAIN, GAIN, f"SELECT {K}, cluster_id, {r('entropy_gain', 'entropy_gain')} FROM eg"))
 def entropy_gain(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     found, _, n = voted(rows)
     return clusters.entropy_gain(found, tracks(rows), n, KEYS).select(K, "cluster_id", "entropy_gain")
 
@@ -319,7 +322,7 @@ FEATURE_NAMES = ["duration_fit", "boundary_support", "internal_boundary", "prob_
 
 @query(sql(*CHAIN, GAIN, FEATURES, f"SELECT {K}, cluster_id, s AS start, e AS \"end\", length, {', '.join(r(x, x) for x in FEATURE_NAMES)} FROM fe"))
 def cluster_features(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     found, _, n = voted(rows)
     return clusters.cluster_features(found, tracks(rows), n, KEYS).select(K, "cluster_id", "start", "end", "length", *FEATURE_NAMES)
 
@@ -337,14 +340,14 @@ def refine_boundaries(spark, sf_dir):
 
 @query(sql(*CHAIN, f"""vt AS (SELECT {K}, row_idx, sum(greatest(1e-6, c.score) * (CAST(0.72 AS DOUBLE) * v.sv + CAST(0.28 AS DOUBLE) * g.boundary)) AS a, sum(greatest(1e-6, c.score) * (CAST(0.72 AS DOUBLE) * v.ev + CAST(0.28 AS DOUBLE) * g.boundary)) AS b FROM nv v JOIN gs g USING ({K}, row_idx) JOIN cs2 c USING ({K}, cluster_id) GROUP BY {K}, row_idx)""", f"SELECT {K}, row_idx, {r(norm('a'), 'start_vote')}, {r(norm('b'), 'end_vote')} FROM vt"))
 def vote_tracks(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     found, votes, n = voted(rows)
     return clusters.vote_tracks(votes, found, tracks(rows), n, KEYS)
 
 
 @query(sql(*CHAIN, GAIN, FEATURES, f"SELECT {K}, cluster_id, {r('c', 'cluster_score_norm')}, {r('g', 'entropy_gain_norm')}, {r('0.75::DOUBLE * c + 0.25::DOUBLE * g', 'rank_score')} FROM (SELECT {K}, cluster_id, {norm('score')} AS c, {norm('entropy_gain')} AS g FROM fe)"))
 def rank_clusters(spark, sf_dir):
-    rows = fixture(spark, sf_dir)
+    rows = fixture(spark, sf_dir, SESSIONS)
     found, _, n = voted(rows)
     ranked = clusters.rank_clusters(clusters.cluster_features(found, tracks(rows), n, KEYS), KEYS)
     return ranked.select(K, "cluster_id", "cluster_score_norm", "entropy_gain_norm", "rank_score")

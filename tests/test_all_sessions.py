@@ -1,6 +1,8 @@
 """Registered queries without SQL run over all sessions of the log."""
 
-from runline.jobs import stage_one
+import pytest
+
+from runline.jobs import stage_one, stage_two
 from runline.sources.machine_log import machine_log
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +12,11 @@ def test_models_of_all_sessions(spark):
     all_ = {r[0] for r in machine_log(spark, SF).select("session_id").distinct().collect()}
     rows = stage_one.QUERIES["train_logreg"](spark, SF).collect()
     assert {r.test_session for r in rows} == all_ and len(all_) == 30
+
+
+@pytest.mark.parametrize("name", ["generate_candidates", "split_blob"])
+def test_stage_two_of_all_sessions(spark, name):
+    rows = stage_two.fixture(spark, SF)
+    assert rows.select("session_id").distinct().count() == 30
+    found = {r[0] for r in stage_two.QUERIES[name](spark, "/root/testdata/sf0.01").select("session_id").distinct().collect()}
+    assert found == set(range(1, 31))
