@@ -4,22 +4,29 @@ A paragraph is a line. Equal paragraphs (by digest of their n-gram sets) count o
 signatures are cut into bands, tuned so that a pair at the threshold meets in some band almost surely; paragraphs that
 share a band are compared exactly, by the same search that joins n-gram sets (one row per paragraph and band first,
 then only pairs that no component holds together yet). One paragraph of each component stays.
+
+Lines alone miss a passage that runs over a line break, sits inside a longer line or is wrapped into short ones. Runs of
+words, whatever the lines, are therefore units too (`repeated_passages`): windows of 50 words are cut into chunks by
+content, by the least hash of the 25-word grams in them, so that equal windows lie in chunks of one hash wherever they
+stand. Chunks whose hash comes more than once are compared window by window, and windows grown to the exact spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runline.llm import words as W
 from runline.llm.ngram_join import _Search, set_digests, shingle_sets
-from runline.llm.scratch import Scratch
+from runline.llm.scratch import Scratch, partitions
 
 _LINE_END = 0x0A
 #: Bits of the sieve that lets pass the paragraphs whose sets are needed; sent to all tasks. Fuller, it lets more pass.
 SIEVE_BITS = 1 << 25
+#: Words of the grams whose least hash names a chunk of windows, and windows that a group of chunks holds on average.
+GRAM, GROUP = 25, 250_000
 
 
 def tune(percent: int, recall: float = 0.999, noise: float = 0.3, most_noise: float = 0.12) -> tuple[int, int]:
@@ -178,3 +185,144 @@ def substring_dedup(
         F.col("kept.paragraph").alias("class_paragraph"),
         ((F.col("id") != F.col("kept.id")) | (F.col("paragraph") != F.col("kept.paragraph"))).alias("removed"),
     )
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Windows of `size` words within a text: hash, text number, number of the first word, first and last byte; and where
+    the chunks begin, with the least gram's hash of each: windows in a row that have the same one."""
+    start, end, doc = W.word_spans(data, offsets, W.BLANK_SEPARATED)
+    n = max(0, len(start) - size + 1)
+    words = W.word_hashes(W.LOWER[data], start, end)
+    up, down = W.powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+
+    def grams(k: int) -> np.ndarray:
+        return W.mix((sums[k:] - sums[:-k]) * down[: len(sums) - k])
+
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :]) if n else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at, at, at, at, np.zeros(0, np.uint64)
+    gram = min(GRAM, size)
+    least, width, whole = grams(gram), 1, size - gram + 1
+    while width < whole:
+        step = min(width, whole - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    least, own = least[at], doc[at]
+    cut = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1]))))
+    first_word = np.searchsorted(doc, own)
+    return grams(size)[at], own, at - first_word, start[at] - offsets[own], end[at + size - 1] - offsets[own], cut, least[cut]
+
+
+def _chunk_names(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in W.text_slices(batch, "text"):
+                window, *_, cut, name = chunks(data, offsets, size)
+                length = np.diff(np.concatenate((cut, [len(window)])))
+                # A long chunk can repeat a window within itself.
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((name, name[length > size])).view(np.int64))], ["place"])
+
+    return docs.mapInArrow(run, "place long")
+
+
+_CHUNK = "id long, name long, first long, windows array<long>, starts array<int>, stops array<int>"
+
+
+def _wanted_chunks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """At least the chunks of `names`, with their windows."""
+    sent = docs.sparkSession.sparkContext.broadcast(_sieve(names))
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in W.text_slices(batch, "text"):
+                window, doc, word, low, high, cut, name = chunks(data, offsets, size)
+                kept = np.flatnonzero(_passes(sent.value, name))
+                if not len(kept):
+                    continue
+                length = np.diff(np.concatenate((cut, [len(window)])))[kept]
+                ends = np.concatenate(([0], np.cumsum(length)))
+                at = np.repeat(cut[kept] - ends[:-1], length) + np.arange(ends[-1])
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (window[at].view(np.int64), low[at].astype(np.int32), high[at].astype(np.int32))]
+                ids = part.column(0).to_numpy()[doc[cut[kept]]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[kept].view(np.int64)), pa.array(word[cut[kept]].astype(np.int64)), *lists], ["id", "name", "first", "windows", "starts", "stops"])
+
+    return docs.mapInArrow(run, _CHUNK)
+
+
+def _repeats(size: int):
+    """Runs of windows that come again, from all chunks of some names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        def flat(name):
+            return table.column(name).combine_chunks().flatten().to_numpy()
+
+        length = np.asarray(table.column("windows").combine_chunks().value_lengths())
+        row = np.repeat(np.arange(len(length)), length)
+        begin = np.cumsum(length) - length
+        ids, first = (table.column(c).to_numpy() for c in ("id", "first"))
+        word, owner, window = first[row] + np.arange(len(row)) - begin[row], ids[row], flat("windows")
+        order = np.lexsort((word, owner, window))
+        w, i, k = window[order], owner[order], word[order]
+        fresh = np.concatenate(([True], w[1:] != w[:-1]))
+        head = np.flatnonzero(fresh)
+        tail = np.concatenate((head[1:], [len(w)])) - 1
+        which = np.cumsum(fresh) - 1
+        twice = np.concatenate(([False], ~fresh[1:] & (i[1:] == i[:-1]) & (k[1:] == k[:-1])))  # rows that repeat an id
+        shared = (i[head] != i[tail]) | (k[tail] - k[head] >= size) | (np.bincount(which[twice], minlength=len(head)) > 0)
+        # Windows that overlap the first one of their own text are no copies of it.
+        kept = (i == i[head][which]) & (k - k[head][which] < size)
+        of, to = np.where(kept, i, i[head][which]), np.where(kept, 0, k[head][which] - k)
+        take = shared[which]
+        at = order[take]
+        back = np.argsort(at)
+        at, kept, of, to = at[back], kept[take][back], of[take][back], to[take][back]
+        new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (kept[1:] != kept[:-1]) | (of[1:] != of[:-1]) | (to[1:] != to[:-1])))[: len(at)]
+        a = np.flatnonzero(new)
+        b = np.concatenate((a[1:], [len(at)]))[: len(a)] - 1
+        return pa.table({
+            "id": owner[at[a]], "low": word[at[a]], "high": word[at[b]], "start": flat("starts")[at[a]].astype(np.int64), "stop": flat("stops")[at[b]].astype(np.int64),
+            "removed": ~kept[a], "class_id": of[a], "shift": to[a],
+        })
+
+    return run
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
+    """A row for every longest run of words whose windows of `size` words all come again, in another document or further on
+    in the same one: `id`, `paragraph` (number of its first word, from 0), `start` and `stop` (bytes of the text in UTF-8),
+    `n_words`, `class_id` and `class_paragraph` (document and first word of the copy that stays), `removed` (false for it).
+
+    A run ends where the copy that stays changes; runs can overlap by up to `size` - 1 words. Words are separated by
+    blanks and line ends alike, A-Z in lower case. What holds for nulls and repeated rows in `substring_dedup`, does here.
+    """
+    own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    scratch = Scratch(spark, "repeats")
+    names = _chunk_names(own, size).groupBy("place").agg(F.count("*").alias("k")).where("k > 1").select("place")
+    found = scratch.stored(_wanted_chunks(own, names, size))
+    n = found.agg(F.sum(F.size("windows"))).first()[0] or 0
+    groups = max(partitions(spark), -(-n // GROUP))
+    dealt = found.withColumn("bucket", F.pmod("name", F.lit(groups)))
+    runs = dealt.groupBy("bucket").applyInArrow(_repeats(size), "id long, low long, high long, start long, stop long, removed boolean, class_id long, shift long")
+    keys = ["id", "removed", "class_id", "shift"]
+    by = Window.partitionBy(*keys).orderBy("low", "high")
+    before = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    joined = runs.withColumn("new", F.coalesce((F.col("low") > before + 1).cast("int"), F.lit(1)))
+    joined = joined.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = joined.groupBy(*keys, "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.select(
+        F.col("id").alias(id),
+        F.col("low").alias("paragraph"),
+        "start",
+        "stop",
+        (F.col("high") - F.col("low") + size).alias("n_words"),
+        "class_id",
+        (F.col("low") + F.col("shift")).alias("class_paragraph"),
+        "removed",
+    )
+
+
+def line_and_passage_dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of `substring_dedup` (`unit` is line) and of `repeated_passages` (`unit` is passage)."""
+    lines = substring_dedup(spark, docs, id, text).withColumn("unit", F.lit("line"))
+    return lines.unionByName(repeated_passages(spark, docs, id, text).withColumn("unit", F.lit("passage")))

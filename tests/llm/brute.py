@@ -85,3 +85,19 @@ def secrets(text):
         if len(m[0]) >= 24:
             found.append((m.start(), 2, m.end()))
     return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
+
+
+def repeated_words(docs, size=50):
+    """Words of each document inside a window of `size` words that comes again, not overlapping in its own document."""
+    places = {}
+    for d, t in docs:
+        words = BLANK.findall((t or "").translate(UPPER))
+        for k in range(len(words) - size + 1):
+            places.setdefault(tuple(words[k : k + size]), []).append((d, k))
+    out = {}
+    for at in places.values():
+        (d, low), (e, high) = min(at), max(at)
+        if d != e or high - low >= size:
+            for x, k in at:
+                out.setdefault(x, set()).update(range(k, k + size))
+    return out
