@@ -52,7 +52,9 @@ class TestSet:
                 lengths.append(len(ids) - k)
                 owners.append(name)
                 full.append(size if len(ids) - k >= size else 0)
-        self.suffixes = rows
+        #: All items' words in one array: a suffix's number is where it begins; and its place within its item.
+        self.words = np.array([vocabulary[w] for x in words for w in x], np.int64)
+        self.offset = np.array([k for x in words for k in range(len(x))], np.int64)
         self.lengths, self.full = np.array(lengths, np.int64), np.array(full, np.int64)
         #: Equal windows are searched once; the items that have them are joined on afterwards.
         seen: dict[tuple, int] = {}
@@ -66,6 +68,19 @@ class TestSet:
                     self.windows.append(key)
                     self.owners.append(set())
                 self.owners[seen[key]].add(name)
+        self.window_of = np.array([seen[tuple(x[:m])] if m else -1 for x, m in zip(rows, full, strict=True)], np.int64)
+
+    def common(self, suffix: np.ndarray, padded: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """For each pair of a suffix and a place, of which the first `known` words are equal: how many are."""
+        equal, open_ = known.copy(), np.arange(len(suffix))
+        while len(open_):
+            k = equal[open_]
+            inside = k < self.lengths[suffix[open_]]
+            open_, k = open_[inside], k[inside]
+            same = self.words[suffix[open_] + k] == padded[places[open_] + k]
+            open_ = open_[same]
+            equal[open_] += 1
+        return equal
 
     def matrix(self, rows, width: int) -> np.ndarray:
         out = np.full((len(rows), width), -1, dtype=np.int64)
@@ -154,20 +169,40 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
         word = length = number = nothing
     first_word = np.cumsum(n_words) - n_words
     hits = (doc[word], word - first_word[doc[word]], length, number)
-    # Longest matches: the neighbours of a suffix's place share the most words with it.
+    # Longest matches: all places that share a suffix's window, each with the words it shares with the suffix.
     asked = np.flatnonzero(test.full > 0) if len(word) else nothing
-    queries = test.matrix([test.suffixes[k] for k in asked], width) if len(asked) else np.zeros((0, width), np.int64)
-    spot = search(padded, order, queries, test.lengths[asked], after=False)
-    best, where = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
-    for side in (spot - 1, spot):
-        ok = (side >= 0) & (side < len(order))
-        places = order[np.clip(side, 0, len(order) - 1)]
-        equal = (padded[places[:, None] + np.arange(width)] == queries).cumprod(axis=1).sum(axis=1) * ok
-        better = equal > best
-        best[better], where[better] = equal[better], places[better]
-    long = best >= np.maximum(test.full[asked], 1)
-    word = origin[where[long]]
-    return n_words, hits, (asked[long], doc[word], word - first_word[doc[word]], best[long])
+    asked = asked[(high > low)[test.window_of[asked]]]
+    spot = test.window_of[asked]
+    count = high[spot] - low[spot]
+    best = [(nothing, nothing, nothing, nothing)]
+    for at in _portions(count):
+        which = np.repeat(at, count[at])
+        begin = np.cumsum(count[at]) - count[at]
+        places = order[np.repeat(low[spot[at]] - begin, count[at]) + np.arange(len(which))]
+        suffix = asked[which]
+        # A pair that goes on to the left is part of a longer match.
+        alone = (test.offset[suffix] == 0) | (places == 0) | (test.words[suffix - 1] != padded[places - 1])
+        which, places, suffix = which[alone], places[alone], suffix[alone]
+        if not len(which):
+            continue
+        equal = test.common(suffix, padded, places, lengths[spot[which]])
+        word = origin[places]
+        found_in = doc[word]
+        # One row a document: its longest match, the first of equal ones.
+        top = np.lexsort((word, -equal, found_in))
+        top = top[np.concatenate(([True], found_in[top][1:] != found_in[top][:-1]))]
+        best.append((suffix[top], found_in[top], (word - first_word[found_in])[top], equal[top]))
+    return n_words, hits, tuple(np.concatenate(x) for x in zip(*best, strict=True))
+
+
+def _portions(count: np.ndarray, most: int = 1 << 20):
+    """Numbers of suffixes, in portions of about `most` places together."""
+    if not len(count):
+        return
+    total = np.cumsum(count) // most
+    cuts = np.flatnonzero(np.concatenate(([True], total[1:] != total[:-1])))
+    for a, b in zip(cuts, [*cuts[1:], len(count)], strict=True):
+        yield np.arange(a, b)
 
 
 def _block(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
@@ -217,8 +252,8 @@ def decontaminate(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Per document: `n_words`; `hits`, disjoint runs (first, size) of words inside an occurrence of a window;
-    `items`, the ids (as text, sorted) of items with an occurrence; `longest`, the longest verbatim match met at a
-    neighbour in the suffix array (words; 0: none), with its first word `longest_at`.
+    `items`, the ids (as text, sorted) of items with an occurrence; `longest`, the document's longest verbatim
+    match of a window or more (words; 0: none), with its first word `longest_at`, the first of equally long ones.
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null or empty texts have
     no words. An empty benchmark hits nothing. Repeated rows are judged one by one, unless the benchmark needs more
