@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runline.llm import words as W
+from runline.llm.scratch import Scratch
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Characters of test items that are sent to the executors at once.
@@ -40,35 +41,33 @@ class TestSet:
         hashes = W.word_hashes(data, start, end)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], np.arange(1, len(spelled) + 1, dtype=np.int64)[order]
-        self.longest = max((len(x) for x in words), default=0)
         self.shortest = min((min(len(x), window) for x in words if x), default=0)
-        #: Suffixes: one row each, padded by -1, which no word has.
-        rows, lengths, owners, full = [], [], [], []
-        for (name, _), x in zip(items, words, strict=True):
-            ids = [vocabulary[w] for w in x]
-            size = min(len(ids), window)
-            for k in range(len(ids)):
-                rows.append(ids[k:])
-                lengths.append(len(ids) - k)
-                owners.append(name)
-                full.append(size if len(ids) - k >= size else 0)
+        # Of a suffix only its length and its window are kept.
+        lengths, full, window_of = [], [], []
         #: All items' words in one array: a suffix's number is where it begins; and its place within its item.
         self.words = np.array([vocabulary[w] for x in words for w in x], np.int64)
         self.offset = np.array([k for x in words for k in range(len(x))], np.int64)
-        self.lengths, self.full = np.array(lengths, np.int64), np.array(full, np.int64)
         #: Equal windows are searched once; the items that have them are joined on afterwards.
         seen: dict[tuple, int] = {}
         self.windows: list[tuple] = []
         self.owners: list[set] = []
-        for ids, name, size in zip(rows, owners, full, strict=True):
-            if size:
-                key = tuple(ids[:size])
-                if key not in seen:
-                    seen[key] = len(self.windows)
-                    self.windows.append(key)
-                    self.owners.append(set())
-                self.owners[seen[key]].add(name)
-        self.window_of = np.array([seen[tuple(x[:m])] if m else -1 for x, m in zip(rows, full, strict=True)], np.int64)
+        for (name, _), x in zip(items, words, strict=True):
+            ids = [vocabulary[w] for w in x]
+            size = min(len(ids), window)
+            for k in range(len(ids)):
+                whole = len(ids) - k >= size
+                lengths.append(len(ids) - k)
+                full.append(size if whole else 0)
+                window_of.append(-1)
+                if whole:
+                    key = tuple(ids[k : k + size])
+                    if key not in seen:
+                        seen[key] = len(self.windows)
+                        self.windows.append(key)
+                        self.owners.append(set())
+                    window_of[-1] = seen[key]
+                    self.owners[seen[key]].add(name)
+        self.lengths, self.full, self.window_of = (np.array(x, np.int64) for x in (lengths, full, window_of))
 
     def common(self, suffix: np.ndarray, padded: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
         """For each pair of a suffix and a place, of which the first `known` words are equal: how many are."""
@@ -151,10 +150,9 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
     run = np.searchsorted(begin, place, side="right") - 1
     origin = cut[run] + place - begin[run]  # the word of the shard at each place
     joined = np.where(place - begin[run] < size[run], ids[np.minimum(origin, len(ids) - 1)], 0)
-    order = suffix_array(joined, max(test.longest, test.window))
+    order = suffix_array(joined, test.window)
     order = order[joined[order] > 0]
-    width = max(test.longest, test.window)
-    padded = np.concatenate((joined, np.zeros(width, np.int64)))
+    padded = np.concatenate((joined, np.zeros(test.window, np.int64)))  # no match goes on over a 0
     found = []
     lengths = np.array([len(x) for x in test.windows], np.int64)
     queries = test.matrix(test.windows, int(lengths.max()))
@@ -206,10 +204,12 @@ def _portions(count: np.ndarray, most: int = 1 << 20):
 
 
 def _block(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
+    """`docs` has keys (long) and, as the last column, the text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(TestSet(items, window))  # at most BLOCK_CHARS of text
+    keys = docs.columns[:-1]
     schema = pa.schema([
-        ("id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))),
+        *[(k, pa.int64()) for k in keys], ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))),
         ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64()),
     ])
 
@@ -234,11 +234,11 @@ def _block(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
                     if m > longest[d]:
                         longest[d], longest_at[d] = m, a
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words.astype(np.int64)), pa.array(hits, schema.field("hits").type), pa.array([sorted(x) for x in items], schema.field("items").type), pa.array(longest), pa.array(longest_at)],
+                    [*part.columns[:-1], pa.array(n_words.astype(np.int64)), pa.array(hits, schema.field("hits").type), pa.array([sorted(x) for x in items], schema.field("items").type), pa.array(longest), pa.array(longest_at)],
                     schema=schema,
                 )
 
-    return docs.mapInArrow(run, "id long, n_words long, hits array<struct<first:long,size:long>>, items array<string>, longest long, longest_at long")
+    return docs.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", n_words long, hits array<struct<first:long,size:long>>, items array<string>, longest long, longest_at long")
 
 
 def decontaminate(
@@ -256,8 +256,8 @@ def decontaminate(
     match of a window or more (words; 0: none), with its first word `longest_at`, the first of equally long ones.
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null or empty texts have
-    no words. An empty benchmark hits nothing. Repeated rows are judged one by one, unless the benchmark needs more
-    than one block: then rows of one id count as one document. Other columns are not read.
+    no words. An empty benchmark hits nothing. Rows are judged one by one, also those that repeat an id or
+    have none. Other columns are not read.
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     test = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
@@ -265,16 +265,19 @@ def decontaminate(
     blocks = max(1, -(-int(chars * 1.5) // block_chars)) if chars > block_chars else 1
     if blocks == 1:
         return _block(own, [tuple(r) for r in test.collect()], window).withColumnRenamed("id", id)  # checked: at most block_chars
+    # Rows are numbered, and written with their numbers, so that every block sees the same ones.
+    own = Scratch(spark, "numbered").stored(own.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
     out = None
     for k in range(blocks):
         rows = test.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         one = _block(own, [tuple(r) for r in rows], window)
         out = one if out is None else out.unionByName(one)
-    merged = out.groupBy("id").agg(
+    merged = out.groupBy("row").agg(
+        F.first("id").alias("id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max(F.struct("longest", "longest_at")).alias("best"),
+        F.max(F.struct("longest", (-F.col("longest_at")).alias("before"))).alias("best"),
     )  # a row per block
     empty = F.array().cast("array<struct<first:long,size:long>>")
 
@@ -286,5 +289,5 @@ def decontaminate(
 
     return merged.select(
         F.col("id").alias(id), "n_words", F.aggregate("hits", empty, join_runs).alias("hits"), "items",
-        F.col("best.longest").alias("longest"), F.col("best.longest_at").alias("longest_at"),
+        F.col("best.longest").alias("longest"), (-F.col("best.before")).alias("longest_at"),
     )
