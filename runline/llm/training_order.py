@@ -1,7 +1,8 @@
-"""Token ids on disk in training order: shards of a fixed stride, read one after the other, from any slot on.
+"""Token ids in training order: sequences of a fixed stride, read one after the other, from any slot on.
 
 A keyed Feistel permutation with cycle-walking gives every sequence a slot in 0..N-1 without sorting or storing the
-order. Slots are dealt by range to partitions, so each partition writes whole shards, in order.
+order. Slots are dealt by range to partitions, so each partition writes whole shards, in order:
+as Parquet rows. `position` is the byte that a sequence would have in a file of its shard's payloads alone.
 """
 
 from __future__ import annotations

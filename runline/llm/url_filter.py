@@ -135,8 +135,8 @@ def url_filter(
     without `://`, have empty host and path and no rule. Repeated pages give repeated rows; no rules, or no pages,
     give `default` throughout, or an empty table. Other columns are not read.
 
-    Two cascades are built, of all rules and of those that block. With more keys than fit `most_bits`, rules are dealt
-    by hash into groups with cascades of their own, each one scan; the results meet in one pass, as a rule's key names its group.
+    Two cascades are built, of all rules and of those that block. More keys than fit `most_bits`, or more than
+    `most_shapes` shapes, are refused (ValueError).
     """
     listed = rules.select((F.concat(F.translate("host", UPPER, LOWER), F.col("path"))).alias("key"), F.translate("host", UPPER, LOWER).alias("host"), "path", "action")
     listed = listed.where("key is not null and host <> ''")
