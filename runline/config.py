@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Sensor groups, in natural order.
 STATIC = ["CabinDoorLockFront", "CabinDoorLockSide", "DNCMode", "ChipCleaningGunStatus", "OverrideSpindle", "SpindleApproval", "RapidTraverseKey", "Warmup"]
 PROGRAM = ["ProgramStatus", "ProgramDetail", "ToolNumber", "DriveStatus", "DoorStatusMain"]
 PHYSICAL = ["CoolantFlow", "OverrideFeed", "FeedRate", "SpindleSpeed", "SpindleCleaning"]
+#: Experiments of stage one: the sensors that each reads.
+EXPERIMENTS = {
+    "EXP01_all": STATIC + PROGRAM + PHYSICAL,
+    "EXP02_static_only": STATIC,
+    "EXP03_program_only": PROGRAM,
+    "EXP04_physical_only": PHYSICAL,
+    "EXP05_static_program": STATIC + PROGRAM,
+    "EXP06_static_physical": STATIC + PHYSICAL,
+    "EXP07_program_physical": PROGRAM + PHYSICAL,
+}
+#: Branches of stage two: sensors and the weight of jumps in the boundary signal.
+BRANCHES = {"program": (PROGRAM, 0.65), "physical": (PHYSICAL, 0.25), "program_physical": (PROGRAM + PHYSICAL, 0.45)}
 TIME_COLUMNS = ["TIME_IN_MS", "DateTime", "Timestamp", "Time", "time", "Datetime", "timestamp"]
 SESSION_FILES = {"data_from_2021-11-26.csv": 1, "data_from_2021-12-07.csv": 2, "data_from_2022-04.csv": 13}
 
@@ -35,17 +47,15 @@ class Stage2:
     windows: tuple = (15, 51)
     valid_phases: tuple = (1, 2, 3, 4, 6)
     target_phase: int = 2
+    max_train_rows: int | None = None
     smooth: int = 51
     merge_gap: int = 40
     min_len: int = 20
     blob_thresholds: tuple = (0.50, 0.35)
     peak_quantile: float = 0.88
     max_splits: int = 30
-    split_points: int = 90
-    min_split_score: float = 0.40
     nms_iou: float = 0.88
     select_iou: float = 0.55
     backfill_iou: float = 0.75
     refine_radius: int = 50
-    jump_weight: dict = field(default_factory=lambda: {"program": 0.65, "physical": 0.25, "program_physical": 0.45})
     empty_iou: float | None = None

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runline.config import Stage1
+from runline.jobs import workflows
 from runline.operators import clean, folds, intervals, matching, model, report, temporal, thresholds
 from runline.sources import sessions
 from runline.sources.machine_log import KEYS, SQL, machine_log
+from runline.sources.scratch import Scratch
 
 # Parameters of the fixture: a tenth of the real ones, as its sessions are.
 W, THRESHOLD, GAP, MIN_LEN, GRID = 15, 0.5, 3, 4, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
@@ -110,13 +113,13 @@ def sides(spark: SparkSession, sf_dir: str):
 
 # ---- sources
 
-NAMES = "CASE n_nationkey % 5 WHEN 0 THEN concat('Data_from_session_', n_nationkey, '.csv') WHEN 1 THEN concat('DATA_FROM_S-', n_nationkey % 3, '.csv') WHEN 2 THEN 'data_from_2021-12-07.csv' WHEN 3 THEN concat('x_sess ', n_nationkey, '.CSV') ELSE 'data_from_2022-04.csv' END"
+NAMES = "CASE event_id % 5 WHEN 0 THEN concat('Data_from_session_', event_id, '.csv') WHEN 1 THEN concat('DATA_FROM_S-', event_id % 3, '.csv') WHEN 2 THEN 'data_from_2021-12-07.csv' WHEN 3 THEN concat('x_sess ', event_id, '.CSV') ELSE 'data_from_2022-04.csv' END"
 
 
 @query(f"""SELECT session_id, max(f) AS file_name FROM (SELECT f, CASE lower(f) WHEN 'data_from_2021-11-26.csv' THEN 1 WHEN 'data_from_2021-12-07.csv' THEN 2 WHEN 'data_from_2022-04.csv' THEN 13
- ELSE TRY_CAST(regexp_extract(lower(f), '(session|sess|s)[_\\- ]*(1|2|13)\\b', 2) AS INTEGER) END AS session_id FROM (SELECT {NAMES} AS f FROM nation)) WHERE session_id IN (1, 2, 13) GROUP BY session_id""")
+ ELSE TRY_CAST(regexp_extract(lower(f), '(session|sess|s)[_\\- ]*(1|2|13)\\b', 2) AS INTEGER) END AS session_id FROM (SELECT {NAMES} AS f FROM events)) WHERE session_id IN (1, 2, 13) GROUP BY session_id""")
 def session_from_filename(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.expr(NAMES).alias("file_name"))
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(NAMES).alias("file_name"))
     return sessions.session_from_filename(names, [1, 2, 13])
 
 
@@ -133,6 +136,42 @@ def parse_time(spark, sf_dir):
     return sessions.parse_time(rows).select("event_id", F.unix_micros("ts").alias("micros"))
 
 
+def _session_files(spark, sf_dir) -> str:
+    """The log as one CSV file per session, in order of rows, with blanks around a column's name."""
+    log = machine_log(spark, sf_dir).select(K, "row_idx", "feed_rate", "tool_number")
+    path = Scratch(spark, "files").path()
+    n = log.agg(F.max(K)).first()[0] or 1
+    one_each = log.repartitionById(n, F.col(K) - 1).sortWithinPartitions("row_idx").select(F.col(K).alias("day"), F.col("row_idx").alias("place"), F.col("feed_rate").alias("  feed_rate "), "tool_number")
+    one_each.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+FILES_SQL = sql(f"SELECT {K}, row_idx, CAST({K} AS BIGINT) AS day, row_idx AS place, {r('feed_rate', 'feed_rate')}, tool_number FROM ml")
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(K, "row_idx", F.col("day").cast("long").alias("day"), F.col("place").cast("long").alias("place"), F.col("feed_rate").cast("double").alias("feed_rate"), F.col("tool_number").cast("int").alias("tool_number"))
+
+
+@query(FILES_SQL)
+def read_sessions(spark, sf_dir):
+    return _typed(sessions.read_sessions(spark, _session_files(spark, sf_dir), "part-*.csv"))
+
+
+@query(FILES_SQL)
+def normalise_header(spark, sf_dir):
+    rows = spark.read.option("header", True).csv(_session_files(spark, sf_dir))
+    named = sessions.require_columns(sessions.normalise_header(rows), ["day", "place", "feed_rate", "tool_number"])
+    return _typed(named.withColumns({K: F.col("day").cast("int"), "row_idx": F.col("place").cast("long")}))
+
+
+@query(sql(f"SELECT {K}, count(*) AS n, {r('sum(feed_rate)', 'total')} FROM ml GROUP BY {K}"))
+def write_tables(spark, sf_dir):
+    path = Scratch(spark, "tables").path()
+    sessions.write_tables({"log": machine_log(spark, sf_dir).select(K, "row_idx", "feed_rate")}, path, [K])
+    return spark.read.parquet(f"{path}/log").groupBy(K).agg(F.count("*").alias("n"), F.sum("feed_rate").alias("total"))
+
+
 # ---- cleaning
 
 CLEAN = f"""num AS (SELECT {K}, row_idx, CASE WHEN isfinite(TRY_CAST(coolant_flow AS DOUBLE)) THEN TRY_CAST(coolant_flow AS DOUBLE) END AS v FROM ml),
@@ -142,7 +181,7 @@ cl AS (SELECT {K}, row_idx, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION
 
 @query(sql(CLEAN, f"SELECT {K}, row_idx, {r('v', 'coolant_flow')} FROM cl"))
 def clean_numeric(spark, sf_dir):
-    return clean.clean_numeric(machine_log(spark, sf_dir).select(K, "row_idx", "coolant_flow"), ["coolant_flow"], KEYS)
+    return clean.clean_numeric(machine_log(spark, sf_dir).select(K, "row_idx", "coolant_flow"), ["coolant_flow"], KEYS, block=None)
 
 
 @query(sql(CLEAN, f"SELECT {K}, row_idx, {r('v', 'coolant_flow')} FROM cl"))
@@ -200,16 +239,28 @@ def _named(name: str, run, text: str):
 
 
 _named("row_diff", _window_query(diff1=lambda: temporal.row_diff("feed_rate", KEYS), absdiff1=lambda: F.abs(temporal.row_diff("feed_rate", KEYS))), sql(DIFF, f"SELECT {K}, row_idx, {r('d', 'diff1')}, {r('abs(d)', 'absdiff1')} FROM df"))
-_named("rolling_mean", _window_query(m=lambda: temporal.rolling_mean("feed_rate", W, KEYS), even=lambda: temporal.rolling_mean("feed_rate", 4, KEYS)), sql(f"SELECT {K}, row_idx, {r(f'avg(feed_rate) OVER ({frame(W)})', 'm')}, {r(f'avg(feed_rate) OVER ({frame(4)})', 'even')} FROM ml"))
-_named("rolling_std", _window_query(s=lambda: temporal.rolling_std("feed_rate", W, KEYS)), sql(f"SELECT {K}, row_idx, {r(f'coalesce(stddev_samp(feed_rate) OVER ({frame(W)}), 0.0)', 's')} FROM ml"))
-_named("smooth", _window_query(smoothed=lambda: temporal.smooth("raw_score", W, KEYS), same=lambda: temporal.smooth("raw_score", 1, KEYS)), sql(f"SELECT {K}, row_idx, {r(f'avg(raw_score) OVER ({frame(W)})', 'smoothed')}, {r('raw_score', 'same')} FROM ml"))
+@query(sql(f"SELECT {K}, row_idx, {r(f'avg(feed_rate) OVER ({frame(W)})', 'm')}, {r(f'avg(feed_rate) OVER ({frame(4)})', 'even')} FROM ml"))
+def rolling_mean(spark, sf_dir):
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"m": ("feed_rate", "mean", W), "even": ("feed_rate", "mean", 4)}, KEYS, block=100)
+
+
+@query(sql(f"SELECT {K}, row_idx, {r(f'coalesce(stddev_samp(feed_rate) OVER ({frame(W)}), 0.0)', 's')} FROM ml"))
+def rolling_std(spark, sf_dir):
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"s": ("feed_rate", "std", W)}, KEYS, block=100)
+
+
+@query(sql(f"SELECT {K}, row_idx, {r(f'avg(raw_score) OVER ({frame(W)})', 'smoothed')}, {r('raw_score', 'same')} FROM ml"))
+def smooth(spark, sf_dir):
+    rows = temporal.smooth_rows(machine_log(spark, sf_dir).select(K, "row_idx", "raw_score"), {"smoothed": "raw_score"}, W, KEYS, block=100)
+    return temporal.smooth_rows(rows, {"same": "raw_score"}, 1, KEYS).drop("raw_score")
+
+
 _named("change_flag", _window_query(changed=lambda: temporal.change_flag("program_status", KEYS)), sql(f"SELECT {K}, row_idx, {r(f'coalesce(CAST(CAST(program_status <> lag(program_status) OVER (PARTITION BY {K} ORDER BY row_idx) AS INTEGER) AS DOUBLE), 0.0)', 'changed')} FROM ml"))
 
 
 @query(sql(DIFF, f"SELECT {K}, row_idx, {r(f'avg(abs(d)) OVER ({frame(W)})', 'absdiff_mean')} FROM df"))
 def rolling_absdiff_mean(spark, sf_dir):
-    rows = machine_log(spark, sf_dir).withColumn("a", F.abs(temporal.row_diff("feed_rate", KEYS)))
-    return rows.select(K, "row_idx", temporal.rolling_mean("a", W, KEYS).alias("absdiff_mean"))
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"absdiff_mean": ("feed_rate", "absdiff_mean", W)}, KEYS, block=100)
 
 
 def _features_sql(diffs: bool) -> str:
@@ -250,7 +301,8 @@ def contiguous_segments(spark, sf_dir):
 @query(sql(smoothed(), runs("pr", "sm", f"p >= {THRESHOLD}"), merged("pm", "pr", GAP), numbered("pm")))
 def merge_close(spark, sf_dir):
     log = machine_log(spark, sf_dir)
-    rows = log.select(K, "row_idx", F.round(temporal.smooth("raw_score", W, KEYS), 9).alias("p"))
+    rows = log.select(K, "row_idx", "raw_score")
+    rows = temporal.smooth_rows(rows, {"p": "raw_score"}, W, KEYS).withColumn("p", F.round("p", 9))
     return intervals.merge_close(intervals.contiguous_segments(rows, F.col("p") >= THRESHOLD, KEYS), KEYS, GAP)
 
 
@@ -383,7 +435,6 @@ def loo_folds(spark, sf_dir):
     return folds.loo_folds(machine_log(spark, sf_dir))
 
 
-SMALL_FOLDS = FOLDS.replace("FROM ml)", f"FROM ml WHERE {K} <= 4)")
 SAMPLE = f"""ct AS (SELECT {K}, count(*) AS n, sum(production) AS pos FROM ml GROUP BY {K}),
 qt AS (SELECT {K}, CASE WHEN n <= 100 THEN pos ELSE least(pos, 50) END AS q1, CASE WHEN n <= 100 THEN n - pos ELSE least(n - pos, 100 - least(pos, 50)) END AS q0 FROM ct),
 rk AS (SELECT f.test_session, m.{K}, m.row_idx, m.production, q1, q0, row_number() OVER (PARTITION BY f.test_session, m.{K}, m.production ORDER BY md5(concat_ws('|', CAST(1042 + f.test_session AS VARCHAR), CAST(m.{K} AS VARCHAR), CAST(m.row_idx AS VARCHAR))), m.row_idx) AS rn
@@ -391,21 +442,16 @@ rk AS (SELECT f.test_session, m.{K}, m.row_idx, m.production, q1, q0, row_number
 sample AS (SELECT test_session, {K}, row_idx, production FROM rk WHERE rn <= CASE WHEN production = 1 THEN q1 ELSE q0 END)"""
 
 
-def _small(log: DataFrame) -> DataFrame:
-    """The sessions of SMALL_FOLDS, for the two queries that are compared with its SQL."""
-    return log.where(F.col(K) <= 4)
-
-
 def _sample(log: DataFrame) -> DataFrame:
-    return folds.balanced_sample(log, folds.loo_folds(_small(log)), "production", max_rows=100)
+    return folds.balanced_sample(log, folds.loo_folds(log), "production", max_rows=100)
 
 
-@query(sql(SMALL_FOLDS, SAMPLE, "SELECT * FROM sample"))
+@query(sql(FOLDS, SAMPLE, "SELECT * FROM sample"))
 def balanced_sample(spark, sf_dir):
     return _sample(machine_log(spark, sf_dir))
 
 
-@query(sql(SMALL_FOLDS, SAMPLE, ", ".join([]) + f"SELECT test_session, feature, {r('avg(x)', 'mean')}, {r('CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END', 'std')} FROM (SELECT s.test_session, u.feature, u.x FROM sample s JOIN (SELECT {K}, row_idx, 'feed_rate' AS feature, feed_rate AS x FROM ml UNION ALL SELECT {K}, row_idx, 'spindle_speed', spindle_speed FROM ml) u USING ({K}, row_idx)) GROUP BY test_session, feature"))
+@query(sql(FOLDS, SAMPLE, ", ".join([]) + f"SELECT test_session, feature, {r('avg(x)', 'mean')}, {r('CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END', 'std')} FROM (SELECT s.test_session, u.feature, u.x FROM sample s JOIN (SELECT {K}, row_idx, 'feed_rate' AS feature, feed_rate AS x FROM ml UNION ALL SELECT {K}, row_idx, 'spindle_speed', spindle_speed FROM ml) u USING ({K}, row_idx)) GROUP BY test_session, feature"))
 def standard_scaler(spark, sf_dir):
     log = machine_log(spark, sf_dir)
     rows = _sample(log).join(log.select(K, "row_idx", "feed_rate", "spindle_speed"), [K, "row_idx"])
@@ -416,7 +462,7 @@ def _training_rows(spark, sf_dir, features=("feed_rate", "spindle_speed", "raw_s
     log = machine_log(spark, sf_dir)
     rows = temporal.temporal_features_sql(log, list(features), [5], KEYS)
     sample = folds.balanced_sample(log, folds.loo_folds(log), "production", max_rows=MOST_ROWS)
-    return log, sample.join(rows, [K, "row_idx"]), [c for c in rows.columns if c not in (K, "row_idx")]
+    return log, Scratch(spark, "training").stored(sample.join(rows, [K, "row_idx"])), [c for c in rows.columns if c not in (K, "row_idx")]
 
 
 @query()
@@ -428,6 +474,18 @@ def train_logreg(spark, sf_dir):
     return spark.range(1).select(F.inline(F.array(*entries)))
 
 
+#: Groups of the log's sensors as stage one takes them; spindle_cleaning is absent.
+EXPERIMENTS = {"EXP01_all": ["program_status", "tool_number", "coolant_flow", "feed_rate", "spindle_speed", "spindle_cleaning"], "EXP03_program_only": ["program_status", "tool_number"], "EXP04_physical_only": ["coolant_flow", "feed_rate", "spindle_speed", "spindle_cleaning"]}
+FIXTURE = Stage1(windows=(5, W), smooth=W, merge_gap=GAP, min_len=MIN_LEN, thresholds=tuple(GRID), max_train_rows=MOST_ROWS)
+
+
+@query()
+def production_workflow(spark, sf_dir):
+    """All of stage one with fitted models, over all sessions and three groups of sensors: its summary of folds."""
+    tables = workflows.localise_production(Scratch(spark, "production"), machine_log(spark, sf_dir), EXPERIMENTS, FIXTURE)
+    return tables["loo_summary"]
+
+
 COEFFICIENTS = (["feed_rate", "spindle_speed", "raw_score"], [50.0, 50.0, 0.4], [29.0, 28.0, 0.2], [0.3, -0.2, 2.5], -0.7)
 Z = "-0.7e0 + (feed_rate - 50e0) / 29e0 * 0.3e0 + (spindle_speed - 50e0) / 28e0 * (-0.2e0) + (raw_score - 0.4e0) / 0.2e0 * 2.5e0"
 SCORED = f"SELECT {K}, row_idx, {r(f'1 / (1 + exp(-({Z})))', 'prob')} FROM ml"
@@ -471,7 +529,7 @@ OBJECTIVE = ",\n".join([
 
 
 def _scores(log: DataFrame) -> DataFrame:
-    rows = log.select(K, "row_idx", F.round(temporal.smooth("raw_score", W, KEYS), 9).alias("p"))
+    rows = temporal.smooth_rows(log.select(K, "row_idx", "raw_score"), {"p": "raw_score"}, W, KEYS).withColumn("p", F.round("p", 9))
     return thresholds.threshold_scores(rows, gt_of(log), GRID, KEYS, "p", GAP, MIN_LEN)
 
 

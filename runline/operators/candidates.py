@@ -59,6 +59,20 @@ def merge_short_pieces(pieces: list[tuple[int, int]], min_len: int) -> list[tupl
     return [tuple(p) for p in out]
 
 
+def merge_pieces(pieces: DataFrame, keys: list[str], least: str | int) -> DataFrame:
+    """`merge_short_pieces` over a table: pieces (start, end) of each value of `keys`, e.g. of one blob. least: a number, or a
+    column that is the same for all pieces of a value. A group is one blob's pieces."""
+    limit = F.lit(least) if isinstance(least, int) else F.col(least)
+    kinds = ", ".join(f"`{k}` {pieces.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        merged = merge_short_pieces(list(zip(part["start"].tolist(), part["end"].tolist(), strict=True)), int(part["_least"].iloc[0]))
+        return pd.DataFrame([[*[part[k].iloc[0] for k in keys], a, b] for a, b in merged], columns=[*keys, "start", "end"])
+
+    rows = pieces.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), limit.cast("long").alias("_least"))
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long")
+
+
 def split_pieces(start: int, end: int, points: list[tuple[float, int]], median: int, low: int, high: int, max_splits: int = 30, least: float = 0.40, tolerance: float = 0.35) -> list[tuple[int, int]]:
     """Greedy cuts of one blob; points in order of rank. A cut ends a piece, the next one begins after it."""
     n = end - start + 1
@@ -99,26 +113,42 @@ def split_blob(blobs: DataFrame, points: DataFrame, keys: list[str], max_splits:
     return rows.mapInPandas(run, f"{kinds}, blob_start long, blob_end long, start long, end long, " + ", ".join(f"{p} long" for p in PRIOR))
 
 
-def prefix_sums(signal: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx") -> DataFrame:
-    """keys, order, and for each column the sum up to and including the row (`s_` + name)."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return signal.select(*keys, order, *[F.sum(c).over(w).alias(f"s_{c}") for c in cols], *cols)
+def prefix_sums(signal: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx", block: int = clean.BLOCK) -> DataFrame:
+    """keys, order, the columns, and for each the sum up to and including the row (`s_` + name): sums within blocks of rows, plus
+    those of the blocks before, from a small table (a row per block)."""
+    c = F.col
+    rows = signal.select(*keys, order, *cols).withColumn("_block", F.floor(c(order) / block))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(x).alias(f"_t_{x}") for x in cols])
+    carried = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0.0)).alias(f"_c_{x}") for x in cols])
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumns({f"_w_{x}": F.sum(x).over(inside) for x in cols}).join(carried, [*keys, "_block"])
+    return summed.select(*keys, order, *[(c(f"_w_{x}") + c(f"_c_{x}")).alias(f"s_{x}") for x in cols], *cols)
+
 
+def at_rows(df: DataFrame, table: DataFrame, rows: dict[str, Column], keys: list[str], names: dict[str, tuple[str, str]], order: str = "row_idx") -> DataFrame:
+    """Looks up columns of `table` at some rows of each interval, all by one join; 0 outside the series.
 
-def at_row(df: DataFrame, prefix: DataFrame, row: Column, keys: list[str], names: dict[str, str], order: str = "row_idx") -> DataFrame:
-    """Looks up columns of `prefix` at a row of each interval; 0 outside the series."""
-    side = prefix.select(*keys, F.col(order).alias("_row"), *[F.col(a).alias(b) for a, b in names.items()])
-    return df.withColumn("_row", row.cast("long")).join(side, [*keys, "_row"], "left").fillna(0.0, list(names.values())).drop("_row")
+    rows: place -> row number, given the interval's start and end (and what its keys fix). names: new column -> (place, column).
+    """
+    c, interval = F.col, [*keys, "start", "end"]
+    used = list(dict.fromkeys(col for _, col in names.values()))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), v.cast("long").alias("row")) for k, v in rows.items()])).alias("_w")
+    asked = df.select(*interval, wanted).select(*interval, c("_w.place").alias("_place"), c("_w.row").alias(order)).distinct()
+    met = asked.join(table.select(*keys, order, *[c(x).alias(f"_v_{x}") for x in used]), [*keys, order])
+    found = met.groupBy(*interval).agg(*[F.max(F.when(c("_place") == place, c(f"_v_{col}"))).alias(new) for new, (place, col) in names.items()])
+    return df.join(found, interval, "left").fillna(0.0, list(names))
 
 
 def segment_confidence(segments: DataFrame, signal: DataFrame, keys: list[str], prob: str = "prob_s", boundary: str = "boundary", order: str = "row_idx") -> DataFrame:
     """Adds `confidence`: 0.58 mean probability + 0.32 mean boundary at both ends + 0.10 (1 - relative distance to the median
-    length, at most 1). Means come from prefix sums: three look-ups per interval, whatever its length."""
+    length, at most 1). Means come from prefix sums: three look-ups per interval, whatever its length, in one join."""
     c = F.col
     sums = prefix_sums(signal, [prob, boundary], keys, order)
-    out = at_row(segments, sums, c("start") - 1, keys, {f"s_{prob}": "_before"}, order)
-    out = at_row(out, sums, c("start"), keys, {boundary: "_b0"}, order)
-    out = at_row(out, sums, c("end"), keys, {f"s_{prob}": "_upto", boundary: "_b1"}, order)
+    out = at_rows(
+        segments, sums, {"before": c("start") - 1, "start": c("start"), "end": c("end")}, keys,
+        {"_before": ("before", f"s_{prob}"), "_upto": ("end", f"s_{prob}"), "_b0": ("start", boundary), "_b1": ("end", boundary)}, order,
+    )
     n, m = c("end") - c("start") + 1, F.greatest(c("median_len"), F.lit(1))
     off = F.least(F.lit(1.0), F.abs(n - m) / m)
     value = F.lit(0.58) * (c("_upto") - c("_before")) / n + F.lit(0.32) * (c("_b0") + c("_b1")) / 2 + F.lit(0.10) * (1 - off)

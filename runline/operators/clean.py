@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a block: a longer series is worked on block by block, over many tasks.
+BLOCK = 50_000
+
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -20,11 +23,12 @@ def to_number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
-def clean_numeric(df: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx", block: int | None = None) -> DataFrame:
+def clean_numeric(df: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx", block: int | None = BLOCK) -> DataFrame:
     """Text to double, non-finite to null, then filled forward, backward, and with 0; fills reach over the whole series.
 
-    Only nulls before the first value need the backward fill, and that is the series' first value. With `block`, a
-    series is filled in blocks of so many rows, over many tasks; what each block ends with is carried on by a small table.
+    Only nulls before the first value need the backward fill, and that is the series' first value. A series is filled in
+    blocks of so many rows, over many tasks; what each block ends with is carried on by a small table (a row per block).
+    `block` None: by windows over the whole series, for short ones.
     """
     whole = Window.partitionBy(*keys).orderBy(order)
     parsed = df.withColumns({c: to_number(df, c) for c in cols})
@@ -60,11 +64,17 @@ def drop_null_labels(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, to_number(df, label)).dropna(subset=[label]).withColumn(label, F.col(label).cast("int"))
 
 
-def remove_production(df: DataFrame, valid: list[int], keys: list[str], label: str = "phase", order: str = "row_idx", target: int = 2) -> DataFrame:
-    """Rows of the valid phases with `original_row`, a compact `removed_row`, and `target_phase2`."""
-    kept = df.where(F.col(label).isin(list(valid)))
-    index = (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long")
-    return kept.withColumns({"original_row": F.col(order).cast("long"), "removed_row": index, "target_phase2": (F.col(label) == target).cast("int")})
+def remove_production(df: DataFrame, valid: list[int], keys: list[str], label: str = "phase", order: str = "row_idx", target: int = 2, block: int = BLOCK) -> DataFrame:
+    """Rows of the valid phases with `original_row`, a compact `removed_row`, and `target_phase2`. Rows are numbered within
+    blocks; how many the blocks before have, comes from a small table."""
+    kept = df.where(F.col(label).isin(list(valid))).withColumn("_block", F.floor(F.col(order) / block))
+    counts = kept.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)) - 1
+    numbered = kept.withColumn("_inside", inside).join(counts, [*keys, "_block"])
+    out = numbered.withColumns({"original_row": F.col(order).cast("long"), "removed_row": (F.col("_before") + F.col("_inside")).cast("long"), "target_phase2": (F.col(label) == target).cast("int")})
+    return out.select(*df.columns, "original_row", "removed_row", "target_phase2")
 
 
 def select_feature_group(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
@@ -77,17 +87,17 @@ def finite(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
 
 
-def minmax_normalise(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    """Each column to 0..1 within its series; all 0 where it is constant. A window by the series, so that it shares the
-    partitioning of the windows before and after it, and the plan does not double."""
-    series = Window.partitionBy(*keys)
-    clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols})
+def minmax_normalise(df: DataFrame, cols: list[str], keys: list[str], within: Column | None = None) -> DataFrame:
+    """Each column to 0..1 within its series; all 0 where it is constant. The ends come from an aggregate (of the rows for
+    which `within` holds), a row per series, joined back: no task holds a series. `df` is read twice; store it if it is dear."""
+    ready = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols})
+    ends = (ready if within is None else ready.where(within)).groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
 
     def scaled(c: str) -> Column:
-        lo, hi = F.min(c).over(series), F.max(c).over(series)
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
 
-    return clean.withColumns({c: scaled(c) for c in cols})
+    return ready.join(ends, keys).withColumns({c: scaled(c) for c in cols}).select(*df.columns)
 
 
 def session_profile(df: DataFrame, label: str, segments: DataFrame, keys: list[str]) -> DataFrame:

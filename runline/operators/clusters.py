@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runline.operators import clean
-from runline.operators.candidates import PRIOR, at_row, prefix_sums
+from runline.operators.candidates import PRIOR, at_rows, prefix_sums
 
 
 def cluster_candidates(candidates: DataFrame, fold: list[str], ord: str = "ord", factor: float = 0.70) -> DataFrame:
@@ -91,7 +91,8 @@ def _normal_votes(votes: DataFrame, lengths: DataFrame, fold: list[str]) -> Data
 
 def vote_boundaries(stats: DataFrame, votes: DataFrame, signal: DataFrame, lengths: DataFrame, fold: list[str], order: str = "row_idx", boundary: str = "boundary") -> DataFrame:
     """Adds `start` and `end` to the clusters: the first best row of 0.72 votes + 0.28 boundary near each median end; the medians
-    if that reverses them; re-centred to the shortest or longest length allowed."""
+    if that reverses them; re-centred to the shortest or longest length allowed. Centers are rounded to 9 digits first: sums in
+    another order must not tip a half."""
     c = F.col
     scaled = _normal_votes(votes, lengths, fold)
     track = signal.select(*fold, order, F.least(F.greatest(boundary, F.lit(0.0)), F.lit(1.0)).alias("_g"))
@@ -108,7 +109,7 @@ def vote_boundaries(stats: DataFrame, votes: DataFrame, signal: DataFrame, lengt
     reversed_ = c("_end") <= c("_start")
     out = out.withColumn("start", F.when(reversed_, c("start_median")).otherwise(c("_start"))).withColumn("end", F.when(reversed_, c("end_median")).otherwise(c("_end")))
     for limit, bad in (("min_allowed_len", c("end") - c("start") + 1 < c("min_allowed_len")), ("max_allowed_len", c("end") - c("start") + 1 > c("max_allowed_len"))):
-        first = F.greatest(F.lit(0), F.rint("center_mean").cast("long") - F.floor(c(limit) / 2))
+        first = F.greatest(F.lit(0), F.rint(F.round("center_mean", 9)).cast("long") - F.floor(c(limit) / 2))
         out = out.withColumn("_bad", bad).withColumn("_first", first)
         out = out.withColumn("start", F.when(c("_bad"), c("_first")).otherwise(c("start")).cast("long"))
         out = out.withColumn("end", F.when(c("_bad"), F.least(c("n_rows") - 1, c("start") + c(limit) - 1)).otherwise(c("end")).cast("long"))
@@ -122,14 +123,14 @@ def _entropy(p: Column) -> Column:
 
 def entropy_gain(segments: DataFrame, signal: DataFrame, lengths: DataFrame, fold: list[str], track: str = "support", order: str = "row_idx") -> DataFrame:
     """Adds `entropy_gain`: binary entropy of the context's mean, less that of inside and outside by size; at least 0. The context
-    is the interval and half a median length on either side. Four prefix sums per interval."""
+    is the interval and half a median length on either side. Four prefix sums per interval, in one join."""
     c = F.col
     sums = prefix_sums(signal, [track], fold, order)
     around = F.greatest(F.lit(10), F.rint(F.lit(0.5) * F.greatest(c("median_len"), F.lit(1))).cast("long"))
     out = segments if "n_rows" in segments.columns else segments.join(lengths.select(*fold, "n_rows"), fold)
     out = out.withColumn("_lo", F.greatest(F.lit(0), c("start") - around)).withColumn("_hi", F.least(c("n_rows") - 1, c("end") + around))
-    for name, row in (("_a", c("_lo") - 1), ("_b", c("start") - 1), ("_c", c("end")), ("_d", c("_hi"))):
-        out = at_row(out, sums, row, fold, {f"s_{track}": name}, order)
+    places = {"a": c("_lo") - 1, "b": c("start") - 1, "c": c("end"), "d": c("_hi")}
+    out = at_rows(out, sums, places, fold, {f"_{k}": (k, f"s_{track}") for k in places}, order)
     n, inside = c("_hi") - c("_lo") + 1, c("end") - c("start") + 1
     outside = n - inside
     gain = _entropy((c("_d") - c("_a")) / n) - inside / n * _entropy((c("_c") - c("_b")) / inside) - outside / n * _entropy((c("_d") - c("_a") - c("_c") + c("_b")) / outside)
@@ -194,9 +195,11 @@ def cluster_features(segments: DataFrame, signal: DataFrame, lengths: DataFrame,
     """Adds length, duration_fit, boundary_support, internal_boundary, prob_support, internal_prob and entropy_gain."""
     c = F.col
     sums = prefix_sums(signal, [boundary, track], fold, order)
-    out = at_row(segments, sums, c("start") - 1, fold, {f"s_{boundary}": "_b", f"s_{track}": "_t"}, order)
-    out = at_row(out, sums, c("start"), fold, {boundary: "_b0", track: "_t0"}, order)
-    out = at_row(out, sums, c("end"), fold, {f"s_{boundary}": "_bb", f"s_{track}": "_tt", boundary: "_b1", track: "_t1"}, order)
+    out = at_rows(
+        segments, sums, {"before": c("start") - 1, "start": c("start"), "end": c("end")}, fold,
+        {"_b": ("before", f"s_{boundary}"), "_t": ("before", f"s_{track}"), "_b0": ("start", boundary), "_t0": ("start", track),
+         "_bb": ("end", f"s_{boundary}"), "_tt": ("end", f"s_{track}"), "_b1": ("end", boundary), "_t1": ("end", track)}, order,
+    )
     n, m = c("end") - c("start") + 1, F.greatest(c("median_len"), F.lit(1))
     out = out.withColumns({
         "length": n, "duration_fit": 1 / (1 + F.abs(n - m) / m), "boundary_support": (c("_b0") + c("_b1")) / 2, "internal_boundary": (c("_bb") - c("_b")) / n,

@@ -20,19 +20,24 @@ def balanced_sample(rows: DataFrame, folds: DataFrame, label: str, max_rows: int
     """Training rows of each fold: all of a session of at most `max_rows`; else up to half positives, filled with negatives.
 
     Only labels 0 and 1 count. Scarce positives are made up by negatives, scarce negatives are not. Which rows, is by a
-    hash of (fold's seed, session, row): the same on any number of partitions, different per fold.
+    hash of (fold's seed, session, row): the same on any number of partitions, different per fold. Rows whose hash lies far
+    above the quota's share (twice it and 200 rows more: the chance that one of them is due is below 1e-20) are dropped before
+    anything is shuffled, so a fold shuffles about its sample, not its rows.
     """
     kept = rows.where(F.col(label).isin(0, 1)).select(session, order, label)
     counts = kept.groupBy(session).agg(F.count("*").alias("_n"), F.sum(F.col(label)).alias("_pos"))
     take_pos = F.least("_pos", F.lit(max_rows // 2))
     quota = counts.select(
-        session,
+        session, "_n", "_pos",
         F.when(F.col("_n") <= max_rows, F.col("_pos")).otherwise(take_pos).alias("_q1"),
         F.when(F.col("_n") <= max_rows, F.col("_n") - F.col("_pos")).otherwise(F.least(F.col("_n") - F.col("_pos"), max_rows - take_pos)).alias("_q0"),
     )
-    each = folds.withColumnRenamed("train_session", session).join(kept, session).join(quota, session)
-    key = _rank_key(F.lit(seed + 1000) + F.col("test_session"), session, order)
-    rank = F.row_number().over(Window.partitionBy("test_session", session, label).orderBy(key, order))
+    each = folds.withColumnRenamed("train_session", session).join(quota, session).join(kept, session)
+    each = each.withColumn("_key", _rank_key(F.lit(seed + 1000) + F.col("test_session"), session, order))
+    own, all_ = F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0")), F.when(F.col(label) == 1, F.col("_pos")).otherwise(F.col("_n") - F.col("_pos"))
+    share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    each = each.where(share * all_ <= 2 * own + 200)
+    rank = F.row_number().over(Window.partitionBy("test_session", session, label).orderBy("_key", order))
     return each.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0"))).select("test_session", session, order, label)
 
 
@@ -48,15 +53,15 @@ def duration_prior(segments: DataFrame, folds: DataFrame, session: str = "sessio
     mean, population deviation, intervals per session, and the lengths allowed. A fold without any uses 18, 80, 160.
     Training sessions without intervals count in the mean per session."""
     lengths = segments.select(F.col(session).alias("train_session"), F.col("length").cast("double").alias("length"))
-    rows = folds.join(lengths, "train_session", "left").groupBy("test_session").agg(
-        F.collect_list("length").alias("found"), F.countDistinct("train_session").alias("sessions")
-    )  # intervals of a fold, not rows: hundreds
-    rows = rows.withColumn("n_train_segments", F.size("found")).withColumn("length", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(*[F.lit(x) for x in (18.0, 80.0, 160.0)]))))
+    counted = folds.groupBy("test_session").agg(F.countDistinct("train_session").alias("sessions"))
+    rows = folds.join(lengths, "train_session").select("test_session", "length", F.lit(1).alias("_own"))
+    missing = counted.join(rows, "test_session", "left_anti").select("test_session", F.explode(F.array(*[F.lit(x) for x in (18.0, 80.0, 160.0)])).alias("length"), F.lit(0).alias("_own"))
+    rows = rows.unionByName(missing)
     points = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
     names = ["p5", "p10", "p25", "median", "p75", "p90", "p95"]
-    out = rows.groupBy("test_session", "n_train_segments", "sessions").agg(
-        F.min("length").alias("min"), F.percentile("length", F.array(*[F.lit(p) for p in points])).alias("q"), F.avg("length").alias("mean_len"), F.stddev_pop("length").alias("std_len")
-    )
+    out = rows.groupBy("test_session").agg(
+        F.sum("_own").alias("n_train_segments"), F.min("length").alias("min"), F.percentile("length", F.array(*[F.lit(p) for p in points])).alias("q"), F.avg("length").alias("mean_len"), F.stddev_pop("length").alias("std_len")
+    ).join(counted, "test_session")
     quantiles = [F.greatest(F.col("q")[i].cast("long"), F.lit(1)).alias(f"{n}_len") for i, n in enumerate(names)]
     out = out.select("test_session", F.col("n_train_segments").cast("long").alias("n_train_segments"), F.greatest(F.col("min").cast("long"), F.lit(1)).alias("min_len"), *quantiles, "mean_len", "std_len", (F.col("n_train_segments") / F.col("sessions")).alias("mean_segment_count"))
     low = F.greatest(F.lit(18), F.floor(F.col("p10_len") * F.lit(0.45)))

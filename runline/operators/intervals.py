@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runline.operators import temporal
+from runline.operators.clean import BLOCK
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -13,12 +14,13 @@ def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, number.cast("int").alias("seg_no"), "start", "end", (F.col("end") - F.col("start") + 1).alias("length"))
 
 
-def contiguous_segments(df: DataFrame, mask: Column, keys: list[str], order: str = "row_idx") -> DataFrame:
-    """Maximal runs of consecutive rows for which `mask` holds."""
-    hit = df.where(mask).select(*keys, F.col(order).cast("long").alias("_i"))
-    island = F.col("_i") - F.row_number().over(Window.partitionBy(*keys).orderBy("_i"))
-    runs = hit.withColumn("_g", island).groupBy(*keys, "_g").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
-    return _numbered(runs, keys)
+def contiguous_segments(df: DataFrame, mask: Column, keys: list[str], order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """Maximal runs of consecutive rows for which `mask` holds. Runs are found within blocks of rows; those that meet at a
+    block's border are joined, a window over runs instead of rows."""
+    hit = df.where(mask).select(*keys, F.col(order).cast("long").alias("_i")).withColumn("_block", F.floor(F.col("_i") / block))
+    island = F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_i"))
+    runs = hit.withColumn("_g", island).groupBy(*keys, "_block", "_g").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
+    return merge_close(runs, keys, 0)
 
 
 def merge_close(segments: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -40,39 +42,43 @@ def segments_from_mask(df: DataFrame, mask: Column, keys: list[str], min_len: in
 
 
 def prob_to_segments(df: DataFrame, prob: str, threshold: float, keys: list[str], w: int, gap: int, min_len: int, order: str = "row_idx") -> DataFrame:
-    smoothed = df.select(*keys, order, F.round(temporal.smooth(prob, w, keys, order), 9).alias("_p"))
+    smoothed = temporal.smooth_rows(df.select(*keys, order, F.col(prob).alias("_p")), {"_p": "_p"}, w, keys, order).withColumn("_p", F.round("_p", 9))
     return segments_from_mask(smoothed, F.col("_p") >= threshold, keys, min_len, gap, order)
 
 
 def prob_to_blobs(df: DataFrame, prob: str, thresholds: list[float], keys: list[str], w: int, gap: int, min_len: int, order: str = "row_idx") -> DataFrame:
     """Intervals at each threshold, smoothed once. A row enters the runs only once, with the thresholds that it reaches;
     thresholds are exploded on runs of equal reach, not on rows."""
-    smoothed = df.select(*keys, order, F.round(temporal.smooth(prob, w, keys, order), 9).alias("_p"))
+    smoothed = temporal.smooth_rows(df.select(*keys, order, F.col(prob).alias("_p")), {"_p": "_p"}, w, keys, order).withColumn("_p", F.round("_p", 9))
     return runs_over_thresholds(smoothed, "_p", thresholds, keys, gap, min_len, order)
 
 
-def runs_over_thresholds(df: DataFrame, value: str, thresholds: list[float], keys: list[str], gap: int, min_len: int, order: str = "row_idx") -> DataFrame:
+def runs_over_thresholds(df: DataFrame, value: str, thresholds: list[float], keys: list[str], gap: int, min_len: int, order: str = "row_idx", block: int = BLOCK) -> DataFrame:
     levels = sorted(thresholds)
     reach = sum((F.col(value) >= t).cast("int") for t in levels)
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.select(*keys, F.col(order).cast("long").alias("_i"), reach.alias("_k"))
-    rows = rows.withColumn("_new", F.when(F.col("_k") == F.lag("_k").over(w.orderBy("_i")), 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_new").over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where("_k > 0").groupBy(*keys, "_run", "_k").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_i")
+    rows = df.select(*keys, F.col(order).cast("long").alias("_i"), reach.alias("_k")).withColumn("_block", F.floor(F.col("_i") / block))
+    rows = rows.withColumn("_new", F.when(F.col("_k") == F.lag("_k").over(w), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.where("_k > 0").groupBy(*keys, "_block", "_run", "_k").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
     each = runs.withColumn("threshold", F.explode(F.slice(F.array(*[F.lit(t) for t in levels]), 1, F.col("_k"))))
     per = [*keys, "threshold"]
     return filter_short(merge_close(merge_close(each, per, 0), per, gap), min_len, per)
 
 
-def segments_to_mask(rows: DataFrame, segments: DataFrame, keys: list[str], name: str = "mask", order: str = "row_idx") -> DataFrame:
-    """`rows` with 1 inside any interval, else 0; intervals may overlap or reach past the ends. A sweep: +1 where one
-    starts, -1 after its end, running sum; no interval is expanded to rows."""
-    starts = segments.select(*keys, F.greatest("start", F.lit(0)).cast("long").alias("_i"), F.lit(1).alias("_d"), "end").where("end >= _i").drop("end")
-    stops = segments.where("end >= 0 and end >= start").select(*keys, (F.col("end") + 1).cast("long").alias("_i"), F.lit(-1).alias("_d"))
-    steps = starts.unionByName(stops).groupBy(*keys, "_i").agg(F.sum("_d").alias("_d"))
-    joined = rows.join(steps.withColumnRenamed("_i", order), [*keys, order], "left")
-    depth = F.sum(F.coalesce("_d", F.lit(0))).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn(name, (depth > 0).cast("int")).drop("_d")
+def segments_to_mask(rows: DataFrame, segments: DataFrame, keys: list[str], name: str = "mask", order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """`rows` with 1 inside any interval, else 0; intervals may overlap or reach past the ends. A sweep within each block of
+    rows: +1 where an interval (or its part in the block) starts, -1 after its end, running sum; none is expanded to rows."""
+    c = F.col
+    valid = segments.select(*keys, F.greatest("start", F.lit(0)).cast("long").alias("_s"), c("end").cast("long").alias("_e")).where("_e >= _s")
+    parts = valid.withColumn("_block", F.explode(F.sequence(F.floor(c("_s") / block), F.floor(c("_e") / block))))
+    first = F.greatest("_s", c("_block") * block)
+    last = F.least("_e", (c("_block") + 1) * block - 1)
+    steps = parts.select(*keys, "_block", F.explode(F.array(F.struct(first.alias("i"), F.lit(1).alias("d")), F.struct((last + 1).alias("i"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.groupBy(*keys, "_block", c("x.i").alias("_i")).agg(F.sum("x.d").alias("_d"))
+    joined = rows.withColumns({"_i": c(order).cast("long"), "_block": F.floor(c(order) / block)}).join(steps, [*keys, "_block", "_i"], "left")
+    depth = F.sum(F.coalesce("_d", F.lit(0))).over(Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn("_depth", depth).withColumn(name, (c("_depth") > 0).cast("int")).select(*rows.columns, name)
 
 
 def mask_regions(rows: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str], order: str = "row_idx") -> DataFrame:

@@ -109,8 +109,9 @@ def train_logreg(rows: DataFrame, features: dict[tuple, list[str]] | list[str],
     return {k: LogReg(own(k), *scale[k], weights[k]) for k in scale}
 
 
-def score_rows(rows: DataFrame, models: dict[tuple, LogReg], key_names: list[str], key_types: list[str], keep: list[str]) -> DataFrame:
-    """`keep`, the model's key and `prob`, for every row and every model: one matrix product per batch for all models."""
+def score_rows(rows: DataFrame, models: dict[tuple, LogReg], key_names: list[str], key_types: list[str], keep: list[str], own: tuple[str, str] | None = None) -> DataFrame:
+    """`keep`, the model's key and `prob`, for every row and every model: one matrix product per batch for all models. With
+    `own` (one of `keep`, one of `key_names`) a row is scored only by models whose key has the row's value."""
     names = sorted({f for m in models.values() for f in m.features})
     matrix, bias, keys = np.zeros((len(names), len(models))), np.zeros(len(models)), list(models)
     for k, key in enumerate(keys):
@@ -127,7 +128,14 @@ def score_rows(rows: DataFrame, models: dict[tuple, LogReg], key_names: list[str
         for batch in batches:
             x = np.stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], axis=1) if names else np.zeros((batch.num_rows, 0))
             p = 1 / (1 + np.exp(-np.clip(x @ matrix + bias, -500, 500)))
+            mine = np.array(batch.column(keep.index(own[0])).to_pylist(), dtype=object) if own else None
             for k, key in enumerate(keys):
+                if own:
+                    at = np.flatnonzero(mine == key[key_names.index(own[1])])
+                    if len(at):
+                        some = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *[pa.array([v] * len(at), t) for v, t in zip(key, types, strict=True)], pa.array(p[at, k])], [*keep, *key_names, "prob"])
+                    continue
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([v] * batch.num_rows, t) for v, t in zip(key, types, strict=True)], pa.array(p[:, k])], [*keep, *key_names, "prob"])
 
     return rows.select(*keep, *names).mapInArrow(run, schema)

@@ -7,10 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators.clean import finite
-
-#: Rows of a block in the halo plan.
-BLOCK = 50_000
+from runline.operators.clean import BLOCK, finite
 
 
 def ordered(keys: list[str], order: str = "row_idx") -> Window:
@@ -41,10 +38,50 @@ def rolling_std(c: str, w: int, keys: list[str], order: str = "row_idx") -> Colu
 
 
 def smooth(c: str, w: int, keys: list[str], order: str = "row_idx") -> Column:
-    """Centred mean; the column itself for w <= 1."""
+    """Centred mean; the column itself for w <= 1. For short series; `smooth_rows` has no task per series."""
     return F.col(c) if w <= 1 else rolling_mean(c, w, keys, order)
 
 
+def running_mean(c: str, w: int, keys: list[str], order: str = "row_idx") -> Column:
+    """Centred mean as a difference of two running sums: work per row does not grow with `w`. Cancellation costs digits as
+    the series grows, so use it on series of bounded length (blocks)."""
+    up, down = ordered(keys, order).rowsBetween(Window.unboundedPreceding, (w - 1) // 2), ordered(keys, order).rowsBetween(Window.unboundedPreceding, -(w // 2) - 1)
+    total = F.coalesce(F.sum(c).over(up), F.lit(0.0)) - F.coalesce(F.sum(c).over(down), F.lit(0.0))
+    n = F.count(c).over(up) - F.count(c).over(down)
+    return F.when(n > 0, total / n)
+
+
+def smooth_rows(df: DataFrame, cols: dict[str, str], w: int, keys: list[str], order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """`df` with centred means (new name: column). Over blocks with a halo, so a series of any length is spread over tasks."""
+    if w <= 1:
+        return df.withColumns({n: F.col(c).cast("double") for n, c in cols.items()})
+    spread = in_blocks(df, keys, w // 2 + 1, order, block)
+    means = spread.withColumns({f"_m_{n}": running_mean(c, w, [*keys, "_block"], order) for n, c in cols.items()})
+    own = means.where("_own").withColumns({n: F.col(f"_m_{n}") for n in cols})
+    return own.select(*dict.fromkeys([*df.columns, *cols]))
+
+
+def rolling_rows(df: DataFrame, cols: dict[str, tuple[str, str, int]], keys: list[str], order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """`keys`, `order` and, for each name, a statistic (`mean`, `std`, `absdiff_mean`, `diff`) of a column over `w` rows; the
+    same plan as temporal_features, for a choice of columns."""
+    reach = max(w for _, _, w in cols.values()) // 2 + 1
+    used = list(dict.fromkeys(c for c, _, _ in cols.values()))
+    spread = in_blocks(df.select(*keys, order, *used), keys, reach, order, block)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable").reset_index(drop=True)
+        out = {k: part[k] for k in [*keys, order]}
+        for name, (c, stat, w) in cols.items():
+            x = part[c].astype(float)
+            if stat in ("absdiff_mean", "diff"):
+                x = x.diff().fillna(0.0)
+            out[name] = x if stat == "diff" else _rolling(x.abs() if stat == "absdiff_mean" else x, w)._over("std" if stat == "std" else "mean").fillna(0.0)
+        return pd.DataFrame(out)[part["_own"].to_numpy()]
+
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, order]] + [f"`{c}` double" for c in cols])
+    return spread.groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
 def in_blocks(df: DataFrame, keys: list[str], reach: int, order: str = "row_idx", block: int = BLOCK) -> DataFrame:
     """Rows with `_block`, and the `reach` rows on either side of a block copied into it (`_own` false).
 
@@ -134,10 +171,12 @@ def temporal_features_sql(df: DataFrame, cols: list[str], windows: list[int], ke
     return df.select(*keep, *[finite(v).alias(n) for n, v in out.items()])
 
 
-def make_xy(features: DataFrame, labels: DataFrame, segments: DataFrame, keys: list[str], label: str, order: str = "row_idx") -> DataFrame:
-    """Features with the label and the number (from 0) of the true interval a row is in, null outside."""
-    rows = features.join(labels.select(*keys, order, label), [*keys, order])
+def make_xy(features: DataFrame, labels: DataFrame, segments: DataFrame, keys: list[str], label: str, order: str = "row_idx", bin: int = 4096) -> DataFrame:
+    """Features with the label and the number (from 0) of the true interval a row is in, null outside. Rows and intervals
+    meet by buckets of `bin` rows."""
+    rows = features.join(labels.select(*keys, order, label), [*keys, order]).withColumn("_b", F.floor(F.col(order) / bin))
     own = segments.select(*keys, F.col("seg_no").alias("segment"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    on = [rows[k] == own[k] for k in keys] + [rows[order].between(own["_start"], own["_end"])]
+    own = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_start") / bin), F.floor(F.col("_end") / bin))))
+    on = [rows[k] == own[k] for k in [*keys, "_b"]] + [rows[order].between(own["_start"], own["_end"])]
     joined = rows.join(own, on, "left")
-    return joined.select(*[rows[c] for c in rows.columns], "segment")
+    return joined.select(*[rows[c] for c in rows.columns if c != "_b"], "segment")

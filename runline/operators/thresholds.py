@@ -27,8 +27,13 @@ def threshold_scores(
     return scored.select(*keys, "threshold", (F.lit(iou_weight) * F.col("mean_best_gt_iou") + F.lit(f1_weight) * F.col("f1")).alias("objective"))
 
 
-def select_threshold(scores: DataFrame, folds: DataFrame, session: str = "session_id") -> DataFrame:
-    """Per fold the threshold of the best mean objective over its training sessions, the lowest one on ties."""
-    mean = folds.join(scores.withColumnRenamed(session, "train_session"), "train_session").groupBy("test_session", "threshold").agg(F.round(F.avg("objective"), 9).alias("train_objective"))
-    best = F.row_number().over(Window.partitionBy("test_session").orderBy(F.desc("train_objective"), "threshold"))
+def best_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the threshold of the best mean objective over its rows, the lowest one on ties."""
+    mean = scores.groupBy(*keys, "threshold").agg(F.round(F.avg("objective"), 9).alias("train_objective"))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("train_objective"), "threshold"))
     return mean.withColumn("_r", best).where("_r = 1").drop("_r")
+
+
+def select_threshold(scores: DataFrame, folds: DataFrame, session: str = "session_id") -> DataFrame:
+    """Per fold the best threshold over its training sessions."""
+    return best_threshold(folds.join(scores.withColumnRenamed(session, "train_session"), "train_session"), ["test_session"])

@@ -25,16 +25,17 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def read_files(spark: SparkSession, path: str, pattern: str = "Data_from_*.csv") -> DataFrame:
     """All columns as text, with file_name and row_idx (position in the file, from 0). Fails if no file matches.
 
-    Columns go by name: the header of each file is read on its own, so files may lack columns, order them differently,
-    or pad their names.
+    Columns go by name: files may lack columns, order them differently, or pad their names. Files of one header are read by
+    one scan; there are as many scans as different headers. A file without any line has no rows.
     """
-    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").orderBy("path")
-    paths = [r.path for r in names.collect()]  # a row per session file
-    if not paths:
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    heads = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "id").alias("head"))
+    groups = heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("head").collect()  # a row per different header
+    if not groups:
         raise FileNotFoundError(f"no file {pattern} in {path}")
     out = None
-    for p in paths:
-        read = spark.read.option("header", True).csv(p)
+    for g in groups:
+        read = spark.read.option("header", True).csv(g.paths)
         one = normalise_header(read.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return row_index(out, ["file_name"], ["_at", "_id"]).drop("_at", "_id")

@@ -1,4 +1,4 @@
-"""Every registered query with SQL, against DuckDB, on a small scale."""
+"""Every registered query with SQL, against DuckDB, on a small scale: all sessions of the log."""
 
 import glob
 import os
