@@ -1,4 +1,4 @@
-"""Connected components of a table of links: in one task while the links are few, else by large-star and small-star steps."""
+"""Connected components of a table of links, by large-star and small-star steps over tables."""
 
 from __future__ import annotations
 
@@ -10,49 +10,36 @@ from pyspark.sql import functions as F
 from runline.llm.scratch import Scratch
 
 
-#: Links (16 bytes each) up to which one task joins them; their number is counted first.
-MOST_IN_ONE_TASK = 1_000_000
-
-
 def _join_in_task(batches):
-    """Smallest node of each node's component, by union-find over all links of the task."""
-    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
-    nodes, links = np.unique(np.hstack(parts) if parts else np.zeros((2, 0), np.int64), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(*links.reshape(2, -1).tolist(), strict=True):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    roots = np.array([root(x) for x in range(len(nodes))], dtype=np.int64)
-    for low in range(0, len(nodes), 100_000):
-        part = slice(low, low + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[roots[part]])], ["node", "component"])
-
-
-def components(scratch: Scratch, links: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, component) of every node of `links` (a, b: longs); the component is its smallest node. links: a stored table.
-
-    Beyond `most` links (MOST_IN_ONE_TASK) nothing meets in one task; the result is the same.
-    """
-    most = MOST_IN_ONE_TASK if most is None else most
-    if links.count() <= most:
-        return scratch.stored(links.select("a", "b").coalesce(1).mapInArrow(_join_in_task, "node long, component long"))
-    return _by_stars(scratch, links)
-
-
-def _by_stars(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """Components by steps over tables.
-
-    Each step replaces links by links to smaller neighbours and is written, so nothing is recomputed; a node with many
-    links is aggregated before it is shuffled. Steps grow with the logarithm of the longest path.
+    """Links of each node of a batch of links to the smallest one that the batch connects it with: fewer, and shorter chains."""
+    for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        nodes, links = np.unique(np.concatenate([a, b]), return_inverse=True)
+        u, v = links[: len(a)], links[len(a) :]
+        least = np.arange(len(nodes))
+        while True:
+            fresh = least.copy()
+            low = np.minimum(least[u], least[v])
+            for x in (u, v):
+                np.minimum.at(fresh, x, low)
+                np.minimum.at(fresh, least[x], low)
+            fresh = fresh[fresh]
+            if (fresh == least).all():
+                break
+            least = fresh
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["u", "v"])
+
+
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(node, component) of every node of `links` (a, b: longs) that has a link to another one; the component is its smallest
+    node. links: a stored table.
+
+    Links are first contracted batch by batch. Each step replaces links by links to smaller neighbours and is written, so
+    nothing is recomputed; a node with many links is aggregated before it is shuffled. Steps grow with the logarithm of the
+    longest path.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = links.select("a", "b").where("a <> b").mapInArrow(_join_in_task, "u long, v long").distinct()
     edges, state = scratch.stored(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,48 +1,5 @@
-"""Tables in the folder that the cluster shares, to cut lineage so that a lost executor costs one stage at most."""
+"""Tables in the folder that the cluster shares."""
 
-from __future__ import annotations
+from runline.sources.scratch import Scratch, partitions, release, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a new local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_runline_folder", None)
-        if folder is None:
-            folder = spark._runline_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Written tables of one run of an operator. `stored` writes and reads again; `drop` frees what is used up."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
-
-    def stored(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._runline_path = path
-        return back
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._runline_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["Scratch", "partitions", "release", "shared_folder"]

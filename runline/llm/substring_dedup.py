@@ -170,7 +170,7 @@ def substring_dedup(
     wanted = nodes.select(F.col("id").alias("pid")).distinct()
     first = seen.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min("place").alias("place"))
     sets = scratch.stored(_wanted_sets(own, scratch.stored(first), least_words, size).join(wanted.withColumnRenamed("pid", "id"), "id", "left_semi"))
-    found = _Search(scratch, sets, nodes, percent).run().withColumnRenamed("node", "pid")
+    found = _Search(scratch, sets.withColumn("lead", F.lit(0).cast("long")), nodes, percent).run().withColumnRenamed("node", "pid")
     each = each.join(found, "pid", "left").withColumn("component", F.coalesce("component", "pid"))
     each = scratch.stored(each)
     classes = each.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("k")).where("k > 1")

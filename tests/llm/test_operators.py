@@ -56,9 +56,12 @@ def test_ngram_join_dense_groups(spark):
     assert got == brute.ngram_join(list(enumerate(values)))
 
 
-@pytest.mark.parametrize("block", [3, 16])
-def test_ngram_join_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "MOST_PAIRED", 2)
+@pytest.mark.parametrize(("block", "paired"), [(3, 2), (16, 2), (16, 100)])
+def test_ngram_join_in_blocks(spark, monkeypatch, block, paired):
+    """Groups in slices: what those leave apart, is paired or compared in blocks."""
+    monkeypatch.setattr(ngram_join, "SLICE", 7)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "MOST_PAIRED", paired)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     base = sentence(60)
     values = [edited(base, RNG.randrange(6)) for _ in range(40)] + [sentence(30) + " " + base for _ in range(10)]
@@ -76,10 +79,9 @@ def test_ngram_join_odd_rows(spark):
 def test_components(spark):
     edges = [(RNG.randrange(80), RNG.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
     want = brute.groups({x for e in edges for x in e}, edges)
-    for most in (None, 0):
-        got = dict(map(tuple, components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), most).collect()))
-        assert {n: c for n, c in want.items() if n in got} == got
-        assert all(want[n] == n for n in want if n not in got)
+    got = dict(map(tuple, components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {n: c for n, c in want.items() if n in got} == got
+    assert all(want[n] == n for n in want if n not in got)
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
