@@ -3,8 +3,12 @@
 Voters are lexicon entries (a word is in the text) and patterns (words begin or end with a string), each at a few counts. They are mined from a
 bounded sample of labelled texts: greedily, each covers toxic texts that fewer voters cover yet, so a group of copies
 does not fill the list. The label model has for each voter its chance to vote on toxic and on clean texts, by expectation
-maximisation over labelled and unlabelled texts, and the correlation of voters within a class, which lowers the say of those
-that repeat each other. A logistic regression on the votes is fitted to the posteriors, and scores all texts.
+maximisation over labelled and unlabelled texts, and the dependence of voters given the class, which lowers the say of those
+that repeat each other. What a text's votes say together is weighed by how often either class says so much, since voters
+that abstain are no evidence one by one. A logistic regression on the votes is fitted to the posteriors, and scores all texts.
+
+The sample of unlabelled texts bounds an error, not the result's rows: with OTHER_ROWS of them a chance to vote is known to
+within a standard error of 0.0065. At most MOST_VOTERS traits are taken, in the order of the toxic texts that they newly cover.
 """
 
 from __future__ import annotations
@@ -63,20 +67,38 @@ class Voters:
         return np.hstack([count >= level for level in LEVELS]).astype(np.uint8)
 
 
-def _traits_of(rows: DataFrame) -> list[np.ndarray]:
-    """Distinct traits of each text, of texts that differ."""
+def _frequent(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Traits that at least `least` of the texts have, with the number of texts."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in W.text_slices(batch, "text"):
+                doc, key, _ = (np.concatenate(x) for x in zip(*traits(data, offsets), strict=True))
+                order = np.lexsort((doc, key))
+                doc, key = doc[order], key[order]
+                new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[: len(key)]
+                found, n = np.unique(key[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("key").collect()
+    return np.array([r.key for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+
+
+def _having(rows: DataFrame, keys: np.ndarray) -> list[np.ndarray]:
+    """Which of the traits each text has."""
+    sent = rows.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches):
+        voters = Voters(sent.value)
         for batch in batches:
             for part, data, offsets in W.text_slices(batch, "text"):
-                pairs = list(traits(data, offsets))
-                doc, key, _ = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                order = np.argsort(doc, kind="stable")
-                cuts = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
-                found = [np.unique(key[order[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["keys"])
+                doc, trait = voters.hits(data, offsets)
+                pairs = np.unique(doc * len(voters.sorted) + trait)
+                cuts = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(voters.sorted))
+                found = [(pairs[a:b] % len(voters.sorted)).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["traits"])
 
-    return [np.frombuffer(b, np.uint64) for b in {r.keys: 0 for r in rows.repartition(16).mapInArrow(run, "keys binary").toLocalIterator()}]
+    return [np.frombuffer(r.traits, np.int32) for r in rows.mapInArrow(run, "traits binary").collect()]
 
 
 def _counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -104,27 +126,24 @@ def _counts(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 def mine(toxic: DataFrame, clean: DataFrame, most: int = MOST_VOTERS, cover: int = 4, ratio: float = 6.0) -> np.ndarray:
     """Traits that are `ratio` times as frequent in toxic as in clean texts, chosen until toxic texts have `cover` each."""
-    sets = _traits_of(toxic)
-    if not sets:
+    texts = toxic.distinct().repartition(16)
+    n_texts = texts.count()
+    keys, t = _frequent(texts, max(2, min(4, n_texts // 10)))
+    if not len(keys):
         return np.zeros(0, np.uint64)
-    keys, which = np.unique(np.concatenate(sets), return_inverse=True)
-    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    t = np.bincount(which, minlength=len(keys))
-    often = np.flatnonzero(t >= max(2, min(4, len(sets) // 10)))
-    if not len(often):
+    n, n_clean = _counts(clean, keys)
+    good = np.flatnonzero(t / n_texts >= ratio * (n + 0.5) / (n_clean + 1))
+    if not len(good):
         return np.zeros(0, np.uint64)
-    n, n_clean = _counts(clean, keys[often])
-    good = often[(t[often] / len(sets)) >= ratio * (n + 0.5) / (n_clean + 1)]
+    keys, t = keys[good], t[good]
+    sets = _having(texts, keys)
+    trait, text = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     # Greedy cover; the count of what a trait still covers is kept up to date.
-    pos = np.full(len(keys), -1)
-    pos[good] = np.arange(len(good))
-    inside = pos[which] >= 0
-    trait, text = pos[which[inside]], text[inside]
     by_trait, by_text = np.argsort(trait, kind="stable"), np.argsort(text, kind="stable")
-    trait_cuts = np.searchsorted(trait[by_trait], np.arange(len(good) + 1))
+    trait_cuts = np.searchsorted(trait[by_trait], np.arange(len(keys) + 1))
     text_cuts = np.searchsorted(text[by_text], np.arange(len(sets) + 1))
-    gain, left, chosen = t[good].astype(np.int64), np.full(len(sets), cover), []
-    while len(chosen) < min(most, len(good)):
+    gain, left, chosen = t.astype(np.int64), np.full(len(sets), cover), []
+    while len(chosen) < min(most, len(keys)):
         best = int(gain.argmax())
         if gain[best] < 2:
             break
@@ -134,7 +153,7 @@ def mine(toxic: DataFrame, clean: DataFrame, most: int = MOST_VOTERS, cover: int
             if left[d] == 0:
                 np.subtract.at(gain, trait[by_text[text_cuts[d] : text_cuts[d + 1]]], 1)
         gain[best] = -1
-    return keys[good[chosen]]
+    return keys[chosen]
 
 
 def _vote_matrix(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,25 +172,47 @@ def _vote_matrix(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return votes, np.array([r.label for r in got], dtype=np.int64)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior chance that each row is toxic. Labels start the estimate and are held; accuracies and correlations follow."""
+def dependence(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """What part of its own evidence each voter adds: 1 for one that is independent of all others given the class, 1 / k for k
+    voters that vote alike. toxic: chance of each row. Correlations below 0.3 count as chance."""
+    weight = np.stack([1 - toxic, toxic])
+    mean = weight @ votes / np.maximum(weight.sum(axis=1, keepdims=True), 1e-9)
+    rest = votes - weight.T @ mean
+    rest /= np.sqrt((rest**2).mean(axis=0)) + 1e-9
+    alike = rest.T @ rest / len(votes)
+    return 1 / np.maximum((np.clip(alike - 0.3, 0, None) / 0.7).sum(axis=1), 1)
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, levels: int = 24) -> np.ndarray:
+    """Posterior chance that each row is toxic. Labels are held; they start the estimate, and give the voters' dependence, where
+    both classes have some (20 rows for the latter), else texts with any vote do.
+
+    Evidence of a row: the sum over its votes of say x log(chance on toxic / chance on clean). Its odds: how much more often toxic
+    rows have evidence of that level (silence, then one of `levels` by quantiles; never falling as it rises) than clean ones.
+    """
     silent = ~votes.any(axis=1)
-    toxic = np.where(labels >= 0, labels, ~silent).astype(float)
-    for _ in range(rounds):
-        weight = np.stack([1 - toxic, toxic])
+    known = labels >= 0
+    classes = np.bincount(labels[known], minlength=2)[:2]
+    toxic = np.where(known, labels, ~silent).astype(float)
+    start = np.flatnonzero(known) if classes.min() >= 2 else np.arange(len(labels))
+    say = dependence(votes[known], labels[known].astype(float)) if classes.min() >= 20 else None
+    for k in range(rounds):
+        rows = start if k == 0 else slice(None)
+        weight = np.stack([1 - toxic, toxic])[:, rows]
         total = weight.sum(axis=1, keepdims=True)
-        chance = (weight @ votes + np.array([[0.02], [0.1]])) / (total + 1.0)
-        none = (weight @ silent + 0.5) / (total[:, 0] + 1.0)
-        prior = np.clip(toxic.mean(), 1e-3, 1 - 1e-3)
-        # Correlation within the classes: votes without what the class explains. Voters that repeat each other share one say.
-        rest = votes - weight.T @ chance
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        alike = (rest / spread).T @ (rest / spread) / len(votes)
-        say = 1 / np.maximum((np.clip(alike - 0.3, 0, None) / 0.7).sum(axis=1), 1)
-        # A voter that abstains says nothing; only that all abstain does.
-        odds = np.log(prior / (1 - prior)) + votes @ (say * (np.log(chance[1]) - np.log(chance[0]))) + silent * np.log(none[1] / none[0])
-        fresh = np.where(labels >= 0, labels, 1 / (1 + np.exp(-np.clip(odds, -40, 40))))
-        done = np.abs(fresh - toxic).max() < 1e-6
+        chance = (weight @ votes[rows] + np.array([[0.02], [0.1]])) / (total + 1.0)
+        own = dependence(votes, toxic) if say is None else say
+        evidence = votes @ (own * (np.log(chance[1]) - np.log(chance[0])))
+        borders = np.unique(np.quantile(evidence[~silent], np.linspace(0, 1, levels)[1:-1])) if not silent.all() else np.zeros(0)
+        level = np.where(silent, 0, 1 + np.searchsorted(borders, evidence - 1e-9, side="left"))
+        n = len(borders) + 2
+        share = np.stack([np.bincount(level[rows], w, n) for w in weight]) + 0.5
+        share /= share.sum(axis=1, keepdims=True)
+        ratio = np.log(share[1] / share[0])
+        ratio = np.maximum.accumulate(ratio)
+        prior = np.clip(weight[1].sum() / total.sum(), 1e-3, 1 - 1e-3)
+        fresh = np.where(known, labels, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio[level], -40, 40))))
+        done = k > 0 and np.abs(fresh - toxic).max() < 1e-6
         toxic = fresh
         if done:
             break
@@ -208,7 +249,8 @@ class Model:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", label: str = "toxic", text: str = "text") -> Model | None:
     """Learns from rows for which `learn` holds (an expression over the id). Samples are taken by hash of the id, bounded by
-    TOXIC_ROWS, CLEAN_ROWS and OTHER_ROWS, so they are sent to the tasks that read the texts. None without a toxic label."""
+    TOXIC_ROWS, CLEAN_ROWS and OTHER_ROWS, so they are sent to the tasks that read the texts. Of rows that repeat an id one is
+    learned from (the least text); a label that is null is none. None without a toxic label."""
     c = F.col
     marked = labels.where(learn & c(label).isNotNull()).select(c(id).alias("own"), c(label).cast("int").alias("label"))
     own = docs.where(learn).select(c(id).alias("id"), c(text).alias("text"))
@@ -217,7 +259,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
         return rows.orderBy(F.xxhash64("own"), "own", "label").limit(n)
 
     def texts(rows: DataFrame) -> DataFrame:
-        return own.join(F.broadcast(rows), c("id") == c("own")).select("label", "text")
+        met = own.join(F.broadcast(rows), c("id") == c("own"))
+        return met.groupBy("own", "label").agg(F.min("text").alias("text")).select("label", "text")  # one of the rows of an id
 
     toxic, clean = some(marked.where("label = 1"), TOXIC_ROWS), some(marked.where("label = 0"), CLEAN_ROWS)
     keys = mine(texts(toxic).select("text"), texts(clean).select("text"))
