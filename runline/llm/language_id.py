@@ -20,8 +20,8 @@ ORDERS = (1, 2, 3, 4)
 _BITS = 20
 #: Letters of A-Z as a-z, other ASCII bytes as blanks, bytes of other letters as they are.
 _FOLD = np.array([c if c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A else 0x20 for c in range(256)], dtype=np.uint8)
-#: Texts whose indicators are multiplied at once.
-_ROWS = 128
+#: Texts whose indicators are multiplied at once, and entries of their matrix.
+_ROWS, _CELLS = 128, 1 << 24
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray):
@@ -39,9 +39,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray):
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, width: int):
-    """(first text, matrix of n-gram presence) of every `_ROWS` texts. table: column of each n-gram, or -1."""
-    for low in range(0, len(offsets) - 1, _ROWS):
-        cut = offsets[low : low + _ROWS + 1]
+    """(first text, matrix of n-gram presence) of every few texts. table: column of each n-gram, or -1."""
+    step = max(1, min(_ROWS, _CELLS // max(width, 1)))
+    for low in range(0, len(offsets) - 1, step):
+        cut = offsets[low : low + step + 1]
         out = np.zeros((len(cut) - 1, width), dtype=bool)
         for doc, number in ngrams(data[cut[0] : cut[-1]], cut - cut[0]):
             column = table[number]
@@ -50,6 +51,34 @@ def indicators(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, width:
         yield low, out.astype(np.float32)
 
 
+class Landmarks:
+    """N-grams of the landmark texts as lists: those of column c are held by the landmarks owner[cuts[c]:cuts[c + 1]]. As large as the
+    landmarks' texts, whatever the number of n-grams."""
+
+    def __init__(self, bases: list[np.ndarray]):
+        numbers, owner = np.concatenate(bases), np.repeat(np.arange(len(bases)), [len(b) for b in bases])
+        order = np.argsort(numbers, kind="stable")
+        self.used, self.owner = np.unique(numbers), owner[order].astype(np.int32)
+        self.cuts = np.concatenate((np.searchsorted(numbers[order], self.used), [len(numbers)]))
+        self.table = np.full(len(ORDERS) << _BITS, -1, dtype=np.int32)
+        self.table[self.used] = np.arange(len(self.used))
+        self.norm = np.sqrt(np.array([len(b) for b in bases], dtype=np.float64))
+        self.bases = [self.table[b] for b in bases]
+
+    def kernel(self, columns: np.ndarray) -> np.ndarray:
+        """Of a text that has these columns, with each landmark (not yet divided by the text's own norm)."""
+        size = self.cuts[columns + 1] - self.cuts[columns]
+        at = np.repeat(self.cuts[columns] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], minlength=len(self.norm)) / self.norm
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of landmarks (rows) as sums over the landmarks of each n-gram."""
+        out = np.zeros((len(self.used), values.shape[1]))
+        for base, value, norm in zip(self.bases, values, self.norm, strict=True):
+            out[base] += value / norm
+        return out
+
+
 class Model:
     """languages; table and weights of n-grams (the last row of `intercept` per language)."""
 
@@ -65,17 +94,20 @@ class Model:
 
 
 def sampled(docs: DataFrame, lang: str, id: str, per_language: int, salt: int) -> DataFrame:
-    """About `per_language` rows of each language, chosen by hash; all of one that has fewer."""
+    """(lang, id, text) of about `per_language` rows of each language, chosen by hash; all of one that has fewer. Of rows that repeat
+    an id (in one language) one is taken, that of the least text."""
     counts = docs.groupBy(lang).agg(F.count("*").alias("k"))
     rates = counts.select(F.col(lang).alias("its"), (F.lit(float(per_language)) / F.col("k")).alias("rate"))
     chance = F.pmod(F.xxhash64(id, F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    return docs.join(F.broadcast(rates), F.col(lang) == F.col("its")).where(chance < F.col("rate"))  # a row per language
+    met = docs.join(F.broadcast(rates), F.col(lang) == F.col("its")).where(chance < F.col("rate"))  # a row per language
+    return met.groupBy(lang, id).agg(F.min("text").alias("text"))
 
 
 def train(spark: SparkSession, docs: DataFrame, id: str, lang: str, text: str, landmarks: int = 48, samples: int = 600, ridge: float = 1e-3) -> Model | None:
     """Fits on about `samples` rows of each language, with about `landmarks` of them as landmarks; whole texts.
 
-    None if no row has a language.
+    None if no row has a language. What is sent to tasks: the landmarks' n-grams as lists while fitting, then a weight per n-gram
+    that a landmark has (at most 4 * 2**20) and language.
     """
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     scratch = Scratch(spark, "language")
@@ -92,34 +124,30 @@ def train(spark: SparkSession, docs: DataFrame, id: str, lang: str, text: str, l
 
     chosen = sampled(rows.select("id", "lang", "text"), "lang", "id", landmarks, 2)
     bases = [np.frombuffer(r.numbers, np.int32) for r in chosen.select("text").mapInArrow(present, "numbers binary").collect()]
-    bases = [b for b in bases if len(b)]  # at most landmarks * languages, each of at most 4 * 2**20 n-grams
+    bases = [b for b in bases if len(b)]  # about landmarks * languages texts
     if not bases:
         return None
-    used = np.unique(np.concatenate(bases))
-    table = np.full(len(ORDERS) << _BITS, -1, dtype=np.int32)
-    table[used] = np.arange(len(used))
-    marks = np.zeros((len(bases), len(used)), dtype=np.float32)
-    for k, b in enumerate(bases):
-        marks[k, table[b]] = 1
-    marks /= np.sqrt(marks.sum(axis=1))[:, None]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = Landmarks(bases)
+    values, vectors = np.linalg.eigh(np.stack([marks.kernel(b) / n for b, n in zip(marks.bases, marks.norm, strict=True)]))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    project = (marks.T @ root.astype(np.float32)).astype(np.float32)  # n-grams x landmarks
-    size = project.shape[1] + 1
-    sent = spark.sparkContext.broadcast((table, project, languages))
+    size = len(bases) + 1
+    sent = spark.sparkContext.broadcast((marks, root, languages))
 
     def sums(batches):
-        table, project, languages = sent.value
+        marks, root, languages = sent.value
         gram, target, n = np.zeros((size, size)), np.zeros((size, len(languages))), 0
         for batch in batches:
             for part, data, offsets in W.text_slices(batch, "text"):
                 own = np.array([languages.index(x) for x in part.column(0).to_pylist()])
-                for low, m in indicators(data, offsets, table, len(project)):
-                    features = np.ones((len(m), size))
-                    features[:, :-1] = m @ project / np.sqrt(np.maximum(m.sum(axis=1), 1))[:, None]
-                    gram += features.T @ features
-                    target += features.T @ np.eye(len(languages))[own[low : low + len(m)]]
-                    n += len(m)
+                features = np.ones((part.num_rows, size))
+                for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    columns = marks.table[np.unique(np.concatenate([np.zeros(0, np.int64), *[x for _, x in ngrams(data[a:b], np.array([0, b - a]))]]))]
+                    columns = columns[columns >= 0]
+                    features[k, :-1] = marks.kernel(columns) / np.sqrt(max(len(columns), 1))
+                features[:, :-1] = features[:, :-1] @ root
+                gram += features.T @ features
+                target += features.T @ np.eye(len(languages))[own]
+                n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([target.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["gram", "target", "n"])
 
     gram, target, n = np.zeros((size, size)), np.zeros((size, len(languages))), 0
@@ -130,7 +158,7 @@ def train(spark: SparkSession, docs: DataFrame, id: str, lang: str, text: str, l
     penalty = np.eye(size) * ridge * max(n, 1)
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(gram + penalty, target)
-    return Model(languages, table, (project @ beta[:-1].astype(np.float32)), beta[-1].astype(np.float32))
+    return Model(languages, marks.table, marks.spread(root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
 
 
 def has_letter(text: Column) -> Column:
