@@ -66,7 +66,8 @@ class TestSet:
                         self.windows.append(key)
                         self.owners.append(set())
                     window_of[-1] = seen[key]
-                    self.owners[seen[key]].add(name)
+                    if name is not None:
+                        self.owners[seen[key]].add(name)
         self.lengths, self.full, self.window_of = (np.array(x, np.int64) for x in (lengths, full, window_of))
 
     def common(self, suffix: np.ndarray, padded: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -257,7 +258,9 @@ def decontaminate(
 
     A window is `window` consecutive words of an item; an item of fewer words is one window. Null or empty texts have
     no words. An empty benchmark hits nothing. Rows are judged one by one, also those that repeat an id or
-    have none. Other columns are not read.
+    have none. An item without an id hits like any other, but is not named in `items`; items that repeat an id are named
+    once. Very long texts are slices of their own. Document ids are integers; item ids of any kind are named by their
+    text. Other columns are not read.
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     test = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
