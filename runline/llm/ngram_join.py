@@ -36,7 +36,7 @@ _NO_ID = -(1 << 63)
 #: Frequencies from here on count as one; it is also that of an n-gram in at least so many texts of a chunk (about 2 MB).
 MOST_FREQUENT, FREQUENT_IN_CHUNK = (1 << 15) - 1, 16
 #: Bytes of text per range of hashes, of sets per task of trees; sets of a slice of a large group, and its sets that all slices have.
-RANGE_BYTES, TREE_BYTES = 16 << 20, 8 << 20
+RANGE_BYTES, TREE_BYTES = 4 << 20, 8 << 20
 SLICE, COMMON = 4096, 16
 #: Sets under an n-gram up to which those of different components are paired; under others they meet in blocks of BLOCK sets.
 MOST_PAIRED = 32

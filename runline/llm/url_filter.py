@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from runline.llm.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of all levels together, which are sent with the plan. Above it the listed keys are dealt into groups.
+#: Bits of all levels together, which are sent with the plan. A list that needs more is refused.
 MOST_BITS = 1 << 26
 
 
@@ -92,7 +92,7 @@ class Cascade:
         while True:
             level = _level(number, n, rate if number == 1 else 0.5)
             if sum(x.size for x in self.levels) + level.size > most_bits:
-                raise ValueError(f"{n} listed keys need more than {most_bits} bits: deal them into groups")
+                raise ValueError(f"{n} listed keys need more than {most_bits} bits")
             self.levels.append(level.fill(inside))
             # What of the other side passes, is encoded next; each table is about half of the one before.
             passing = outside.where(level.passes(F.col("key")))
