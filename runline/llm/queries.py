@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runline.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, substring_dedup, toxicity, training_order, url_filter
 from runline.llm.oracle import ORACLE_SQL
+from runline.llm.scratch import Scratch
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -91,8 +92,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_order.training_order(spark, _table(spark, sf_dir, "documents"))
-    return rows.select("slot", "sequence_id", "shard", "position", "n_tokens", F.col("ids_of_docs").alias("doc_ids"), F.crc32("payload").alias("payload_crc32"))
+    """Sequences as they are read again from the binary shards."""
+    ordered = training_order.training_order(spark, _table(spark, sf_dir, "documents"))
+    path = Scratch(spark, "shards").path()
+    training_order.write_shards(ordered, path)
+    read = training_order.read_from(spark, path).select("slot", F.crc32("payload").alias("payload_crc32"))
+    index = spark.read.parquet(f"{path}/index").select("slot", "sequence_id", "shard", "position", "n_tokens", F.col("ids_of_docs").alias("doc_ids"))
+    return index.join(read, "slot")
 
 
 QUERIES = {

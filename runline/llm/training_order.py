@@ -1,14 +1,19 @@
 """Token ids in training order: sequences of a fixed stride, read one after the other, from any slot on.
 
 A keyed Feistel permutation with cycle-walking gives every sequence a slot in 0..N-1 without sorting or storing the
-order. Slots are dealt by range to partitions, so each partition writes whole shards, in order:
-as Parquet rows. `position` is the byte that a sequence would have in a file of its shard's payloads alone.
+order. Slots are dealt by range to partitions, so each partition writes whole shards, in order: binary files that
+hold nothing but their sequences, each of one stride, so a sequence lies at a byte that its slot gives. An index beside
+them has what is known of each sequence.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,12 +109,78 @@ def training_order(
     return dealt.mapInArrow(assemble, f"slot long, sequence_id long, shard long, position long, n_tokens long, ids_of_docs array<{kind}>, payload binary")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """One Parquet file per range of slots; rows in order of slot, each of one stride."""
-    ordered.write.mode("errorifexists").parquet(path)
+def _file(shard: int) -> str:
+    return f"shard-{shard:010d}.bin"
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """A file that is there whole or not at all: written under another name, then renamed. A repeated attempt writes the same."""
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    system.create_dir(path, recursive=True)
+    other = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(other) as out:
+        out.write(data)
+    system.move(other, f"{path}/{name}")
+
+
+def write_shards(ordered: DataFrame, path: str, shard_size: int = 256, per_folder: int = 1 << 16) -> None:
+    """Files `path/shards/range=<first slot // per_folder>/shard-<number>.bin`: the payloads of a shard's slots, in order, and nothing
+    else; a sequence lies at `position`. Beside them Parquet: `index`, the other columns, and `layout`, a row with the numbers
+    that place a slot.
+
+    ordered: rows of training_order with the same `shard_size`: whole shards in each partition, in order. Tasks write where
+    pyarrow can (shared folders, HDFS, S3, GCS). Fails if `path` has an index already. No rows give no files.
+    """
+    kept = [c for c in ordered.columns if c != "payload"]
+    places = [ordered.columns.index(c) for c in kept]
+    shard_at, payload_at = ordered.columns.index("shard"), ordered.columns.index("payload")
+
+    def run(batches):
+        shard, parts = None, []
+
+        def close():
+            _put(f"{path}/shards/range={shard * shard_size // per_folder}", _file(shard), b"".join(parts))
+
+        for batch in batches:
+            for number, payload in zip(batch.column(shard_at).to_pylist(), batch.column(payload_at).to_pylist(), strict=True):
+                if number != shard:
+                    if parts:
+                        close()
+                    shard, parts = number, []
+                parts.append(payload)
+            stride = pa.array([len(x) for x in batch.column(payload_at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], stride], [*kept, "stride"])
+        if parts:
+            close()
+
+    kinds = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in kept)
+    ordered.mapInArrow(run, f"{kinds}, stride long").write.mode("errorifexists").parquet(f"{path}/index")
+    index = ordered.sparkSession.read.parquet(f"{path}/index")
+    layout = index.agg(F.max("stride").alias("stride"), F.count("*").alias("n_slots"))
+    layout.select("stride", "n_slots", F.lit(shard_size).cast("long").alias("shard_size"), F.lit(per_folder).cast("long").alias("per_folder")).write.parquet(f"{path}/layout")
 
 
 def read_from(spark: SparkSession, path: str, slot: int = 0, shard: int | None = None) -> DataFrame:
-    """Sequences from `slot` on (resumed), or one shard's; only the row groups that hold them are read."""
-    rows = spark.read.parquet(path).where(F.col("slot") >= slot)
+    """(slot, shard, position, payload) of the sequences from `slot` on (resumed), or of one shard's, cut out of the binary files.
+    Only folders that can hold them are read."""
+    layout = spark.read.parquet(f"{path}/layout").first()
+    schema = "slot long, shard long, position long, payload binary"
+    if not layout.n_slots:
+        return spark.createDataFrame([], schema)
+    stride, size = layout.stride, layout.shard_size
+    first = slot // size if shard is None else shard
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("range") >= first * size // layout.per_folder)
+    if shard is not None:
+        files = files.where(F.col("range") == shard * size // layout.per_folder)
+    number = re.compile(r"shard-([0-9]+)\.bin$")
+
+    def cut(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, n = int(number.search(name)[1]), len(data) // stride
+                at = np.arange(n)
+                payload = pa.array([data[k * stride : (k + 1) * stride] for k in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(own * size + at), pa.array(np.full(n, own)), pa.array(at * stride), payload], ["slot", "shard", "position", "payload"])
+
+    rows = files.select("path", "content").mapInArrow(cut, schema).where(F.col("slot") >= slot)
     return rows if shard is None else rows.where(F.col("shard") == shard)

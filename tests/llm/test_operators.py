@@ -193,15 +193,25 @@ def test_training_order(spark, tmp_path):
         want.setdefault(r.sequence_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     ordered = training_order.training_order(spark, frame(spark, values), size=32, shard_size=4)
     path = str(tmp_path / "shards")
-    training_order.write_shards(ordered, path)
+    training_order.write_shards(ordered, path, shard_size=4, per_folder=8)
+    index = {r.slot: r for r in spark.read.parquet(f"{path}/index").collect()}
     rows = training_order.read_from(spark, path).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(len(want))) and sorted(r.sequence_id for r in rows) == sorted(want)
+    assert [r.slot for r in rows] == list(range(len(want))) and sorted(r.sequence_id for r in index.values()) == sorted(want)
     for r in rows:
-        assert len(r.payload) == 64 and (r.shard, r.position) == (r.slot // 4, 64 * (r.slot % 4))
-        assert np.frombuffer(r.payload, "<u2").tolist()[: r.n_tokens] == want[r.sequence_id]
-    assert training_order.read_from(spark, path, slot=7).count() == len(want) - 7
-    assert training_order.read_from(spark, path, shard=1).count() == 4
-    assert training_order.training_order(spark, frame(spark, [])).count() == 0
+        assert len(r.payload) == 64 and (r.shard, r.position) == (r.slot // 4, 64 * (r.slot % 4)) == (index[r.slot].shard, index[r.slot].position)
+        assert np.frombuffer(r.payload, "<u2").tolist()[: index[r.slot].n_tokens] == want[index[r.slot].sequence_id]
+    files = {p.name: p for p in (tmp_path / "shards" / "shards").rglob("shard-*.bin")}
+    assert len(files) == -(-len(want) // 4) and sum(p.stat().st_size for p in files.values()) == 64 * len(want)
+    with files[f"shard-{9 // 4:010d}.bin"].open("rb") as f:  # any slot, without Spark
+        f.seek(64 * (9 % 4))
+        assert f.read(64) == rows[9].payload
+    for k in (0, 1, 7, 8, len(want) - 1, len(want)):
+        assert [r.slot for r in training_order.read_from(spark, path, slot=k).orderBy("slot").collect()] == list(range(k, len(want)))
+    assert [r.slot for r in training_order.read_from(spark, path, shard=1).orderBy("slot").collect()] == [4, 5, 6, 7]
+    empty = training_order.training_order(spark, frame(spark, []))
+    assert empty.count() == 0
+    training_order.write_shards(empty, str(tmp_path / "none"))
+    assert training_order.read_from(spark, str(tmp_path / "none")).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 4097])
