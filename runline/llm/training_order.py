@@ -67,45 +67,59 @@ def training_order(
     parts = max(1, min(shards, max(-(-2 * size * n // partition_bytes), partitions(spark))))
     per_part = max(1, -(-shards // parts)) * shard_size  # whole shards in each partition
 
+    kind = pieces.schema["id"].dataType.simpleString()
+    kind_of = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
     def place(batches):
+        """A row for all pieces of a batch that go to one partition; their ids are compressed together."""
+        zstd = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            yield batch.append_column("slot", pa.array(slots(batch.column(1).to_numpy(), n, key)))
-
-    kind = pieces.schema["id"].dataType.simpleString()
-    placed = pieces.mapInArrow(place, f"id {kind}, sequence_id long, offset long, ids binary, slot long")
-    dealt = placed.repartitionById(parts, F.floor(F.col("slot") / per_part).cast("int")).sortWithinPartitions("slot", "offset")
+            slot = slots(batch.column(1).to_numpy(), n, key)
+            order = np.argsort(slot // per_part, kind="stable")
+            part = slot[order] // per_part
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+            sorted_ = batch.take(pa.array(order))
+            blobs = sorted_.column(3).to_pylist()
+            lists = [pa.array(slot[order]), sorted_.column(1), sorted_.column(2), pa.array([len(x) for x in blobs], pa.int64()), sorted_.column(0)]
+            packed = [zstd.compress(b"".join(blobs[i:j]), asbytes=True) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            bounds = pa.array(cuts.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *[pa.ListArray.from_arrays(bounds, x) for x in lists], pa.array(packed, pa.binary())], ["part", "slot", "sequence_id", "offset", "size", "id", "ids"])
+
+    placed = pieces.mapInArrow(place, f"part int, slot array<long>, sequence_id array<long>, offset array<long>, size array<long>, id array<{kind}>, ids binary")
+    dealt = placed.repartitionById(parts, "part")
     names = ["slot", "sequence_id", "shard", "position", "n_tokens", "ids_of_docs", "payload"]
     pad = np.full(size, end_id, "<u2").tobytes()
+    schema = pa.schema([(x, pa.int64()) for x in names[:5]] + [("ids_of_docs", pa.list_(kind_of)), ("payload", pa.binary())])
 
     def assemble(batches):
-        """Pieces of a sequence stand together; one sequence is open at the end of a batch."""
-        rows: list = []
-        slot, sequence, docs_in, parts_in = None, None, [], []
-        schema = pa.schema([(x, pa.int64()) for x in names[:5]] + [("ids_of_docs", pa.list_(kind_of)), ("payload", pa.binary())])
-
-        def close():
-            data = b"".join(parts_in)
-            rows.append((slot, sequence, slot // shard_size, 2 * size * (slot % shard_size), len(data) // 2, docs_in, data + pad[len(data) :]))
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
+        """All pieces of a partition (about `partition_bytes`), put in order."""
+        zstd, columns, blobs = pa.Codec("zstd"), [[] for _ in range(5)], []
         for batch in batches:
-            for doc, seq, ids, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if s != slot:
-                    if slot is not None:
-                        close()
-                    if len(rows) >= 2048:
-                        yield flush()
-                        rows = []
-                    slot, sequence, docs_in, parts_in = s, seq, [], []
-                docs_in.append(doc)
-                parts_in.append(ids)
-        if slot is not None:
-            close()
-            yield flush()
+            for k, x in enumerate(columns):
+                x.append(batch.column(k + 1).flatten())
+            for sizes, packed in zip(batch.column(4), batch.column(6).to_pylist(), strict=True):
+                lengths = sizes.values.to_numpy()
+                data, ends = zstd.decompress(packed, int(lengths.sum()), asbytes=True), np.cumsum(lengths)
+                blobs += [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        if not blobs:
+            return
+        slot, sequence, offset, _, docs_in = (pa.chunked_array(x).combine_chunks() for x in columns)
+        order = np.lexsort((offset.to_numpy(), slot.to_numpy()))
+        slot, sequence, docs_in = slot.to_numpy()[order], sequence.to_numpy()[order], docs_in.take(pa.array(order))
+        cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
+        for low in range(0, len(cuts) - 1, 2048):
+            own = cuts[low : low + 2049]
+            first = slot[own[:-1]]
+            joined = [b"".join([blobs[i] for i in order[a:b]]) for a, b in zip(own[:-1], own[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), docs_in.slice(own[0], own[-1] - own[0]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(first), pa.array(sequence[own[:-1]]), pa.array(first // shard_size), pa.array(2 * size * (first % shard_size)),
+                    pa.array(np.array([len(x) // 2 for x in joined], np.int64)), lists, pa.array([x + pad[len(x) :] for x in joined], pa.binary()),
+                ],
+                schema=schema,
+            )
 
-    kind_of = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     return dealt.mapInArrow(assemble, f"slot long, sequence_id long, shard long, position long, n_tokens long, ids_of_docs array<{kind}>, payload binary")
 
 
