@@ -64,13 +64,18 @@ def offsets(encoded: DataFrame) -> tuple[dict[int, int], int]:
     return out, before
 
 
-def cut(spark: SparkSession, encoded: DataFrame, before: dict[int, int], size: int, wide: bool = True) -> DataFrame:
-    """(id, start, length, doc_tokens, sequence_id, offset, ids) per piece; ids: little-endian, 32 or 16 bits each."""
+#: Rows of encoded texts that are cut at once.
+ROWS_AT_ONCE = 1024
+
+
+def cut(spark: SparkSession, encoded: DataFrame, before: dict[int, int], size: int, wide: bool = True, then=None, schema: str | None = None) -> DataFrame:
+    """(id, start, length, doc_tokens, sequence_id, offset, ids) per piece; ids: little-endian, 32 or 16 bits each. `then` takes these
+    batches on in the same task, and gives rows of `schema`."""
     sent = spark.sparkContext.broadcast(before)
     width = 4 if wide else 2
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             part, place, _, start, _, blobs = batch.columns
             first = place.to_numpy() + np.array([sent.value[p] for p in part.to_pylist()], dtype=np.int64)
             n = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 2
@@ -101,6 +106,8 @@ def cut(spark: SparkSession, encoded: DataFrame, before: dict[int, int], size: i
             )
 
     kind = encoded.schema["id"].dataType.simpleString()
+    if then is not None:
+        return encoded.mapInArrow(lambda batches: then(run(batches)), schema)
     return encoded.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

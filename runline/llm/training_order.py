@@ -62,18 +62,17 @@ def training_order(
     encoded = Scratch(spark, "order").stored(packing.encode(docs, id, text, end_id, vocabulary))
     before, total = packing.offsets(encoded)
     n = -(-total // size)
-    pieces = packing.cut(spark, encoded, before, size, wide=False).select("id", "sequence_id", "offset", "ids")
     shards = -(-n // shard_size)
     parts = max(1, min(shards, max(-(-2 * size * n // partition_bytes), partitions(spark))))
     per_part = max(1, -(-shards // parts)) * shard_size  # whole shards in each partition
 
-    kind = pieces.schema["id"].dataType.simpleString()
+    kind = encoded.schema["id"].dataType.simpleString()
     kind_of = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def place(batches):
-        """A row for all pieces of a batch that go to one partition; their ids are compressed together."""
+        """A row for all pieces of some batches that go to one partition; their ids are compressed together."""
         zstd = pa.Codec("zstd", compression_level=3)
-        for batch in batches:
+        for batch in _gathered(batches, 4096):
             slot = slots(batch.column(1).to_numpy(), n, key)
             order = np.argsort(slot // per_part, kind="stable")
             part = slot[order] // per_part
@@ -85,7 +84,7 @@ def training_order(
             bounds = pa.array(cuts.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *[pa.ListArray.from_arrays(bounds, x) for x in lists], pa.array(packed, pa.binary())], ["part", "slot", "sequence_id", "offset", "size", "id", "ids"])
 
-    placed = pieces.mapInArrow(place, f"part int, slot array<long>, sequence_id array<long>, offset array<long>, size array<long>, id array<{kind}>, ids binary")
+    placed = packing.cut(spark, encoded, before, size, False, place, f"part int, slot array<long>, sequence_id array<long>, offset array<long>, size array<long>, id array<{kind}>, ids binary")
     dealt = placed.repartitionById(parts, "part")
     names = ["slot", "sequence_id", "shard", "position", "n_tokens", "ids_of_docs", "payload"]
     pad = np.full(size, end_id, "<u2").tobytes()
@@ -123,6 +122,19 @@ def training_order(
     return dealt.mapInArrow(assemble, f"slot long, sequence_id long, shard long, position long, n_tokens long, ids_of_docs array<{kind}>, payload binary")
 
 
+def _gathered(batches, rows: int):
+    """(id, sequence_id, offset, ids) of at least so many pieces at once."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch.select(["id", "sequence_id", "offset", "ids"]))
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, n = [], 0
+    if n:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _file(shard: int) -> str:
     return f"shard-{shard:010d}.bin"
 

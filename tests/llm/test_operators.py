@@ -367,6 +367,30 @@ def test_pipeline_repeated_rows(spark):
     assert sorted(r.doc_id for r in P.one_of_each_group(spark, docs, "").collect()) == [0, 1]
 
 
+def test_pipeline_odd_rows(spark, sf):
+    """Null ids and texts, repeated ids, further columns with names that operators use, no n_chars, and an empty table."""
+    import corpus_pipeline as P
+
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
+    words = "the house and the garden are quiet when people walk home through old streets in the evening light "
+    values = [(None, words + leak), (1, words * 2), (1, "another text about different matters entirely, with token=abcdef123456 inside"), (2, words * 2), (None, words * 2), (3, None), (4, ""), (5, "12 34"), (6, words + leak), (None, None)]
+    rows = [(i, t, "en", "x", 7, 0.5, "a", 3) for i, t in values]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, found string, n long, score double, lang_pred string, component_id long")
+    known = P.known_language(spark, docs, sf)
+    assert known.columns == docs.columns and {r.text for r in known.collect()} == {t for _, t in values if t and "t" in t}
+    one = P.one_of_each_group(spark, docs, sf)
+    assert one.columns == docs.columns
+    copies = [r.doc_id for r in one.collect() if r.text == words * 2]
+    assert copies == [1] and one.where("text is null or text = ''").count() == 3 and one.where("doc_id = 1").count() == 2
+    clean = P.no_benchmark(spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == 8 and not clean.where(F.contains("text", F.lit(leak))).count()
+    redacted = P.no_secrets(spark, docs, sf)
+    assert redacted.columns == docs.columns and redacted.count() == 10 and redacted.where("text like '%abcdef123456%'").count() == 0
+    assert P.packed(spark, docs, sf).groupBy("sequence_id", "offset").count().count() >= 10
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_digests(spark, sf):
     rows = queries.op3_packing(spark, sf).collect()
     pieces = packing.pack(spark, spark.read.parquet(f"{sf}/documents.parquet")).collect()
