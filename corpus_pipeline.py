@@ -13,47 +13,58 @@ LEAST_LANGUAGE_SCORE = 0.3
 SECRET = "[secret]"
 
 
-def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents but those of `ids` (doc_id). The ids are written first: only if the table is small, it is broadcast."""
-    return docs.join(Scratch(spark, "dropped").stored(ids.distinct()), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Written with a number per row (`_row`), so that stages judge rows, whatever their ids: they may be null or repeat."""
+    return Scratch(spark, "rows").stored(docs.select("*", F.monotonically_increasing_id().alias("_row")))
+
+
+def _but(spark: SparkSession, rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """`rows` but those whose `_row` is in `bad`. The numbers are written first: only if that table is small, it is broadcast."""
+    return rows.join(Scratch(spark, "dropped").stored(bad.select("_row").distinct()), "_row", "left_anti").drop("_row")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that resemble no language of the corpus."""
+    """Drops documents without a letter (null and empty ones too), and those that resemble no language of the corpus. Rows
+    are judged by their text alone, so repeated ones alike; without any row that names a language all are dropped. Columns stay as
+    they are, further ones too."""
     model = language_id.train(spark, docs, "doc_id", "lang", "text")
-    judged = language_id.language_id(spark, docs, model, keep=docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    given = docs.withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")})
+    judged = language_id.language_id(spark, given, model, keep=given.columns)
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*[F.col(g).alias(c) for g, c in zip(given.columns, docs.columns, strict=True)])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of near copies. Rows that repeat an id are one document: one stays."""
-    found = Scratch(spark, "groups").stored(ngram_join.ngram_join(spark, docs))
-    kept = found.where("doc_id = component_id").select("doc_id")
-    others = found.where("doc_id <> component_id").select("doc_id").join(kept, "doc_id", "left_anti")
-    left = _without(spark, docs, others)
-    again = Scratch(spark, "again").stored(kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    first = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(spark, left, again).unionByName(first.select(*docs.columns))
+    """Keeps one row of each component of near copies, that of the smallest id (of repeated or null ids, the row read first;
+    null ids come last). Rows without words are no copies of anything and stay."""
+    rows = _numbered(spark, docs)
+    found = ngram_join.ngram_join(spark, rows, "_row").select("_row", "n_shingles", "component_id")
+    found = Scratch(spark, "groups").stored(found.join(rows.select("_row", "doc_id"), "_row").where("n_shingles > 0"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    first = found.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
+    others = found.join(first.select("component_id", F.col("first.row").alias("stays")), "component_id").where("_row <> stays")
+    return _but(spark, rows, others)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a benchmark passage."""
-    found = decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(spark, docs, found.where(F.size("hits") > 0).select("doc_id"))
+    """Drops documents with a benchmark passage, row by row: a null or repeated id makes no difference, null texts stay."""
+    rows = _numbered(spark, docs)
+    found = decontaminate.decontaminate(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row")
+    return _but(spark, rows, found.where(F.size("hits") > 0))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents; each secret's text is replaced, and n_chars follows."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cleaned = secret_scan.secret_spans(docs, secret_scan.train(docs), others, redact=SECRET).withColumnRenamed("redacted", "text")
-    kind = docs.schema["n_chars"].dataType
-    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    """Keeps all rows; each secret's text is replaced, and n_chars follows, if there is such a column. Null texts stay null."""
+    given = docs.withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"})
+    others = [c for c in given.columns if c != "text"]
+    cleaned = secret_scan.secret_spans(given, secret_scan.train(docs), others, redact=SECRET).withColumnRenamed("redacted", "text")
+    out = cleaned.select(*[F.col(g).alias(c) for g, c in zip(given.columns, docs.columns, strict=True)])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents that are left, cut into sequences of 1024 tokens."""
+    """Pieces of all documents that are left, cut into sequences of 1024 tokens. A null text is the end id alone; repeated rows are
+    packed each; no documents give no pieces."""
     return packing.pack(spark, docs)
 
 
@@ -70,7 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents, each written and reread."""
+    """All stages over sf_dir's documents, each written and reread. An empty table gives no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
