@@ -71,8 +71,8 @@ def training_order(
 
     def place(batches):
         """A row for all pieces of some batches that go to one partition; their ids are compressed together."""
-        zstd = pa.Codec("zstd", compression_level=3)
-        for batch in _gathered(batches, 4096):
+        zstd = pa.Codec("zstd", compression_level=6)
+        for batch in _gathered(batches, 12_000):
             slot = slots(batch.column(1).to_numpy(), n, key)
             order = np.argsort(slot // per_part, kind="stable")
             part = slot[order] // per_part
