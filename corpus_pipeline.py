@@ -42,7 +42,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = Scratch(spark, "groups").stored(found.join(rows.select("_row", "doc_id"), "_row").where("n_shingles > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     first = found.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
-    others = found.join(first.select("component_id", F.col("first.row").alias("stays")), "component_id").where("_row <> stays")
+    # Written, so that the join after it is planned by its size, and a component of very many rows can be split.
+    first = Scratch(spark, "first").stored(first.select("component_id", F.col("first.row").alias("stays")))
+    others = found.join(first, "component_id").where("_row <> stays")
     return _but(spark, rows, others)
 
 
