@@ -241,17 +241,17 @@ def _named(name: str, run, text: str):
 _named("row_diff", _window_query(diff1=lambda: temporal.row_diff("feed_rate", KEYS), absdiff1=lambda: F.abs(temporal.row_diff("feed_rate", KEYS))), sql(DIFF, f"SELECT {K}, row_idx, {r('d', 'diff1')}, {r('abs(d)', 'absdiff1')} FROM df"))
 @query(sql(f"SELECT {K}, row_idx, {r(f'avg(feed_rate) OVER ({frame(W)})', 'm')}, {r(f'avg(feed_rate) OVER ({frame(4)})', 'even')} FROM ml"))
 def rolling_mean(spark, sf_dir):
-    return temporal.rolling_rows(machine_log(spark, sf_dir), {"m": ("feed_rate", "mean", W), "even": ("feed_rate", "mean", 4)}, KEYS, block=100)
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"m": ("feed_rate", "mean", W), "even": ("feed_rate", "mean", 4)}, KEYS, block=2000)
 
 
 @query(sql(f"SELECT {K}, row_idx, {r(f'coalesce(stddev_samp(feed_rate) OVER ({frame(W)}), 0.0)', 's')} FROM ml"))
 def rolling_std(spark, sf_dir):
-    return temporal.rolling_rows(machine_log(spark, sf_dir), {"s": ("feed_rate", "std", W)}, KEYS, block=100)
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"s": ("feed_rate", "std", W)}, KEYS, block=2000)
 
 
 @query(sql(f"SELECT {K}, row_idx, {r(f'avg(raw_score) OVER ({frame(W)})', 'smoothed')}, {r('raw_score', 'same')} FROM ml"))
 def smooth(spark, sf_dir):
-    rows = temporal.smooth_rows(machine_log(spark, sf_dir).select(K, "row_idx", "raw_score"), {"smoothed": "raw_score"}, W, KEYS, block=100)
+    rows = temporal.smooth_rows(machine_log(spark, sf_dir).select(K, "row_idx", "raw_score"), {"smoothed": "raw_score"}, W, KEYS, block=2000)
     return temporal.smooth_rows(rows, {"same": "raw_score"}, 1, KEYS).drop("raw_score")
 
 
@@ -260,7 +260,7 @@ _named("change_flag", _window_query(changed=lambda: temporal.change_flag("progra
 
 @query(sql(DIFF, f"SELECT {K}, row_idx, {r(f'avg(abs(d)) OVER ({frame(W)})', 'absdiff_mean')} FROM df"))
 def rolling_absdiff_mean(spark, sf_dir):
-    return temporal.rolling_rows(machine_log(spark, sf_dir), {"absdiff_mean": ("feed_rate", "absdiff_mean", W)}, KEYS, block=100)
+    return temporal.rolling_rows(machine_log(spark, sf_dir), {"absdiff_mean": ("feed_rate", "absdiff_mean", W)}, KEYS, block=2000)
 
 
 def _features_sql(diffs: bool) -> str:
@@ -275,7 +275,7 @@ def _features_sql(diffs: bool) -> str:
 
 @query(_features_sql(True))
 def temporal_features(spark, sf_dir):
-    return temporal.temporal_features(machine_log(spark, sf_dir), ["feed_rate", "spindle_speed"], [5, W], KEYS, with_diff=True, block=100)
+    return temporal.temporal_features(machine_log(spark, sf_dir), ["feed_rate", "spindle_speed"], [5, W], KEYS, with_diff=True, block=2000)
 
 
 @query(_features_sql(False))
