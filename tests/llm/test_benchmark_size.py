@@ -30,3 +30,10 @@ def test_long_item():
     data = np.frombuffer(f"x {text} y {text}".encode(), np.uint8)
     _, _, (_, _, at, best) = decontaminate.shard_matches(test, data, np.array([0, len(text) + 3, len(data)]))
     assert sorted(zip(best.tolist(), at.tolist(), strict=True))[-2:] == [(10_000, 1), (10_000, 1)]
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "delta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), ("b", "gamma"), ("a", "gamma"), ("a", "gamma")], "item_id string, text string")
+    rows = {r.doc_id: (sum(h.size for h in r.hits), r.items) for r in decontaminate.decontaminate(spark, docs, bench).collect()}
+    assert rows == {1: (2, []), 2: (1, ["a", "b"]), 3: (0, [])}
