@@ -27,6 +27,10 @@ _LINE_END = 0x0A
 SIEVE_BITS = 1 << 25
 #: Words of the grams whose least hash names a chunk of windows, and windows that a group of chunks holds on average.
 GRAM, GROUP = 25, 250_000
+#: Names of chunks, and windows, that are so frequent that they are sent to all tasks instead of shuffled: at most so many.
+MOST_NAMES, MOST_WINDOWS = 100_000, 10_000
+#: A name of so many windows, or a window that comes so often, is not frequent yet, however small the table.
+FEW_OF_NAME, FEW_OF_WINDOW = GROUP // 8, 1000
 
 
 def tune(percent: int, recall: float = 0.999, noise: float = 0.3, most_noise: float = 0.12) -> tuple[int, int]:
@@ -288,6 +292,55 @@ def _repeats(size: int):
     return run
 
 
+_RUN = ["id", "low", "high", "start", "stop", "removed", "class_id", "shift"]
+_RUNS = "id long, low long, high long, start long, stop long, removed boolean, class_id long, shift long"
+
+
+def _collapsed(batches):
+    """Runs of one window each as longer ones, where rows that follow each other continue one. Others stay, for the join of runs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _RUN}
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = of["low"][1:] != of["high"][:-1] + 1
+        for c in ("id", "removed", "class_id", "shift"):
+            new[1:] |= of[c][1:] != of[c][:-1]
+        a = np.flatnonzero(new)
+        b = np.concatenate((a[1:], [batch.num_rows])) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(of[c][b if c in ("high", "stop") else a]) for c in _RUN], _RUN)
+
+
+def _common(scratch: Scratch, found: DataFrame, size: int, n: int) -> DataFrame:
+    """What `_repeats` finds in the chunks of `found`, whatever their number: a window's first and last place are aggregated before
+    the shuffle, and sent to all tasks if it is frequent (at most MOST_WINDOWS are, of `n`)."""
+    each = found.select("id", "first", F.posexplode(F.arrays_zip("windows", "starts", "stops")).alias("k", "own"))
+    each = each.select("id", (F.col("first") + F.col("k")).alias("word"), F.col("own.windows").alias("window"), F.col("own.starts").alias("start"), F.col("own.stops").alias("stop"))
+    lanes = -(-size // 64)
+    place = F.pmod("word", F.lit(64 * lanes))
+    bit = F.expr("shiftleft(1L, cast(word & 63 as int))")
+    # Different places of a window that overlaps all others of it, as bits: fewer than rows if rows repeat an id.
+    bits = [F.bit_or(F.when(F.shiftright(place, 6) == j, bit).otherwise(F.lit(0).cast("long"))) for j in range(lanes)]
+    different = sum((F.bit_count(F.col(f"bits{j}")) for j in range(lanes)), F.lit(0))
+    at = F.struct("id", "word")
+    known = each.groupBy("window").agg(F.min(at).alias("head"), F.max(at).alias("tail"), F.count("*").alias("k"), *[b.alias(f"bits{j}") for j, b in enumerate(bits)])
+    known = known.where((F.col("head.id") != F.col("tail.id")) | (F.col("tail.word") - F.col("head.word") >= size) | (F.col("k") > different))
+    known = scratch.stored(known.select("window", "k", F.col("head.id").alias("of"), F.col("head.word").alias("first")))
+    frequent = F.col("k") > max(FEW_OF_WINDOW, n // MOST_WINDOWS)
+    sent, rest = F.broadcast(known.where(frequent).drop("k")), known.where(~frequent).drop("k")
+    stays = (F.col("id") == F.col("of")) & (F.col("word") - F.col("first") < size)
+
+    def runs(met: DataFrame) -> DataFrame:
+        found = met.select(
+            "id", F.col("word").alias("low"), F.col("word").alias("high"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"),
+            (~stays).alias("removed"), F.when(stays, F.col("id")).otherwise(F.col("of")).alias("class_id"),
+            F.when(stays, F.lit(0).cast("long")).otherwise(F.col("first") - F.col("word")).alias("shift"),
+        )
+        return found.mapInArrow(_collapsed, _RUNS)
+
+    return runs(each.join(sent, "window")).unionByName(runs(each.join(sent, "window", "left_anti").join(rest, "window")))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
     """A row for every longest run of words whose windows of `size` words all come again, in another document or further on
     in the same one: `id`, `paragraph` (number of its first word, from 0), `start` and `stop` (bytes of the text in UTF-8),
@@ -302,8 +355,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id",
     found = scratch.stored(_wanted_chunks(own, names, size))
     n = found.agg(F.sum(F.size("windows"))).first()[0] or 0
     groups = max(partitions(spark), -(-n // GROUP))
-    dealt = found.withColumn("bucket", F.pmod("name", F.lit(groups)))
-    runs = dealt.groupBy("bucket").applyInArrow(_repeats(size), "id long, low long, high long, start long, stop long, removed boolean, class_id long, shift long")
+    # Names of more windows than this are MOST_NAMES at most.
+    common = found.groupBy("name").agg(F.sum(F.size("windows")).alias("k")).where(F.col("k") > max(FEW_OF_NAME, n // MOST_NAMES))
+    common = F.broadcast(scratch.stored(common.select("name")))
+    dealt = found.join(common, "name", "left_anti").withColumn("bucket", F.pmod("name", F.lit(groups)))
+    runs = dealt.groupBy("bucket").applyInArrow(_repeats(size), _RUNS)
+    runs = runs.unionByName(_common(scratch, found.join(common, "name", "left_semi"), size, n))
     keys = ["id", "removed", "class_id", "shift"]
     by = Window.partitionBy(*keys).orderBy("low", "high")
     before = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
