@@ -113,8 +113,8 @@ def _sieve(places: DataFrame) -> np.ndarray:
     bits = places.select(F.explode(both).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value"))
     out = np.zeros(SIEVE_BITS // 64, dtype=np.int64)
-    for row in words.collect():
-        out[row.word] = row.value
+    got = words.toArrow()  # numbers side by side, not a Python object per row
+    out[got.column("word").to_numpy()] = got.column("value").to_numpy()
     return out.view(np.uint64)
 
 
