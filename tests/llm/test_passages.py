@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from runline.llm import queries, substring_dedup
@@ -50,27 +49,3 @@ def test_query_finds_all_shared_windows(spark, sf):
         got.setdefault(r.doc_id, set()).update(range(r.paragraph, r.paragraph + r.n_words))
     want = brute.repeated_words(docs)
     assert want and got == want
-
-
-@pytest.mark.parametrize(("name", "window", "size"), [(0, 1000, 50), (0, 2, 50), (60, 3, 50), (0, 2, 70)])
-def test_common_passages_give_the_same_rows(spark, monkeypatch, name, window, size):
-    """Names and windows taken as frequent or not; with copies, a passage of many documents, repeated ids and texts within themselves."""
-    rng = random.Random(11)
-
-    def words(n):
-        return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
-
-    common, copy = words(90), words(150)
-    texts = [(k, words(rng.randrange(30)) + " " + common + " " + words(rng.randrange(30))) for k in range(40)]
-    texts += [(100 + k, copy) for k in range(30)] + [(7, copy), (7, copy), (200, "a " * 300), (201, (words(35) + " ") * 6), (202, common + " x " + common), (None, copy), (203, None), (204, "")]
-    alone = words(120)
-    texts += [(300, alone), (300, alone)]
-    table = spark.createDataFrame(texts, "doc_id long, text string")
-
-    def rows():
-        return sorted(map(tuple, substring_dedup.repeated_passages(spark, table, size=size).collect()))
-
-    plain = rows()
-    monkeypatch.setattr(substring_dedup, "FEW_OF_NAME", name)
-    monkeypatch.setattr(substring_dedup, "FEW_OF_WINDOW", window)
-    assert plain and rows() == plain and any(r[0] == 300 for r in plain)
