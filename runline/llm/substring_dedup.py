@@ -8,7 +8,8 @@ then only pairs that no component holds together yet). One paragraph of each com
 Lines alone miss a passage that runs over a line break, sits inside a longer line or is wrapped into short ones. Runs of
 words, whatever the lines, are therefore units too (`repeated_passages`): windows of 50 words are cut into chunks by
 content, by the least hash of the 25-word grams in them, so that equal windows lie in chunks of one hash wherever they
-stand. Chunks whose hash comes more than once are compared window by window, and windows grown to the exact spans.
+stand. Chunks whose hash comes more than once are compared window by window, and windows grown to the exact spans. A
+hash that very many texts have (a licence line, say) is no group of one task: its windows are dealt by themselves, salted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _LINE_END = 0x0A
 SIEVE_BITS = 1 << 25
 #: Words of the grams whose least hash names a chunk of windows, and windows that a group of chunks holds on average.
 GRAM, GROUP = 25, 250_000
+#: Chunks of one hash that are compared in one task at most; windows of more frequent ones are dealt one by one.
+MOST_OF_NAME = 4000
 
 
 def tune(percent: int, recall: float = 0.999, noise: float = 0.3, most_noise: float = 0.12) -> tuple[int, int]:
@@ -226,12 +229,14 @@ def _chunk_names(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "place long")
 
 
-_CHUNK = "id long, name long, first long, windows array<long>, starts array<int>, stops array<int>"
+_CHUNK = "id long, name long, common boolean, first long, windows array<long>, starts array<int>, stops array<int>"
 
 
 def _wanted_chunks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """At least the chunks of `names`, with their windows."""
-    sent = docs.sparkSession.sparkContext.broadcast(_sieve(names))
+    """At least the chunks of `names`, with their windows. `common` is alike for all chunks of a name, and true of at least those
+    names that come more than MOST_OF_NAME times."""
+    context = docs.sparkSession.sparkContext
+    sent, often = context.broadcast(_sieve(names)), context.broadcast(_sieve(names.where(F.col("k") > MOST_OF_NAME)))
 
     def run(batches):
         for batch in batches:
@@ -245,7 +250,7 @@ def _wanted_chunks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
                 at = np.repeat(cut[kept] - ends[:-1], length) + np.arange(ends[-1])
                 lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (window[at].view(np.int64), low[at].astype(np.int32), high[at].astype(np.int32))]
                 ids = part.column(0).to_numpy()[doc[cut[kept]]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[kept].view(np.int64)), pa.array(word[cut[kept]].astype(np.int64)), *lists], ["id", "name", "first", "windows", "starts", "stops"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[kept].view(np.int64)), pa.array(_passes(often.value, name[kept])), pa.array(word[cut[kept]].astype(np.int64)), *lists], ["id", "name", "common", "first", "windows", "starts", "stops"])
 
     return docs.mapInArrow(run, _CHUNK)
 
@@ -288,6 +293,35 @@ def _repeats(size: int):
     return run
 
 
+_RUNS = "id long, low long, high long, start long, stop long, removed boolean, class_id long, shift long"
+
+
+def _common_repeats(chunks: DataFrame, size: int, salts: int) -> DataFrame:
+    """What `_repeats` finds, as runs of one window each, however many chunks of one name and rows of one window there are:
+    both steps deal the rows of a window by `salts` values of their id, and only a row per window and salt meets in between."""
+    each = chunks.select("id", "first", F.posexplode(F.arrays_zip("windows", "starts", "stops")).alias("k", "own"))
+    each = each.select(
+        "id", (F.col("first") + F.col("k")).alias("word"), F.col("own.windows").alias("window"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
+        F.col("own.starts").cast("long").alias("start"), F.col("own.stops").cast("long").alias("stop"),
+    )
+    # Places of windows that all overlap, as bits: fewer than rows if rows repeat an id.
+    lanes, at = range(-(-size // 64)), F.struct("id", "word")
+    bit, lane = F.expr("shiftleft(1L, cast(word & 63 as int))"), F.shiftright(F.pmod("word", F.lit(64 * len(lanes))), 6)
+    bits = [F.bit_or(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{j}") for j in lanes]
+    parts = each.groupBy("window", "salt").agg(F.min(at).alias("head"), F.max(at).alias("tail"), F.count("*").alias("k"), *bits)
+    whole = parts.groupBy("window").agg(
+        F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts"), *[F.bit_or(f"bits{j}").alias(f"bits{j}") for j in lanes]
+    )
+    places = sum((F.bit_count(f"bits{j}") for j in lanes), F.lit(0))
+    shared = whole.where((F.col("head.id") != F.col("tail.id")) | (F.col("tail.word") - F.col("head.word") >= size) | (F.col("k") > places))
+    shared = shared.select("window", F.col("head.id").alias("of"), F.col("head.word").alias("to"), F.explode("salts").alias("salt"))
+    stays = (F.col("id") == F.col("of")) & (F.col("word") - F.col("to") < size)
+    return each.join(shared, ["window", "salt"]).select(
+        "id", F.col("word").alias("low"), F.col("word").alias("high"), "start", "stop", (~stays).alias("removed"),
+        F.when(stays, F.col("id")).otherwise(F.col("of")).alias("class_id"), F.when(stays, F.lit(0).cast("long")).otherwise(F.col("to") - F.col("word")).alias("shift"),
+    )
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
     """A row for every longest run of words whose windows of `size` words all come again, in another document or further on
     in the same one: `id`, `paragraph` (number of its first word, from 0), `start` and `stop` (bytes of the text in UTF-8),
@@ -298,12 +332,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id",
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     scratch = Scratch(spark, "repeats")
-    names = _chunk_names(own, size).groupBy("place").agg(F.count("*").alias("k")).where("k > 1").select("place")
+    names = scratch.stored(_chunk_names(own, size).groupBy("place").agg(F.count("*").alias("k")).where("k > 1"))
     found = scratch.stored(_wanted_chunks(own, names, size))
-    n = found.agg(F.sum(F.size("windows"))).first()[0] or 0
-    groups = max(partitions(spark), -(-n // GROUP))
-    dealt = found.withColumn("bucket", F.pmod("name", F.lit(groups)))
-    runs = dealt.groupBy("bucket").applyInArrow(_repeats(size), "id long, low long, high long, start long, stop long, removed boolean, class_id long, shift long")
+    n = {r.common: r.n for r in found.groupBy("common").agg(F.sum(F.size("windows")).alias("n")).collect()}
+    groups, salts = (max(partitions(spark), -(-n.get(c, 0) // GROUP)) for c in (False, True))
+    dealt = found.where("not common").withColumn("bucket", F.pmod("name", F.lit(groups)))
+    runs = dealt.groupBy("bucket").applyInArrow(_repeats(size), _RUNS)
+    if True in n:
+        runs = runs.unionByName(_common_repeats(found.where("common"), size, salts))
     keys = ["id", "removed", "class_id", "shift"]
     by = Window.partitionBy(*keys).orderBy("low", "high")
     before = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -49,3 +49,18 @@ def test_query_finds_all_shared_windows(spark, sf):
         got.setdefault(r.doc_id, set()).update(range(r.paragraph, r.paragraph + r.n_words))
     want = brute.repeated_words(docs)
     assert want and got == want
+
+
+def test_frequent_chunks_give_the_same_rows(spark, sf, monkeypatch):
+    """Windows dealt one by one give what comparing whole chunks gives: copies by the dozen, periodic texts, repeated ids."""
+    rng = random.Random(8)
+    passage = " ".join(f"v{rng.randrange(900)}" for _ in range(75))
+    rows = [(k % 40, f"{' '.join(f'u{rng.randrange(900)}' for _ in range(k % 7 * 9))} {passage}") for k in range(60)]
+    rows += [(100, "a b c " * 50), (101, "a " * 70), (102, "d e " * 25), (103, "d e " * 26), (103, "d e " * 26), (104, "f " * 51), (104, "f " * 51), (105, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (made, spark.read.parquet(f"{sf}/documents.parquet")):
+        found = []
+        for most in (10**9, 5, 0):
+            monkeypatch.setattr(substring_dedup, "MOST_OF_NAME", most)
+            found.append(sorted(map(tuple, substring_dedup.repeated_passages(spark, docs).collect())))
+        assert found[0] and found[0] == found[1] == found[2]
