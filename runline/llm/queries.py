@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runline.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, substring_dedup, toxicity, training_order, url_filter
+from runline.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, training_order, url_filter
 from runline.llm.oracle import ORACLE_SQL
 from runline.llm.scratch import Scratch
 
@@ -101,6 +101,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(read, "slot")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -112,4 +116,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_training_order": op10_training_order,
+    "op13_token_counts": op13_token_counts,
 }

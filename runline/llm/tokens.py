@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Bytes of text encoded at once; a longer text alone.
 BATCH_BYTES = 8 << 20
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_IRREGULAR = rf"\x20(?:[{_SPACE}]|\z)"
+IRREGULAR = rf"\x20(?:[{_SPACE}]|\z)"
 
 
 class Ids:
@@ -52,7 +52,7 @@ class Ids:
         if not n:
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         texts = texts.fill_null("")
-        alone = pc.match_substring_regex(texts, _IRREGULAR)
+        alone = pc.match_substring_regex(texts, IRREGULAR)
         for s in self.special:
             alone = pc.or_(alone, pc.match_substring(texts, s))
         split = pc.split_pattern(pc.if_else(alone, pa.scalar("", texts.type), texts), " ")
