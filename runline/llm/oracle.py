@@ -48,4 +48,29 @@ r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allo
 f AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS rn FROM b JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT b.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM b LEFT JOIN f ON f.page_id = b.page_id AND f.rn = 1"""
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_quality_rules": OP5, "op8_decontamination": OP8, "op9_url_filter": OP9}
+_FRAMED = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+_FIELDS = " || ".join(_FRAMED.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, len({0}) + 1), lambda i: [CAST(ascii(substr({0}, CAST(i AS INT), 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), CAST(4294967295 AS BIGINT))"""
+_AROUND = """coalesce(string_agg(h, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after"""
+
+OP11 = f"""WITH RECURSIVE b AS (SELECT doc_id, lang, sha256({_FIELDS} || {_FRAMED.format("text")}) AS leaf,
+  CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_FIELDS} || {_FRAMED.format(_LOWER.format("text"))}) END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM b),
+t(g, level, pos, n, h) AS (SELECT lang, 0, CAST(pos AS BIGINT), CAST(n AS BIGINT), leaf FROM p
+  UNION ALL SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, level + 1, pos // 8, (n + 7) // 8),
+s AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+u(g, level, pos, n, h) AS (SELECT 0, 0, CAST(place AS BIGINT), CAST(n AS BIGINT), subroot FROM s
+  UNION ALL SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY g, level + 1, pos // 8, (n + 7) // 8),
+rt AS (SELECT g, level, pos, {_AROUND} FROM t WHERE n > 1),
+ru AS (SELECT g, level, pos, {_AROUND} FROM u WHERE n > 1),
+k AS (SELECT p.lang, p.pos, rt.level AS level, before, after FROM p JOIN rt ON p.lang IS NOT DISTINCT FROM rt.g AND p.pos // CAST(power(8, rt.level) AS BIGINT) = rt.pos
+  UNION ALL SELECT p.lang, p.pos, 1000 + ru.level, before, after FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN ru ON s.place // CAST(power(8, ru.level) AS BIGINT) = ru.pos),
+f AS (SELECT lang, pos, string_agg(before || after, '' ORDER BY level) AS siblings, list(before || '|' || after ORDER BY level) AS path FROM k GROUP BY lang, pos),
+r AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(f.siblings, '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(p.altered, p.leaf)], coalesce(f.path, [])), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN f ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos)
+SELECT *, folded_root = root AS verified FROM r"""
+
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_quality_rules": OP5, "op8_decontamination": OP8, "op9_url_filter": OP9, "op11_merkle_manifest": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runline.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, training_order, url_filter
+from runline.llm import decontaminate, language_id, merkle, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, training_order, url_filter
 from runline.llm.oracle import ORACLE_SQL
 from runline.llm.scratch import Scratch
 
@@ -101,6 +101,22 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(read, "slot")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each row's proof shows: for a third of the rows (by id) that the text was altered, unless it has no capitals."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    head, capitals = [F.col(c) for c in docs.columns[:-1]], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf, altered = merkle.digest(*head, F.col("text")), merkle.digest(*head, F.translate("text", capitals, capitals.lower()))
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(_crc_mod(3) == 0, altered).alias("altered"))
+    made = merkle.manifest(spark, rows)
+    root = F.lit(made.root.hex() if made.root else None).cast("string")
+    siblings = F.array_join(F.transform("path", lambda run: merkle.as_hex(F.concat(run["before"], run["after"]))), "")
+    out = made.proofs.select(
+        "doc_id", merkle.as_hex(F.col("leaf")).alias("leaf"), merkle.as_hex(F.col("subroot")).alias("subroot"), root.alias("root"),
+        F.sha2(siblings, 256).alias("proof_sha256"), merkle.fold(F.coalesce("altered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -116,5 +132,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_training_order": op10_training_order,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
