@@ -73,4 +73,18 @@ r AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root,
   FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN f ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos)
 SELECT *, folded_root = root AS verified FROM r"""
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_quality_rules": OP5, "op8_decontamination": OP8, "op9_url_filter": OP9, "op11_merkle_manifest": OP11}
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, g),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+i AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS g, a AS f FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS b FROM c, range(2, 5) t(m) WHERE m < k)) GROUP BY lang, g),
+o AS (SELECT c.* FROM c LEFT JOIN i ON c.lang = i.lang AND c.g = i.g WHERE i.f IS NULL OR 100 * i.f < 100 * c.a),
+s AS (SELECT o.lang, o.g, o.a, m, x.f AS l, y.f AS r, n.n, (1000 * o.a * n.n) // (x.f * y.f) AS score FROM o JOIN range(1, 5) t(m) ON m < o.k JOIN n ON n.lang = o.lang
+  JOIN f x ON x.lang = o.lang AND x.g = array_to_string(o.w[1:m], ' ') JOIN f y ON y.lang = o.lang AND y.g = array_to_string(o.w[m + 1:o.k], ' ')),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, m) AS first FROM s),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM z WHERE first = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM q WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_quality_rules": OP5, "op8_decontamination": OP8, "op9_url_filter": OP9, "op11_merkle_manifest": OP11, "op12_phrase_collocations": OP12}

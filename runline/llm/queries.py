@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runline.llm import decontaminate, language_id, merkle, ngram_join, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, training_order, url_filter
+from runline.llm import decontaminate, language_id, merkle, ngram_join, packing, phrases, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, training_order, url_filter
 from runline.llm.oracle import ORACLE_SQL
 from runline.llm.scratch import Scratch
 
@@ -117,6 +117,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -133,5 +137,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_training_order": op10_training_order,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_token_counts": op13_token_counts,
 }
