@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators import clean, matching
+from runline.operators import clean, greedy
 
 PRIOR = ["median_len", "min_allowed_len", "max_allowed_len"]
 
@@ -183,22 +183,9 @@ def candidate_nms_score(candidates: DataFrame, fold: list[str]) -> DataFrame:
     return scaled.withColumn("duration_fit", fit).withColumn("nms_score", F.lit(0.78) * c("confidence_norm") + F.lit(0.22) * c("duration_fit"))
 
 
-def nms(df: DataFrame, keys: list[str], score: str, ord: str, threshold: float = 0.88, strict: bool = False) -> DataFrame:
-    """Rows kept by score (ties by `ord`): one is dropped if its IoU with a kept one is >= threshold (`strict`: > it).
-
-    With a threshold above 0, only chains of overlaps compete; each is one fold.
-    """
-    own = df.columns
-    entry = F.struct((-F.col(score)).alias("_neg"), F.col(ord).alias("_ord"), *[F.col(c).alias(f"c_{c}") for c in own])
-    lists = matching.overlap_groups(df, keys).groupBy(*keys, "_group").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    none = F.array().cast(lists.schema["rows"].dataType.simpleString())
-
-    def near(a: Column, b: Column) -> Column:
-        iou = matching.segment_iou(a["c_start"], a["c_end"], b["c_start"], b["c_end"])
-        return iou > threshold if strict else iou >= threshold
-
-    kept = F.aggregate("rows", none, lambda taken, x: F.when(F.exists(taken, lambda t: near(t, x)), taken).otherwise(F.concat(taken, F.array(x))))
-    return lists.select(F.inline(kept)).select(*[F.col(f"c_{c}").alias(c) for c in own])
+def nms(df: DataFrame, keys: list[str], score: str, ord: str, threshold: float = 0.88, strict: bool = False, width: int = greedy.WIDTH) -> DataFrame:
+    """Rows kept by score (ties by `ord`): one is dropped if its IoU with a kept one is >= threshold (`strict`: > it). By rounds over blocks of rows."""
+    return greedy.greedy_intervals(df, keys, [F.desc(score), F.col(ord)], threshold, strict, width=width)
 
 
 def nms_diagnostics(before: DataFrame, after: DataFrame, groups: DataFrame, fold: list[str], branches: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runline.operators import greedy
+
 #: Width of a range bucket (rows) in overlap joins.
 BIN = 4096
 
@@ -34,32 +36,15 @@ def iou_pairs(pred: DataFrame, gt: DataFrame, keys: list[str], bin: int = BIN) -
     return both.withColumn("iou", segment_iou(F.col("pred_start"), F.col("pred_end"), F.col("gt_start"), F.col("gt_end")))
 
 
-def overlap_groups(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `_group`: intervals that a chain of overlaps connects. Where a start lies beyond all ends so far, nothing crosses."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)
-    return df.withColumn("_new", fresh).withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def match_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10) -> DataFrame:
-    """Greedy one-to-one: pairs by (iou, pred_index, gt_index) from the largest down to `threshold`; each side once.
-
-    With a threshold above 0 only overlapping intervals compete, so each chain of overlaps is a group of its own,
-    walked by one fold over its sorted pairs.
-    """
-    pairs = iou_pairs(pred, gt, keys).where(F.col("iou") >= threshold)
-    spans = pairs.select(*keys, "pred_index", "gt_index", F.least("pred_start", "gt_start").alias("start"), F.greatest("pred_end", "gt_end").alias("end"), *[c for c in pairs.columns if c.endswith(("_start", "_end"))], "iou")
-    entry = F.struct("iou", "pred_index", "gt_index", "pred_start", "pred_end", "gt_start", "gt_end")
-    lists = overlap_groups(spans, keys).groupBy(*keys, "_group").agg(F.reverse(F.array_sort(F.collect_list(entry))).alias("pairs"))
-    kind = lists.schema["pairs"].dataType.simpleString()
-    none = F.array().cast(kind)
-
-    def free(taken: Column, x: Column) -> Column:
-        return ~F.exists(taken, lambda t: (t["pred_index"] == x["pred_index"]) | (t["gt_index"] == x["gt_index"]))
-
-    kept = F.aggregate("pairs", none, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-    return lists.select(*keys, F.inline(kept))
+def match_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10, width: int = greedy.WIDTH) -> DataFrame:
+    """Greedy one-to-one: pairs by (iou, pred_index, gt_index) from the largest down to `threshold`; each side once. By rounds: two pairs compete
+    if they share a side, and then both lie in what that side spans."""
+    c = F.col
+    pairs = iou_pairs(pred, gt, keys).where(c("iou") >= threshold)
+    order = [F.desc("iou"), F.desc("pred_index"), F.desc("gt_index")]
+    places = (F.greatest("pred_start", "gt_start"), F.least("pred_start", "gt_start"), F.greatest("pred_end", "gt_end"))
+    kept = greedy.greedy(pairs, keys, order, greedy.Shared(), ["pred_index", "gt_index"], *places, width=width)
+    return kept.select(*keys, "iou", "pred_index", "gt_index", "pred_start", "pred_end", "gt_start", "gt_end")
 
 
 def best_pred_per_gt(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:

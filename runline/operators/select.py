@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators import candidates, intervals, matching
+from runline.operators import candidates, greedy, intervals
+from runline.sources.scratch import Scratch
 
 
 def target_counts(segments: DataFrame, folds: DataFrame, session: str = "session_id", low: float = 0.75, high: float = 1.55) -> DataFrame:
@@ -16,37 +17,24 @@ def target_counts(segments: DataFrame, folds: DataFrame, session: str = "session
     return mean.withColumn("low", least).withColumn("high", F.greatest("low", F.ceil(F.col("target") * F.lit(high))).cast("long"))
 
 
-def select_final(ranked: DataFrame, targets: DataFrame, fold: list[str], score: str = "rank_score", iou: float = 0.55, backfill: float = 0.75) -> DataFrame:
+def select_final(ranked: DataFrame, targets: DataFrame, fold: list[str], score: str = "rank_score", iou: float = 0.55, backfill: float = 0.75, width: int = greedy.WIDTH) -> DataFrame:
     """Greedy by rank (ties: lowest cluster_id), dropping IoU > `iou` with a kept one, up to `high` per fold. Acceptance goes by rank, so
-    the cap is a rank over what each chain of overlaps keeps. Folds with fewer than `low` take further intervals by rank whose IoU
-    with all taken so far is at most `backfill`."""
-    c = F.col
-    first = candidates.nms(ranked, fold, score, "cluster_id", iou, strict=True)
-    place = F.row_number().over(Window.partitionBy(*fold).orderBy(F.desc(score), "cluster_id"))
+    the cap is a rank over what is kept. Folds with fewer than `low` take further intervals by rank whose IoU with all taken so far is at
+    most `backfill`: again greedy, with what is taken kept beforehand, and again cut by rank."""
+    c, scratch = F.col, Scratch(ranked.sparkSession, "select")
+    order = [F.desc(score), c("cluster_id")]
+    place = F.row_number().over(Window.partitionBy(*fold).orderBy(*order))
+    first = candidates.nms(ranked, fold, score, "cluster_id", iou, strict=True, width=width)
     first = first.withColumn("_place", place).join(targets.select(*fold, "low", "high"), fold).where(c("_place") <= c("high"))
-    counts = first.groupBy(*fold).agg(F.count("*").alias("_n"))
-    short = counts.join(targets.select(*fold, "low"), fold).where(c("_n") < c("low")).select(*fold, (c("low") - c("_n")).alias("_want"))
-    # Rounds per fold are few: `low` is a target of some tens. One fold's clusters, by rank, in one list.
-    taken = first.join(short, fold).groupBy(*fold, "_want").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    rest = ranked.join(first.select(*fold, "cluster_id"), [*fold, "cluster_id"], "left_anti").join(short, fold)
-    queue = rest.groupBy(*fold).agg(F.array_sort(F.collect_list(F.struct((-c(score)).alias("neg"), c("cluster_id").alias("cluster_id"), c("start").alias("start"), c("end").alias("end")))).alias("queue"))
-    both = taken.join(queue, fold)
-    segment = "struct<start:bigint,end:bigint>"
-    state = F.struct(c("taken").cast(f"array<{segment}>").alias("taken"), F.array().cast("array<int>").alias("ids"))
-
-    def fits(t: Column, x: Column) -> Column:
-        over = matching.segment_iou(x["start"], x["end"], t["start"], t["end"]) > backfill
-        return over | ((t["start"] == x["start"]) & (t["end"] == x["end"]))
-
-    def walk(s: Column, x: Column) -> Column:
-        own = F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))
-        take = (F.size(s["ids"]) < c("_want")) & ~F.exists(s["taken"], lambda t: fits(t, x))
-        return F.struct(F.when(take, F.concat(s["taken"], F.array(own))).otherwise(s["taken"]).alias("taken"), F.when(take, F.concat(s["ids"], F.array(x["cluster_id"].cast("int")))).otherwise(s["ids"]).alias("ids"))
-
-    more = both.select(*fold, F.explode(F.aggregate("queue", state, walk)["ids"]).alias("cluster_id"))
-    added = ranked.join(more, [*fold, "cluster_id"])
-    out = first.select(*ranked.columns).unionByName(added.select(*ranked.columns))
-    return out.withColumn("segment_no", F.row_number().over(Window.partitionBy(*fold).orderBy("start", "end", "cluster_id")))
+    first = scratch.stored(first.select(*ranked.columns, "low"))
+    short = first.groupBy(*fold, "low").agg(F.count("*").alias("_n")).where(c("_n") < c("low")).select(*fold, (c("low") - c("_n")).alias("_want"))
+    short = scratch.stored(short)
+    first = first.drop("low")
+    rest = ranked.join(first.select(*fold, "cluster_id"), [*fold, "cluster_id"], "left_anti")
+    queue = first.withColumn("_taken", F.lit(True)).unionByName(rest.select(*ranked.columns).withColumn("_taken", F.lit(False))).join(short, fold)
+    more = greedy.greedy_intervals(queue, fold, order, backfill, strict=True, settled="_taken", width=width)
+    more = more.withColumn("_rank", place).where(c("_rank") <= c("_want")).select(*ranked.columns)
+    return first.unionByName(more).withColumn("segment_no", F.row_number().over(Window.partitionBy(*fold).orderBy("start", "end", "cluster_id")))
 
 
 def row_predictions(rows: DataFrame, tracks: list[DataFrame], segments: DataFrame, keys: list[str], order: str = "row_idx", name: str = "pred_phase2") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runline.operators import candidates, clusters, intervals, matching, model, thresholds
+from runline.operators import candidates, clusters, intervals, matching, model, select, thresholds
 
 CASES = 60
 
@@ -165,3 +165,58 @@ def test_refinement(spark):
                 if value(a, b) > value(*best):
                     best = (a, b)
         assert clusters.refine_one(start, end, 0, n, boundary, support, median, low, high, radius) == best
+
+
+def walked(rows, conflict):
+    kept = []
+    for r in rows:
+        if not any(conflict(r, x) for x in kept):
+            kept.append(r)
+    return kept
+
+
+@pytest.mark.parametrize(("threshold", "strict", "width"), [(0.1, False, 4), (0.3, True, 16), (0.55, True, 8), (0.88, False, 8), (1.0, True, 8)])
+def test_greedy_rounds_against_whole_list(spark, threshold, strict, width):
+    """Blocks far narrower than chains of conflicts: several rounds, with copies of items in the blocks beside."""
+    rng = random.Random(int(threshold * 100))
+    rows = [(k, o, a, a + rng.choice([0, 1, 3, 9, 40]), rng.randrange(8) / 7) for k in range(6) for o, a in enumerate(rng.randrange(150) for _ in range(90))]
+    df = spark.createDataFrame(rows, "k int, ord int, start long, `end` long, score double")
+
+    def conflict(a, b):
+        iou = plain_iou(a[2:4], b[2:4])
+        return iou > threshold or (iou == threshold and not strict) or a[2:4] == b[2:4]
+
+    want = {r[:2] for k in range(6) for r in walked(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[4], r[1])), conflict)}
+    assert {(r.k, r.ord) for r in candidates.nms(df, ["k"], "score", "ord", threshold, strict, width).collect()} == want
+
+
+def test_matching_in_narrow_blocks(spark, cases):
+    _, _, p, g = cases
+    wide = {tuple(r) for r in matching.match_segments(p, g, ["k"]).collect()}
+    assert {tuple(r) for r in matching.match_segments(p, g, ["k"], width=5).collect()} == wide
+
+
+def test_long_monotonous_chain(spark):
+    """100,000 intervals in one chain, each of higher rank than the next one: no list, a few rounds, every second one kept."""
+    df = spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias("ord"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 14).alias("end"), (-F.col("id")).cast("double").alias("score"))
+    kept = candidates.nms(df, ["k"], "score", "ord", 0.1, width=100_000)
+    assert kept.count() == 50_000 and kept.where("ord % 2 = 1").count() == 0
+
+
+def test_final_selection_against_whole_list(spark):
+    rng = random.Random(12)
+    rows = [(k, i, a, a + rng.randrange(5, 40), rng.randrange(30) / 29) for k in range(12) for i, a in enumerate(rng.randrange(120) for _ in range(25))]
+    bounds = {k: (low, max(low, rng.randrange(1, 14))) for k in range(12) for low in [rng.randrange(1, 12)]}
+    df = spark.createDataFrame(rows, "k int, cluster_id int, start long, `end` long, rank_score double")
+    targets = spark.createDataFrame([(k, *b) for k, b in bounds.items()], "k int, low long, high long")
+    got = {(r.k, r.cluster_id) for r in select.select_final(df, targets, ["k"], width=16).collect()}
+    want = set()
+    for k, (low, high) in bounds.items():
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[4], r[1]))
+        first = walked(own, lambda a, b: plain_iou(a[2:4], b[2:4]) > 0.55)[:high]
+        taken = list(first)
+        for r in own:
+            if len(taken) < low and r not in first and not any(plain_iou(r[2:4], t[2:4]) > 0.75 for t in taken):
+                taken.append(r)
+        want |= {r[:2] for r in taken}
+    assert got == want
