@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators import clean, greedy
+from runline.operators import clean, greedy, scan
 
 PRIOR = ["median_len", "min_allowed_len", "max_allowed_len"]
 
@@ -59,18 +59,35 @@ def merge_short_pieces(pieces: list[tuple[int, int]], min_len: int) -> list[tupl
     return [tuple(p) for p in out]
 
 
-def merge_pieces(pieces: DataFrame, keys: list[str], least: str | int) -> DataFrame:
-    """`merge_short_pieces` over a table: pieces (start, end) of each value of `keys`, e.g. of one blob. least: a number, or a
-    column that is the same for all pieces of a value. A group is one blob's pieces."""
-    limit = F.lit(least) if isinstance(least, int) else F.col(least)
-    kinds = ", ".join(f"`{k}` {pieces.schema[k].dataType.simpleString()}" for k in keys)
+def _merge_piece(state: list[float] | None, start: int, end: int, least: int):
+    """state: the last piece that is long enough, and the short one behind it, which waits for the piece that comes next. Only these two can
+    still change: all that lies before is final."""
+    left, short = (state[:2], state[2:]) if state else ([], [])
+    left, short = [x for x in left if x >= 0], [x for x in short if x >= 0]
+    piece = [start, end]
+    if short:
+        if left and left[1] - left[0] <= end - start:
+            left = [left[0], short[1]]
+        else:
+            piece = [short[0], end]
+    if piece[1] - piece[0] + 1 < least:
+        return [*(left or NO_PIECE), *piece], []
+    return [*piece, *NO_PIECE], [(int(left[0]), int(left[1]))] if left else []
+
+
+NO_PIECE = [-1.0, -1.0]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_short_pieces(list(zip(part["start"].tolist(), part["end"].tolist(), strict=True)), int(part["_least"].iloc[0]))
-        return pd.DataFrame([[*[part[k].iloc[0] for k in keys], a, b] for a, b in merged], columns=[*keys, "start", "end"])
 
-    rows = pieces.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), limit.cast("long").alias("_least"))
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long")
+def merge_pieces(pieces: DataFrame, keys: list[str], least: str | int, width: int = scan.WIDTH) -> DataFrame:
+    """`merge_short_pieces` over a table: pieces (start, end; from 0 on) of each value of `keys`, e.g. of one blob or session. least: a number, or a
+    column that is the same for all pieces of a value. An ordered scan that carries two pieces, so a value's pieces are walked by many tasks."""
+    limit, c = F.lit(least) if isinstance(least, int) else F.col(least), F.col
+    rows = pieces.select(*keys, c("start").cast("long").alias("start"), c("end").cast("long").alias("end"), limit.cast("long").alias("_least"))
+    merged, exits = scan.scan(rows, keys, [c("start"), c("end")], c("start"), ["start", "end", "_least"], _merge_piece, "start long, `end` long", width)
+    last = exits.groupBy(*keys).agg(F.max_by("_exit", "_block").alias("s"))
+    begin = F.when(c("s")[0] >= 0, c("s")[0]).otherwise(c("s")[2])
+    final = F.when(c("s")[2] >= 0, c("s")[3]).otherwise(c("s")[1])
+    return merged.select(*keys, "start", "end").unionByName(last.select(*keys, begin.cast("long").alias("start"), final.cast("long").alias("end")))
 
 
 def split_pieces(start: int, end: int, points: list[tuple[float, int]], median: int, low: int, high: int, max_splits: int = 30, least: float = 0.40, tolerance: float = 0.35) -> list[tuple[int, int]]:

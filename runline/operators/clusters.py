@@ -7,33 +7,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators import clean
+from runline.operators import clean, scan
 from runline.operators.candidates import PRIOR, at_rows, prefix_sums
 
 
-def cluster_candidates(candidates: DataFrame, fold: list[str], ord: str = "ord", factor: float = 0.70) -> DataFrame:
+def _join_cluster(state: list[float] | None, center: float, ord: int, radius: int):
+    """state: sum and number of the centers of the current cluster."""
+    total, n = state or (0.0, 0.0)
+    joins = n > 0 and abs(center - total / n) <= radius
+    return [total + center, n + 1] if joins else [center, 1.0], [(ord, center, not joins)]
+
+
+def cluster_candidates(candidates: DataFrame, fold: list[str], ord: str = "ord", factor: float = 0.70, width: int = scan.WIDTH) -> DataFrame:
     """Adds `cluster_id` (from 1, by center). In order of center, a candidate joins the current cluster if it is within the
-    radius of its mean center. A step wider than the radius always breaks, so the pieces between such steps are independent;
-    each is one fold that carries sum, count and number."""
+    radius of its mean center: an ordered scan that carries the sum and the number of its centers. Numbers go on from block to block by a small
+    table of how many clusters begin in each."""
     c = F.col
-    w = Window.partitionBy(*fold).orderBy("center", ord)
     radius = F.greatest(F.lit(8), (c("median_len") * F.lit(factor)).cast("int"))
-    rows = candidates.withColumn("_radius", radius)
-    fresh = F.when(c("center") - F.lag("center").over(w) > c("_radius"), 1).when(F.lag("center").over(w).isNull(), 1).otherwise(0)
-    rows = rows.withColumn("_new", fresh).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = rows.groupBy(*fold, "_part").agg(F.array_sort(F.collect_list(F.struct("center", ord))).alias("rows"), F.max("_radius").alias("_radius"))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ids"))
-
-    def walk(s: Column, x: Column, radius: Column) -> Column:
-        joins = (s["n"] > 0) & (F.abs(x["center"] - s["sum"] / s["n"]) <= radius)
-        k = F.when(joins, s["k"]).otherwise(s["k"] + 1)
-        return F.struct(
-            F.when(joins, s["sum"] + x["center"]).otherwise(x["center"]).alias("sum"), F.when(joins, s["n"] + 1).otherwise(F.lit(1)).alias("n"), k.alias("k"), F.concat(s["ids"], F.array(k)).alias("ids")
-        )
-
-    walked = lists.withColumn("ids", F.aggregate("rows", state, lambda s, x: walk(s, x, c("_radius")))["ids"])
-    each = walked.select(*fold, "_part", F.explode(F.arrays_zip("rows", "ids")).alias("z")).select(*fold, "_part", c(f"z.rows.{ord}").alias(ord), c("z.ids").alias("_k"))
-    numbered = each.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(*fold).orderBy("_part", "_k"))).drop("_part", "_k")
+    rows = candidates.select(*fold, c("center").cast("double").alias("center"), c(ord).cast("long").alias("_ord"), radius.alias("_radius"))
+    each, _ = scan.scan(rows, fold, [c("center"), c("_ord")], c("center"), ["center", "_ord", "_radius"], _join_cluster, "_ord long, _at double, _new boolean", width)
+    begun = each.groupBy(*fold, "_block").agg(F.count_if("_new").alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(*fold).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    inner = Window.partitionBy(*fold, "_block").orderBy("_at", "_ord").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_k", F.count_if("_new").over(inner)).join(begun.select(*fold, "_block", F.coalesce(before, F.lit(0)).alias("_before")), [*fold, "_block"])
+    numbered = each.select(*fold, c("_ord").cast(candidates.schema[ord].dataType).alias(ord), (c("_before") + c("_k")).cast("int").alias("cluster_id"))
     return candidates.join(numbered, [*fold, ord])
 
 

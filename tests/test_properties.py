@@ -220,3 +220,45 @@ def test_final_selection_against_whole_list(spark):
                 taken.append(r)
         want |= {r[:2] for r in taken}
     assert got == want
+
+
+@pytest.mark.parametrize("width", [3, 50, 1 << 18])
+def test_clusters_over_blocks(spark, width):
+    """Chains over many blocks: the state that enters each is settled pass by pass; ids go on."""
+    rng = random.Random(width)
+    rows = [(k, o, rng.randrange(120) / 2, 12) for k in range(8) for o in range(70)]
+    df = spark.createDataFrame(rows, "k int, ord int, center double, median_len long")
+    got = {(r.k, r.ord): r.cluster_id for r in clusters.cluster_candidates(df, ["k"], width=width).collect()}
+    assert len(got) == len(rows)
+    for k in range(8):
+        number, current = 1, []
+        for _, o, c, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            if current and abs(c - np.mean(current)) > 8:
+                number, current = number + 1, []
+            current.append(c)
+            assert got[k, o] == number
+
+
+@pytest.mark.parametrize("width", [4, 60, 1 << 18])
+def test_merged_pieces_over_blocks(spark, width):
+    rng, rows, want = random.Random(3), [], set()
+    for k in range(15):
+        cuts = sorted(rng.sample(range(1, 200), rng.randrange(0, 60)))
+        pieces = list(zip([0, *cuts], [*[x - 1 for x in cuts], 199], strict=True))
+        rows += [(k, a, b) for a, b in pieces]
+        want |= {(k, a, b) for a, b in candidates.merge_short_pieces(pieces, 6)}
+    df = spark.createDataFrame(rows, "k int, start long, `end` long")
+    assert {tuple(r) for r in candidates.merge_pieces(df, ["k"], 6, width).collect()} == want
+
+
+def test_a_session_of_one_chain_is_walked_by_several_tasks(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("ord"), F.col("id").cast("double").alias("center"), F.lit(12).cast("long").alias("median_len"))
+    found = clusters.cluster_candidates(df, ["k"], width=4000)
+    got = {r.ord: r.cluster_id for r in found.collect()}
+    number, total, n = 0, 0.0, 0
+    for i in range(20_000):
+        if n and abs(i - total / n) <= 8:
+            total, n = total + i, n + 1
+        else:
+            number, total, n = number + 1, float(i), 1
+        assert got[i] == number
