@@ -8,6 +8,8 @@ is a secret if its log-likelihood ratio passes a threshold.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import numpy as np
@@ -43,6 +45,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Taken:
+    """Answers whether a stretch of text meets any of some sorted spans: of those that begin before its end, the largest end counts."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts = [a[0] for a in spans]
+        self.ends = list(itertools.accumulate((a[2] for a in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect.bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all strings with an edge before, between and after them; lengths with the edge."""
     joined = "\x00".join(["", *strings, ""]).encode("latin-1", "replace")
@@ -71,7 +85,8 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 if t:
                     spans = base_spans(t)
                     secrets += [t[m[3] : m[2]] for m in spans]
-                    others += [m.group() for m in candidates(t) if not any(x[0] < m.end() and m.start() < x[2] for x in spans)]
+                    taken = Taken(spans)
+                    others += [m.group() for m in candidates(t) if not taken.meets(m.start(), m.end())]
                     raw = t.encode()
                     for low in range(0, len(raw), 1 << 22):  # every byte; a cut counts as one edge
                         codes = _CODE[np.frombuffer(b"\x00" + raw[low : low + (1 << 22)] + b"\x00", dtype=np.uint8)]
@@ -109,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", smooth: float = 0.5, backoff: flo
 
 
 def model_spans(text: str, ratios: np.ndarray, threshold: float, taken: list) -> list[tuple[int, int, int]]:
-    found = []
+    found, base = [], Taken(taken)
     matches = candidates(text)
     if not matches:
         return found
@@ -118,7 +133,7 @@ def model_spans(text: str, ratios: np.ndarray, threshold: float, taken: list) ->
     ends = np.cumsum(lengths)
     scores = sums[ends] - sums[ends - lengths]
     for m, score in zip(matches, scores, strict=True):
-        if score > threshold and not any(a[0] < m.end() and m.start() < a[2] for a in taken):
+        if score > threshold and not base.meets(m.start(), m.end()):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -162,7 +177,7 @@ def secret_spans(docs: DataFrame, ratios: np.ndarray | None, keep: list[str], te
 def secret_scan(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 25.0) -> DataFrame:
     """One row per document: `id` and `found`. Trains the models on the documents themselves, then scans them.
 
-    Null or empty texts have no spans; repeated rows give repeated results; an empty table gives an empty one;
+    Null or empty texts have no spans; the time for a text grows with its length, however many spans it has; repeated rows give repeated results; an empty table gives an empty one;
     other columns are not read.
     """
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
