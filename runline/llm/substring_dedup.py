@@ -29,7 +29,9 @@ SIEVE_BITS = 1 << 25
 #: Words of the grams whose least hash names a chunk of windows, and windows that a group of chunks holds on average.
 GRAM, GROUP = 25, 250_000
 #: Chunks of one hash that are compared in one task at most; windows of more frequent ones are dealt one by one.
-MOST_OF_NAME = 4000
+MOST_OF_NAME, MOST_WINDOWS = 4000, 100_000
+#: Windows in one row.
+PIECE = 4096
 
 
 def tune(percent: int, recall: float = 0.999, noise: float = 0.3, most_noise: float = 0.12) -> tuple[int, int]:
@@ -223,20 +225,25 @@ def _chunk_names(docs: DataFrame, size: int) -> DataFrame:
             for _, data, offsets in W.text_slices(batch, "text"):
                 window, *_, cut, name = chunks(data, offsets, size)
                 length = np.diff(np.concatenate((cut, [len(window)])))
-                # A long chunk can repeat a window within itself.
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((name, name[length > size])).view(np.int64))], ["place"])
+                name, at = np.unique(name.view(np.int64), return_inverse=True)
+                # A long chunk can repeat a window within itself: it counts twice.
+                met = np.bincount(at, weights=1 + (length > size), minlength=len(name)).astype(np.int64)
+                windows = np.bincount(at, weights=length, minlength=len(name)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(met), pa.array(windows)], ["place", "k", "windows"])
 
-    return docs.mapInArrow(run, "place long")
+    return docs.mapInArrow(run, "place long, k long, windows long")
 
 
 _CHUNK = "id long, name long, common boolean, first long, windows array<long>, starts array<int>, stops array<int>"
 
 
 def _wanted_chunks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """At least the chunks of `names`, with their windows. `common` is alike for all chunks of a name, and true of at least those
-    names that come more than MOST_OF_NAME times."""
+    """At least the chunks of `names`, with their windows, of which a row has at most PIECE. `common` is alike for all chunks of a name, and
+    true of at least those names that more than MOST_OF_NAME chunks or MOST_WINDOWS windows have."""
     context = docs.sparkSession.sparkContext
-    sent, often = context.broadcast(_sieve(names)), context.broadcast(_sieve(names.where(F.col("k") > MOST_OF_NAME)))
+    most = PIECE
+    many = (F.col("k") > MOST_OF_NAME) | (F.col("windows") > MOST_WINDOWS)
+    sent, often = context.broadcast(_sieve(names)), context.broadcast(_sieve(names.where(many)))
 
     def run(batches):
         for batch in batches:
@@ -246,6 +253,11 @@ def _wanted_chunks(docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
                 if not len(kept):
                     continue
                 length = np.diff(np.concatenate((cut, [len(window)])))[kept]
+                # A window's name is its own, so a chunk can be cut anywhere.
+                pieces = -(-length // most)
+                of = np.repeat(np.arange(len(kept)), pieces)
+                skipped = (np.arange(len(of)) - np.searchsorted(of, of)) * most
+                cut, name, length, kept = cut[kept][of] + skipped, name[kept][of], np.minimum(length[of] - skipped, most), np.arange(len(of))
                 ends = np.concatenate(([0], np.cumsum(length)))
                 at = np.repeat(cut[kept] - ends[:-1], length) + np.arange(ends[-1])
                 lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (window[at].view(np.int64), low[at].astype(np.int32), high[at].astype(np.int32))]
@@ -298,10 +310,10 @@ _RUNS = "id long, low long, high long, start long, stop long, removed boolean, c
 
 def _common_repeats(chunks: DataFrame, size: int, salts: int) -> DataFrame:
     """What `_repeats` finds, as runs of one window each, however many chunks of one name and rows of one window there are:
-    both steps deal the rows of a window by `salts` values of their id, and only a row per window and salt meets in between."""
+    both steps deal the rows of a window by `salts` values of their id and place, and only a row per window and salt meets in between."""
     each = chunks.select("id", "first", F.posexplode(F.arrays_zip("windows", "starts", "stops")).alias("k", "own"))
     each = each.select(
-        "id", (F.col("first") + F.col("k")).alias("word"), F.col("own.windows").alias("window"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
+        "id", (F.col("first") + F.col("k")).alias("word"), F.col("own.windows").alias("window"), F.pmod(F.xxhash64("id", F.floor((F.col("first") + F.col("k")) / PIECE)), F.lit(salts)).alias("salt"),
         F.col("own.starts").cast("long").alias("start"), F.col("own.stops").cast("long").alias("stop"),
     )
     # Places of windows that all overlap, as bits: fewer than rows if rows repeat an id.
@@ -332,7 +344,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id",
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     scratch = Scratch(spark, "repeats")
-    names = scratch.stored(_chunk_names(own, size).groupBy("place").agg(F.count("*").alias("k")).where("k > 1"))
+    names = scratch.stored(_chunk_names(own, size).groupBy("place").agg(F.sum("k").alias("k"), F.sum("windows").alias("windows")).where("k > 1"))
     found = scratch.stored(_wanted_chunks(own, names, size))
     n = {r.common: r.n for r in found.groupBy("common").agg(F.sum(F.size("windows")).alias("n")).collect()}
     groups, salts = (max(partitions(spark), -(-n.get(c, 0) // GROUP)) for c in (False, True))

@@ -64,3 +64,18 @@ def test_frequent_chunks_give_the_same_rows(spark, sf, monkeypatch):
             monkeypatch.setattr(substring_dedup, "MOST_OF_NAME", most)
             found.append(sorted(map(tuple, substring_dedup.repeated_passages(spark, docs).collect())))
         assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_one_word_over_and_over(spark, monkeypatch):
+    """A monotonous text is many rows, whose windows are dealt one by one to several tasks: the same rows as when compared at once."""
+    docs = spark.createDataFrame([(1, "a " * 5000), (2, "b c " * 400), (3, "x y z"), (3, "b c " * 60)], "doc_id long, text string")
+    found = []
+    for piece, windows in ((4096, 10**9), (100, 10**9), (100, 300), (4096, 0)):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        monkeypatch.setattr(substring_dedup, "MOST_WINDOWS", windows)
+        found.append(sorted(map(tuple, substring_dedup.repeated_passages(spark, docs).collect())))
+    assert found[0] and all(f == found[0] for f in found)
+    own = spark.createDataFrame([(1, "a " * 5000)], "doc_id long, text string")
+    names = substring_dedup._chunk_names(own, 50).groupBy("place").agg(F.sum("k").alias("k"), F.sum("windows").alias("windows"))
+    rows = substring_dedup._wanted_chunks(own, names, 50).select(F.size("windows").alias("n"), "common").collect()
+    assert len(rows) > 1 and max(r.n for r in rows) <= 4096 and all(r.common for r in rows)
