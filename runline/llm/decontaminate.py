@@ -3,7 +3,8 @@
 A task's texts are cut into shards of a few MB. The words of a shard, numbered by the benchmark's vocabulary, get a
 suffix array; every suffix of the test items is binary-searched in it, which gives its longest verbatim match, where
 that is, and all places of its first `window` words. Suffixes that meet a word of no test item before the shortest
-window is complete are left out of the array: they hold no occurrence.
+window is complete are left out of the array: they hold no occurrence. Of the test suffixes, only those are searched whose
+window's hash some window of the shard has, and a shard without any needs no array.
 
 The benchmark is the stated query set. It is read in blocks of a bounded number of characters; each block is sent to
 the executors and run against all rows, and the results of blocks are merged per document.
@@ -11,8 +12,6 @@ the executors and run against all rows, and the results of blocks are merged per
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,73 +20,88 @@ from pyspark.sql import functions as F
 from runline.llm import words as W
 from runline.llm.scratch import Scratch
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Characters of test items that are sent to the executors at once.
 BLOCK_CHARS = 32 << 20
 
 
 class TestSet:
-    """A block of test items: numbered words, and all suffixes, each with its window of at most `window` words."""
+    """A block of test items, as arrays: numbered words, of all items in a row; for each suffix (named by its first word's place) its item; and the
+    different windows, each with the suffixes that begin with it. A window is a place and a length in the words, and is known by a hash of
+    its words, as words are. It holds about 40 bytes per word."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.window = window
-        words = [[w for w in _WORD.findall((t or "").encode().lower())] for _, t in items]
-        vocabulary = {w: i for i, w in enumerate(sorted({w for x in words for w in x}), 1)}
-        spelled = list(vocabulary)
-        data = np.frombuffer(b" ".join(spelled), dtype=np.uint8)
-        start, end, _ = W.word_spans(data, np.array([0, len(data)]), W.ALPHANUMERIC)
-        hashes = W.word_hashes(data, start, end)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], np.arange(1, len(spelled) + 1, dtype=np.int64)[order]
-        self.shortest = min((min(len(x), window) for x in words if x), default=0)
-        # Of a suffix only its length and its window are kept.
-        lengths, full, window_of = [], [], []
-        #: All items' words in one array: a suffix's number is where it begins; and its place within its item.
-        self.words = np.array([vocabulary[w] for x in words for w in x], np.int64)
-        self.offset = np.array([k for x in words for k in range(len(x))], np.int64)
-        #: Equal windows are searched once; the items that have them are joined on afterwards.
-        seen: dict[tuple, int] = {}
-        self.windows: list[tuple] = []
-        self.owners: list[set] = []
-        for (name, _), x in zip(items, words, strict=True):
-            ids = [vocabulary[w] for w in x]
-            size = min(len(ids), window)
-            for k in range(len(ids)):
-                whole = len(ids) - k >= size
-                lengths.append(len(ids) - k)
-                full.append(size if whole else 0)
-                window_of.append(-1)
-                if whole:
-                    key = tuple(ids[k : k + size])
-                    if key not in seen:
-                        seen[key] = len(self.windows)
-                        self.windows.append(key)
-                        self.owners.append(set())
-                    window_of[-1] = seen[key]
-                    if name is not None:
-                        self.owners[seen[key]].add(name)
-        self.lengths, self.full, self.window_of = (np.array(x, np.int64) for x in (lengths, full, window_of))
+        self.names = [n for n, _ in items]
+        data, offsets = W.text_bytes(pa.array([t or "" for _, t in items], pa.large_string()))
+        hashes, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for low, high in W.slices(offsets):
+            own = W.LOWER[data[offsets[low] : offsets[high]]]
+            start, end, doc = W.word_spans(own, offsets[low : high + 1] - offsets[low], W.ALPHANUMERIC)
+            hashes.append(W.word_hashes(own, start, end))
+            item.append(low + doc)
+        hashes, item = np.concatenate(hashes), np.concatenate(item)
+        self.hashes, number = np.unique(hashes, return_inverse=True)
+        self.words, self.item = (number + 1).astype(np.int32), item.astype(np.int32)
+        count = np.bincount(item, minlength=len(items))
+        self.begin, self.end = np.cumsum(count) - count, np.cumsum(count)
+        sizes = np.minimum(count, window)
+        self.sizes = np.unique(sizes[sizes > 0])
+        self.shortest = int(self.sizes[0]) if len(self.sizes) else 0
+        #: Per length: hashes of its different windows, sorted, and the number of the first.
+        self.known: list[tuple[int, np.ndarray, int]] = []
+        lengths, suffixes, of = [], [], []
+        for size in self.sizes.tolist():
+            mine = np.flatnonzero(sizes[item] == size)
+            own, at = W.window_hashes(hashes[mine], item[mine], size)
+            found, which = np.unique(own, return_inverse=True)
+            first = sum(map(len, lengths))
+            self.known.append((size, found, first))
+            lengths.append(np.full(len(found), size, np.int32))
+            suffixes.append(mine[at].astype(np.int32))
+            of.append((which + first).astype(np.int32))
+        self.length = np.concatenate(lengths) if lengths else np.zeros(0, np.int32)
+        of, suffixes = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (of, suffixes))
+        order = np.lexsort((suffixes, of))
+        #: Suffixes by window, and where those of each window begin.
+        self.suffixes = suffixes[order]
+        self.cuts = np.searchsorted(of[order], np.arange(len(self.length) + 1)).astype(np.int32)
+
+    def met(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Numbers of the windows whose hash some window of these words has: all that occur are among them."""
+        out = [np.zeros(0, np.int64)]
+        for size, known, first in self.known:
+            own, _ = W.window_hashes(hashes, doc, size)
+            own = np.unique(own)
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            out.append(first + at[known[at] == own])
+        return np.concatenate(out)
+
+    def queries(self, windows: np.ndarray) -> np.ndarray:
+        """Words of these windows, a row each; -1 beyond their length."""
+        columns = np.arange(self.window)
+        at = self.suffixes[self.cuts[windows]].astype(np.int64)[:, None] + columns
+        return np.where(columns < self.length[windows][:, None], self.words[np.minimum(at, len(self.words) - 1)], -1)
+
+    def owners(self, window: int) -> set[str]:
+        """Ids of the items that have a window; an item without an id is not named."""
+        items = np.unique(self.item[self.suffixes[self.cuts[window] : self.cuts[window + 1]]])
+        return {self.names[k] for k in items.tolist()} - {None}
 
     def common(self, suffix: np.ndarray, padded: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
         """For each pair of a suffix and a place, of which the first `known` words are equal: how many are."""
         equal, open_ = known.copy(), np.arange(len(suffix))
         while len(open_):
             k = equal[open_]
-            inside = k < self.lengths[suffix[open_]]
+            inside = suffix[open_] + k < self.end[self.item[suffix[open_]]]
             open_, k = open_[inside], k[inside]
             same = self.words[suffix[open_] + k] == padded[places[open_] + k]
             open_ = open_[same]
             equal[open_] += 1
         return equal
 
-    def matrix(self, rows, width: int) -> np.ndarray:
-        out = np.full((len(rows), width), -1, dtype=np.int64)
-        for k, x in enumerate(rows):
-            out[k, : min(len(x), width)] = x[:width]
-        return out
-
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places of `ids` in the order of the suffixes that begin there, compared up to `depth` words."""
@@ -136,9 +150,12 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
     if not len(start) or not len(test.hashes):
         return n_words, (nothing, nothing, nothing, nothing), (nothing, nothing, nothing, nothing)
     hashes = W.word_hashes(data, start, end)
+    windows = test.met(hashes, doc)
+    if not len(windows):  # none of them occurs
+        return n_words, (nothing, nothing, nothing, nothing), (nothing, nothing, nothing, nothing)
     at = np.searchsorted(test.hashes, hashes)
     at[at == len(test.hashes)] = 0
-    ids = np.where(test.hashes[at] == hashes, test.numbers[at], 0)
+    ids = np.where(test.hashes[at] == hashes, at + 1, 0)
     # Runs of known words within a text that can hold the shortest window; 0 stands between runs.
     cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | ((ids[1:] > 0) != (ids[:-1] > 0)))))
     size = np.diff(np.concatenate((cut, [len(ids)])))
@@ -155,13 +172,13 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
     order = order[joined[order] > 0]
     padded = np.concatenate((joined, np.zeros(test.window, np.int64)))  # no match goes on over a 0
     found = []
-    lengths = np.array([len(x) for x in test.windows], np.int64)
-    queries = test.matrix(test.windows, int(lengths.max()))
+    lengths = test.length[windows].astype(np.int64)
+    queries = test.queries(windows)
     low = search(padded, order, queries, lengths, after=False)
     high = search(padded, order, queries, lengths, after=True)
     for k in np.flatnonzero(high > low):
         places = order[low[k] : high[k]]
-        found.append((origin[places], np.full(len(places), lengths[k]), np.full(len(places), k)))
+        found.append((origin[places], np.full(len(places), lengths[k]), np.full(len(places), windows[k])))
     if found:
         word, length, number = (np.concatenate(x) for x in zip(*found, strict=True))
     else:
@@ -169,9 +186,11 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
     first_word = np.cumsum(n_words) - n_words
     hits = (doc[word], word - first_word[doc[word]], length, number)
     # Longest matches: all places that share a suffix's window, each with the words it shares with the suffix.
-    asked = np.flatnonzero(test.full > 0) if len(word) else nothing
-    asked = asked[(high > low)[test.window_of[asked]]]
-    spot = test.window_of[asked]
+    hit = np.flatnonzero(high > low) if len(word) else nothing
+    many = (test.cuts[windows[hit] + 1] - test.cuts[windows[hit]]).astype(np.int64)
+    spot = np.repeat(hit, many)
+    begin = np.cumsum(many) - many
+    asked = test.suffixes[np.repeat(test.cuts[windows[hit]] - begin, many) + np.arange(len(spot))].astype(np.int64)
     count = high[spot] - low[spot]
     best = [(nothing, nothing, nothing, nothing)]
     for at in _portions(count):
@@ -180,7 +199,7 @@ def shard_matches(test: TestSet, data: np.ndarray, offsets: np.ndarray):
         places = order[np.repeat(low[spot[at]] - begin, count[at]) + np.arange(len(which))]
         suffix = asked[which]
         # A pair that goes on to the left is part of a longer match.
-        alone = (test.offset[suffix] == 0) | (places == 0) | (test.words[suffix - 1] != padded[places - 1])
+        alone = (test.begin[test.item[suffix]] == suffix) | (places == 0) | (test.words[suffix - 1] != padded[places - 1])
         which, places, suffix = which[alone], places[alone], suffix[alone]
         if not len(which):
             continue
@@ -229,7 +248,9 @@ def _block(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
                         last["size"] = max(last["size"], a + m - last["first"])
                     else:
                         hits[d].append({"first": a, "size": m})
-                    items[d] |= test.owners[k]
+                    items[d].add(k)
+                named = {k: test.owners(k) for k in {k for x in items for k in x}}
+                items = [set().union(*[named[k] for k in x]) for x in items]
                 longest, longest_at = np.zeros(n, np.int64), np.full(n, -1, np.int64)
                 for d, a, m in zip(best_doc.tolist(), best_at.tolist(), best.tolist(), strict=True):
                     if m > longest[d]:

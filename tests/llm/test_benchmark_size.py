@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import time
 
 import numpy as np
 
@@ -37,3 +38,23 @@ def test_items_without_an_id(spark):
     bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma"), ("b", "gamma"), ("a", "gamma"), ("a", "gamma")], "item_id string, text string")
     rows = {r.doc_id: (sum(h.size for h in r.hits), r.items) for r in decontaminate.decontaminate(spark, docs, bench).collect()}
     assert rows == {1: (2, []), 2: (1, ["a", "b"]), 3: (0, [])}
+
+
+def test_large_benchmark():
+    """8 MB of items: memory by the word, and a slice of 0.7 MB of text in a few seconds, hits and locations right."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(30_000)])
+    items = [(str(i), " ".join(words[rng.integers(0, 30_000, 200)])) for i in range(6500)]
+    test = decontaminate.TestSet(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(test)) < 8 * size
+    texts = [" ".join(words[rng.integers(0, 30_000, 1000)]) for _ in range(118)]
+    texts[5] += " " + " ".join(items[77][1].split(" ")[20:90])
+    texts[9] += " " + items[300][1] + " x"
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    began = time.perf_counter()
+    _, (doc, first, length, number), (_, where, at, best) = decontaminate.shard_matches(test, data, offsets)
+    assert time.perf_counter() - began < 3
+    assert set(doc.tolist()) == {5, 9} and {d: set().union(*[test.owners(k) for k in number[doc == d].tolist()]) for d in (5, 9)} == {5: {"77"}, 9: {"300"}}
+    assert sorted(zip(where.tolist(), at.tolist(), best.tolist(), strict=True), key=lambda x: -x[2])[:2] == [(9, 1000, 200), (5, 1000, 70)]
