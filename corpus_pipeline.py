@@ -13,14 +13,18 @@ LEAST_LANGUAGE_SCORE = 0.3
 SECRET = "[secret]"
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Written with a number per row (`_row`), so that stages judge rows, whatever their ids: they may be null or repeat."""
-    return Scratch(spark, "rows").stored(docs.select("*", F.monotonically_increasing_id().alias("_row")))
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """Written with a number per row, so that stages judge rows, whatever their ids: they may be null or repeat. The number's column has a name that no
+    given one has."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return Scratch(spark, "rows").stored(docs.select("*", F.monotonically_increasing_id().alias(name))), name
 
 
-def _but(spark: SparkSession, rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """`rows` but those whose `_row` is in `bad`. The numbers are written first: only if that table is small, it is broadcast."""
-    return rows.join(Scratch(spark, "dropped").stored(bad.select("_row").distinct()), "_row", "left_anti").drop("_row")
+def _but(spark: SparkSession, rows: DataFrame, bad: DataFrame, row: str) -> DataFrame:
+    """`rows` but those whose number is in `bad`. The numbers are written first: only if that table is small, it is broadcast."""
+    return rows.join(Scratch(spark, "dropped").stored(bad.select(row).distinct()), row, "left_anti").drop(row)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,22 +41,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies, that of the smallest id (of repeated or null ids, the row read first;
     null ids come last). Rows without words are no copies of anything and stay."""
-    rows = _numbered(spark, docs)
-    found = ngram_join.ngram_join(spark, rows, "_row").select("_row", "n_shingles", "component_id")
-    found = Scratch(spark, "groups").stored(found.join(rows.select("_row", "doc_id"), "_row").where("n_shingles > 0"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    rows, row = _numbered(spark, docs)
+    found = ngram_join.ngram_join(spark, rows, row).select(F.col(row).alias("own"), "n_shingles", "component_id")
+    found = Scratch(spark, "groups").stored(found.join(rows.select(F.col(row).alias("own"), F.col("doc_id").alias("id")), "own").where("n_shingles > 0"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("own").alias("row"))
     first = found.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
     # Written, so that the join after it is planned by its size, and a component of very many rows can be split.
     first = Scratch(spark, "first").stored(first.select("component_id", F.col("first.row").alias("stays")))
-    others = found.join(first, "component_id").where("_row <> stays")
-    return _but(spark, rows, others)
+    others = found.join(first, "component_id").where("own <> stays")
+    return _but(spark, rows, others.select(F.col("own").alias(row)), row)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a benchmark passage, row by row: a null or repeated id makes no difference, null texts stay."""
-    rows = _numbered(spark, docs)
-    found = decontaminate.decontaminate(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row")
-    return _but(spark, rows, found.where(F.size("hits") > 0))
+    rows, row = _numbered(spark, docs)
+    found = decontaminate.decontaminate(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row)
+    return _but(spark, rows, found.where(F.size("hits") > 0), row)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
