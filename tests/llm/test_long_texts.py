@@ -29,3 +29,14 @@ def test_spans_that_meet():
         for start in range(0, 80, 3):
             for end in (start + 1, start + 7):
                 assert taken.meets(start, end) == any(a < end and start < b for a, _, b in spans)
+
+
+def test_pipeline_stages_keep_columns_named_like_their_own(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, "one two three four five six", "en", "s", 3, 7, "x", 9, "c"), (2, "one two three four five six", "en", "s", 3, 8, "x", 9, "c"), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, _ROW_ string, component_id long, first string")
+    for stage, kept in ((P.one_of_each_group, [1, None]), (P.no_benchmark, [1, 2, None]), (P.no_secrets, [1, 2, None])):
+        found = stage(spark, docs, sf)
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted((r for r in rows if r[0] in kept), key=repr)
