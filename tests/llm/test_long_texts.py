@@ -34,7 +34,7 @@ def test_spans_that_meet():
 def test_pipeline_stages_keep_columns_named_like_their_own(spark, sf):
     import corpus_pipeline as P
 
-    rows = [(1, "one two three four five six", "en", "s", 3, 7, "x", 9, "c"), (2, "one two three four five six", "en", "s", 3, 8, "x", 9, "c"), (None, None, None, None, None, None, None, None, None)]
+    rows = [(1, "one two three four five six", "en", "s", 27, 7, "x", 9, "c"), (2, "one two three four five six", "en", "s", 27, 8, "x", 9, "c"), (None, None, None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, _ROW_ string, component_id long, first string")
     for stage, kept in ((P.one_of_each_group, [1, None]), (P.no_benchmark, [1, 2, None]), (P.no_secrets, [1, 2, None])):
         found = stage(spark, docs, sf)
