@@ -435,26 +435,34 @@ def loo_folds(spark, sf_dir):
     return folds.loo_folds(machine_log(spark, sf_dir))
 
 
-SAMPLE = f"""ct AS (SELECT {K}, count(*) AS n, sum(production) AS pos FROM ml GROUP BY {K}),
-qt AS (SELECT {K}, CASE WHEN n <= 100 THEN pos ELSE least(pos, 50) END AS q1, CASE WHEN n <= 100 THEN n - pos ELSE least(n - pos, 100 - least(pos, 50)) END AS q0 FROM ct),
-rk AS (SELECT f.test_session, m.{K}, m.row_idx, m.production, q1, q0, row_number() OVER (PARTITION BY f.test_session, m.{K}, m.production ORDER BY md5(concat_ws('|', CAST(1042 + f.test_session AS VARCHAR), CAST(m.{K} AS VARCHAR), CAST(m.row_idx AS VARCHAR))), m.row_idx) AS rn
- FROM folds f JOIN ml m ON m.{K} = f.train_session JOIN qt ON qt.{K} = m.{K}),
-sample AS (SELECT test_session, {K}, row_idx, production FROM rk WHERE rn <= CASE WHEN production = 1 THEN q1 ELSE q0 END)"""
+def _sample_sql(most: int, name: str = "sample") -> str:
+    """Ranks of a fold: the row's hash times the fold's factor, modulo a prime."""
+    return f"""ct AS (SELECT {K}, count(*) AS n, sum(production) AS pos FROM ml GROUP BY {K}),
+qt AS (SELECT {K}, CASE WHEN n <= {most} THEN pos ELSE least(pos, {most // 2}) END AS q1, CASE WHEN n <= {most} THEN n - pos ELSE least(n - pos, {most} - least(pos, {most // 2})) END AS q0 FROM ct),
+hs AS (SELECT {K}, row_idx, production, CAST('0x' || substr(md5(concat_ws('|', CAST({K} AS VARCHAR), CAST(row_idx AS VARCHAR))), 1, 8) AS BIGINT) % 2147483647 AS h FROM ml),
+rk AS (SELECT f.test_session, m.{K}, m.row_idx, m.production, q1, q0, row_number() OVER (PARTITION BY f.test_session, m.{K}, m.production ORDER BY h * (1 + (1042 + f.test_session) * 2654435761 % 2147483646) % 2147483647, m.row_idx) AS rn
+ FROM folds f JOIN hs m ON m.{K} = f.train_session JOIN qt ON qt.{K} = m.{K}),
+{name} AS (SELECT test_session, {K}, row_idx, production FROM rk WHERE rn <= CASE WHEN production = 1 THEN q1 ELSE q0 END)"""
 
 
-def _sample(log: DataFrame) -> DataFrame:
-    return folds.balanced_sample(log, folds.loo_folds(log), "production", max_rows=100)
+def _sample(log: DataFrame, most: int) -> DataFrame:
+    return folds.balanced_sample(log, folds.loo_folds(log), "production", most)
 
 
-@query(sql(FOLDS, SAMPLE, "SELECT * FROM sample"))
+_SAMPLES = [sql(FOLDS, _sample_sql(n), f"SELECT test_session, {K}, row_idx, production, {n} AS max_rows FROM sample") for n in (100, 8000)]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _SAMPLES))
 def balanced_sample(spark, sf_dir):
-    return _sample(machine_log(spark, sf_dir))
+    """At the studies' own cap, and at one that even the smallest table's sessions exceed."""
+    log = machine_log(spark, sf_dir)
+    return _sample(log, 100).withColumn("max_rows", F.lit(100)).unionByName(_sample(log, 8000).withColumn("max_rows", F.lit(8000)))
 
 
-@query(sql(FOLDS, SAMPLE, ", ".join([]) + f"SELECT test_session, feature, {r('avg(x)', 'mean')}, {r('CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END', 'std')} FROM (SELECT s.test_session, u.feature, u.x FROM sample s JOIN (SELECT {K}, row_idx, 'feed_rate' AS feature, feed_rate AS x FROM ml UNION ALL SELECT {K}, row_idx, 'spindle_speed', spindle_speed FROM ml) u USING ({K}, row_idx)) GROUP BY test_session, feature"))
+@query(sql(FOLDS, _sample_sql(8000), f"SELECT test_session, feature, {r('avg(x)', 'mean')}, {r('CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END', 'std')} FROM (SELECT s.test_session, u.feature, u.x FROM sample s JOIN (SELECT {K}, row_idx, 'feed_rate' AS feature, feed_rate AS x FROM ml UNION ALL SELECT {K}, row_idx, 'spindle_speed', spindle_speed FROM ml) u USING ({K}, row_idx)) GROUP BY test_session, feature"))
 def standard_scaler(spark, sf_dir):
     log = machine_log(spark, sf_dir)
-    rows = _sample(log).join(log.select(K, "row_idx", "feed_rate", "spindle_speed"), [K, "row_idx"])
+    rows = _sample(log, 8000).join(log.select(K, "row_idx", "feed_rate", "spindle_speed"), [K, "row_idx"])
     return folds.standard_scaler(rows, ["feed_rate", "spindle_speed"], ["test_session"])
 
 

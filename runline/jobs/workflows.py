@@ -23,18 +23,22 @@ def _features(rows: DataFrame, sensors: list[str], windows: tuple, keep: list[st
     return temporal.temporal_features(ready, sensors, list(windows), [K], keep, with_diff=diffs)
 
 
-def _models(features: DataFrame, label: str, sensors: dict[str, list[str]], windows: tuple, diffs: bool, max_rows: int | None, name: str, scratch: Scratch) -> dict[tuple, model.LogReg]:
-    """A model per group of sensors and test session, all fitted together on the sessions that are not tested."""
-    pairs = folds.loo_folds(features.select(K).distinct())
+def _models(features: DataFrame, label: str, sensors: dict[str, list[str]], windows: tuple, diffs: bool, max_rows: int | None, scratch: Scratch) -> dict[tuple, model.LogReg]:
+    """A model per group of sensors and test session, all fitted together on the sessions that are not tested. A training row is written once, with a
+    bit per fold that has it."""
+    pairs = scratch.stored(folds.loo_folds(features.select(K).distinct()))
+    tests = [r[0] for r in pairs.select("test_session").distinct().orderBy("test_session").collect()]  # a row per session
+    kind = pairs.schema["test_session"].dataType.simpleString()
+    numbers = F.broadcast(features.sparkSession.createDataFrame(list(zip(tests, range(len(tests)), strict=True)), f"test_session {kind}, _fold int"))
+    bits = model.member_bits(F.col("_fold"), len(tests))
+    aggregates = [v.alias(n) for n, v in bits.items()]
     if max_rows is None:
-        sample = pairs.withColumnRenamed("train_session", K).join(features.select(K, "row_idx", label), K)
+        rows = features.join(pairs.join(numbers, "test_session").groupBy(F.col("train_session").alias(K)).agg(*aggregates), K)
     else:
-        sample = folds.balanced_sample(features, pairs, label, max_rows)
-    rows = sample.join(features.drop(label), [K, "row_idx"]).withColumn(name, F.explode(F.array(*[F.lit(x) for x in sensors])))
-    rows = scratch.stored(rows)
-    keys = [(x, r.test_session) for x in sensors for r in pairs.select("test_session").distinct().collect()]  # a row per session
-    own = {k: temporal.rolling_columns(sensors[k[0]], list(windows), diffs) for k in keys}
-    return model.train_logreg(rows, own, [name, "test_session"], label)
+        sample = folds.balanced_sample(features, pairs, label, max_rows).join(numbers, "test_session")
+        rows = features.join(sample.groupBy(K, "row_idx").agg(*aggregates), [K, "row_idx"])
+    own = {(x, t): (k, temporal.rolling_columns(s, list(windows), diffs)) for x, s in sensors.items() for k, t in enumerate(tests)}
+    return model.fit(scratch.stored(rows), list(bits), own, label) if own else {}
 
 
 def localise_production(scratch: Scratch, rows: DataFrame, experiments: dict[str, list[str]], p: Stage1, label: str = "production") -> dict[str, DataFrame]:
@@ -44,22 +48,21 @@ def localise_production(scratch: Scratch, rows: DataFrame, experiments: dict[str
     c, both = F.col, ["experiment", K]
     sensors = list(dict.fromkeys(x for group in experiments.values() for x in group))
     features = scratch.stored(_features(rows, sensors, p.windows, [label], False))
-    models = _models(features, label, experiments, p.windows, False, p.max_train_rows, "experiment", scratch)
+    models = _models(features, label, experiments, p.windows, False, p.max_train_rows, scratch)
     kind = features.schema[K].dataType.simpleString()
-    scored = model.score_rows(features, models, ["experiment", "test_session"], ["string", kind], [K, "row_idx", label])
-    series = ["experiment", "test_session", K]
-    smoothed = temporal.smooth_rows(scored, {"p": "prob"}, p.smooth, series).withColumn("p", F.round("p", 9))
-    smoothed = scratch.stored(smoothed)
+    names, types, series = ["experiment", "test_session"], ["string", kind], ["experiment", "test_session", K]
+    runs = scratch.stored(model.score_runs(features, models, names, types, [K], list(p.thresholds), p.smooth))
+    found = scratch.stored(intervals.expand_runs(runs, list(p.thresholds), series, p.merge_gap, p.min_len))
     gt = scratch.stored(intervals.contiguous_segments(features, c(label) == 1, [K]))
-    each = smoothed.select(*series).distinct()
-    trained = thresholds.threshold_scores(
-        smoothed.where(c(K) != c("test_session")), each.join(gt, K), list(p.thresholds), series, "p", p.merge_gap, p.min_len, p.best_iou_weight, p.f1_weight
-    )
-    chosen = scratch.stored(thresholds.best_threshold(trained, ["experiment", "test_session"]))
-    tested = scratch.stored(smoothed.where(c(K) == c("test_session")).join(chosen, ["experiment", "test_session"]))
-    pred = scratch.stored(intervals.segments_from_mask(tested, c("p") >= c("threshold"), both, p.min_len, p.merge_gap))
-    groups = tested.groupBy(*both).agg(F.count("*").alias("n_rows"), F.max("threshold").alias("threshold"))
-    groups = scratch.stored(groups)
+    lengths = scratch.stored(features.groupBy(K).agg(F.count("*").alias("n_rows")))
+    fitted = features.sparkSession.createDataFrame([(*k, m.converged) for k, m in models.items()], f"experiment string, test_session {kind}, converged boolean")
+    every = scratch.stored(fitted.select(*names).join(lengths.select(K)))  # a row per model and session
+    train, elsewhere = every.where(c(K) != c("test_session")), c(K) != c("test_session")
+    trained = thresholds.scores_of(found.where(elsewhere), train.join(gt, K), train, list(p.thresholds), series, p.best_iou_weight, p.f1_weight)
+    chosen = scratch.stored(thresholds.best_threshold(trained, names).join(fitted, names))
+    pred = scratch.stored(found.where(~elsewhere).join(chosen.select(*names, "threshold"), [*names, "threshold"]).select(*both, "seg_no", "start", "end", "length"))
+    groups = scratch.stored(chosen.select("experiment", c("test_session").alias(K), "threshold", "converged").join(lengths, K))
+    tested = model.score_rows(features, models, names, types, [K, "row_idx", label], own=(K, "test_session"))
     true = groups.select(*both).join(gt, K)
     errors = scratch.stored(matching.boundary_errors(pred, true, both))
     summary = report.fold_summary(
@@ -83,7 +86,7 @@ def localise_phase(scratch: Scratch, rows: DataFrame, branches: dict[str, tuple[
     sensors = {b: s for b, (s, _) in branches.items()}
     every = list(dict.fromkeys(x for s in sensors.values() for x in s))
     features = scratch.stored(_features(kept, every, p.windows, ["target_phase2"], True))
-    models = _models(features, "target_phase2", sensors, p.windows, True, p.max_train_rows, "branch", scratch)
+    models = _models(features, "target_phase2", sensors, p.windows, True, p.max_train_rows, scratch)
     kind = features.schema[K].dataType.simpleString()
     scored = model.score_rows(features, models, ["branch", "test_session"], ["string", kind], [K, "row_idx"], own=(K, "test_session"))
     wide = scored.groupBy(K, "row_idx").agg(*[F.max(F.when(F.col("branch") == b, F.col("prob"))).alias(b) for b in branches])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def loo_folds(sessions: DataFrame, session: str = "session_id") -> DataFrame:
@@ -12,33 +16,87 @@ def loo_folds(sessions: DataFrame, session: str = "session_id") -> DataFrame:
     return one.join(one.withColumnRenamed("test_session", "train_session"), F.col("test_session") != F.col("train_session"))
 
 
-def _rank_key(seed: Column, session: str, order: str) -> Column:
-    return F.md5(F.concat_ws("|", seed.cast("string"), F.col(session).cast("string"), F.col(order).cast("string")).cast("binary"))
+#: Ranks are numbers below it.
+PRIME = (1 << 31) - 1
+#: Bytes of candidates that a task holds before it hands them on.
+HELD = 64 << 20
+
+
+def row_hash(session: str, order: str) -> Column:
+    """A number below PRIME of (session, row), the same on any number of partitions."""
+    text = F.concat_ws("|", F.col(session).cast("string"), F.col(order).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
+
+
+def fold_factor(seed: int, test: int) -> int:
+    """What a row's hash is multiplied by (modulo PRIME) to rank it in a fold."""
+    return 1 + (seed + 1000 + test) * 2654435761 % (PRIME - 1)
 
 
 def balanced_sample(rows: DataFrame, folds: DataFrame, label: str, max_rows: int = 8000, seed: int = 42, session: str = "session_id", order: str = "row_idx") -> DataFrame:
     """Training rows of each fold: all of a session of at most `max_rows`; else up to half positives, filled with negatives.
 
-    Only labels 0 and 1 count. Scarce positives are made up by negatives, scarce negatives are not. Which rows, is by a
-    hash of (fold's seed, session, row): the same on any number of partitions, different per fold. Rows whose hash lies far
-    above the quota's share (twice it and 200 rows more: the chance that one of them is due is below 1e-20) are dropped before
-    anything is shuffled, so a fold shuffles about its sample, not its rows.
+    Only labels 0 and 1 count. Scarce positives are made up by negatives, scarce negatives are not. Which rows, is by rank: a row is hashed once, and the
+    fold's factor gives its rank in the fold. A task keeps, per fold, session and label, the quota's lowest ranks; those of the tasks are merged
+    after: a bottom-k sample. So what is shuffled are quotas, not rows. Folds are a row per pair of sessions, and known to all tasks.
     """
-    kept = rows.where(F.col(label).isin(0, 1)).select(session, order, label)
-    counts = kept.groupBy(session).agg(F.count("*").alias("_n"), F.sum(F.col(label)).alias("_pos"))
+    kept = rows.where(F.col(label).isin(0, 1)).select(session, F.col(order).cast("long").alias("_row"), F.col(label).cast("int").alias("_label"), row_hash(session, order).alias("_hash"))
+    counts = kept.groupBy(session).agg(F.count("*").alias("_n"), F.sum("_label").alias("_pos"))
     take_pos = F.least("_pos", F.lit(max_rows // 2))
     quota = counts.select(
-        session, "_n", "_pos",
+        session,
         F.when(F.col("_n") <= max_rows, F.col("_pos")).otherwise(take_pos).alias("_q1"),
         F.when(F.col("_n") <= max_rows, F.col("_n") - F.col("_pos")).otherwise(F.least(F.col("_n") - F.col("_pos"), max_rows - take_pos)).alias("_q0"),
     )
-    each = folds.withColumnRenamed("train_session", session).join(quota, session).join(kept, session)
-    each = each.withColumn("_key", _rank_key(F.lit(seed + 1000) + F.col("test_session"), session, order))
-    own, all_ = F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0")), F.when(F.col(label) == 1, F.col("_pos")).otherwise(F.col("_n") - F.col("_pos"))
-    share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    each = each.where(share * all_ <= 2 * own + 200)
-    rank = F.row_number().over(Window.partitionBy("test_session", session, label).orderBy("_key", order))
-    return each.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0"))).select("test_session", session, order, label)
+    tests: dict = {}
+    for r in folds.select("test_session", "train_session").distinct().collect():
+        tests.setdefault(r.train_session, []).append(r.test_session)
+    names = ["test_session", session, "_label", "_quota", "_ranks"]
+    kinds = {"test": folds.schema["test_session"].dataType, "session": rows.schema[session].dataType}
+    held = HELD
+
+    def lowest(found: np.ndarray, quota: int) -> np.ndarray:
+        return np.partition(found, quota - 1)[:quota] if len(found) > quota > 0 else found[: max(quota, 0)]
+
+    def candidates(batches):
+        best: dict[tuple, tuple[int, np.ndarray]] = {}
+        types = to_arrow_schema(T.StructType([T.StructField("t", kinds["test"]), T.StructField("s", kinds["session"])]))
+
+        def told():
+            columns = [[k[0] for k in best], [k[1] for k in best], [k[2] for k in best], [q for q, _ in best.values()], [np.sort(x).tobytes() for _, x in best.values()]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (types.field(0).type, types.field(1).type, pa.int32(), pa.int64(), pa.binary()), strict=True)]
+            best.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        size = 0
+        for batch in batches:
+            of = batch.column(0).dictionary_encode()
+            code, row, label_, hash_, q1, q0 = (np.asarray(x) for x in (of.indices, *batch.columns[1:]))
+            for k, s in enumerate(of.dictionary.to_pylist()):
+                for value, quotas in ((1, q1), (0, q0)):
+                    at = np.flatnonzero((code == k) & (label_ == value))
+                    for test in tests.get(s, []) if len(at) else []:
+                        rank = hash_[at] * fold_factor(seed, test) % PRIME
+                        quota_, old = best.get((test, s, value), (int(quotas[at[0]]), np.zeros(0, np.uint64)))
+                        new = lowest(np.concatenate([old, rank.astype(np.uint64) << np.uint64(32) | row[at].astype(np.uint64)]), quota_)
+                        best[test, s, value] = (quota_, new)
+                        size += 8 * (len(new) - len(old))
+            if size > held:
+                yield told()
+                size = 0
+        yield told()
+
+    def merge(group: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("_ranks").to_pylist()])
+        taken = lowest(found, group.column("_quota")[0].as_py()) & np.uint64(0xFFFFFFFF)
+        first = group.slice(0, 1).select(["test_session", session, "_label"]).take(pa.array(np.zeros(len(taken), np.int64)))
+        return first.append_column("_row", pa.array(taken.astype(np.int64)))
+
+    test_kind, kind = kinds["test"].simpleString(), kinds["session"].simpleString()
+    each = kept.join(quota, session).select(session, "_row", "_label", "_hash", "_q1", "_q0")
+    found = each.mapInArrow(candidates, f"test_session {test_kind}, `{session}` {kind}, _label int, _quota long, _ranks binary")
+    found = found.groupBy("test_session", session, "_label").applyInArrow(merge, f"test_session {test_kind}, `{session}` {kind}, _label int, _row long")
+    return found.select("test_session", session, F.col("_row").cast(rows.schema[order].dataType).alias(order), F.col("_label").cast(rows.schema[label].dataType).alias(label))
 
 
 def standard_scaler(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:

@@ -61,7 +61,12 @@ def runs_over_thresholds(df: DataFrame, value: str, thresholds: list[float], key
     rows = rows.withColumn("_new", F.when(F.col("_k") == F.lag("_k").over(w), 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.where("_k > 0").groupBy(*keys, "_block", "_run", "_k").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
-    each = runs.withColumn("threshold", F.explode(F.slice(F.array(*[F.lit(t) for t in levels]), 1, F.col("_k"))))
+    return expand_runs(runs.select(*keys, "_k", "start", "end"), thresholds, keys, gap, min_len)
+
+
+def expand_runs(runs: DataFrame, thresholds: list[float], keys: list[str], gap: int, min_len: int) -> DataFrame:
+    """Intervals at each threshold from runs of rows that reach the `_k` lowest ones; runs may be cut anywhere."""
+    each = runs.withColumn("threshold", F.explode(F.slice(F.array(*[F.lit(t) for t in sorted(thresholds)]), 1, F.col("_k"))))
     per = [*keys, "threshold"]
     return filter_short(merge_close(merge_close(each, per, 0), per, gap), min_len, per)
 

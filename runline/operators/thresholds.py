@@ -19,11 +19,14 @@ def threshold_scores(
 ) -> DataFrame:
     """Objective of each series at each threshold: 0.7 mean best IoU + 0.3 f1. Rows are compressed to runs before the
     thresholds multiply anything."""
-    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    groups = smoothed.select(*keys).distinct().select(*keys, grid)
     pred = intervals.runs_over_thresholds(smoothed, value, thresholds, keys, gap, min_len, order)
-    true = gt.select(*keys, "start", "end", grid)
-    scored = matching.evaluate_segments(pred, true, groups, [*keys, "threshold"])
+    return scores_of(pred, gt.select(*keys, "start", "end"), smoothed.select(*keys).distinct(), thresholds, keys, iou_weight, f1_weight)
+
+
+def scores_of(pred: DataFrame, gt: DataFrame, series: DataFrame, thresholds: list[float], keys: list[str], iou_weight: float = 0.7, f1_weight: float = 0.3) -> DataFrame:
+    """The same for given intervals of each series and threshold."""
+    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+    scored = matching.evaluate_segments(pred, gt.select(*keys, "start", "end", grid), series.select(*keys, grid), [*keys, "threshold"])
     return scored.select(*keys, "threshold", (F.lit(iou_weight) * F.col("mean_best_gt_iou") + F.lit(f1_weight) * F.col("f1")).alias("objective"))
 
 
