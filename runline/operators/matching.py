@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from runline.operators import greedy
 
-#: Width of a range bucket (rows) in overlap joins.
-BIN = 4096
-
-
 def segment_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Inclusive intersection over union; 0 for disjoint or reversed intervals."""
     inter = F.least(a_end, b_end) - F.greatest(a_start, b_start) + 1
@@ -24,16 +20,34 @@ def _side(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.select(*keys, number.cast("int").alias(f"{name}_index"), F.col("start").alias(f"{name}_start"), F.col("end").alias(f"{name}_end"))
 
 
-def iou_pairs(pred: DataFrame, gt: DataFrame, keys: list[str], bin: int = BIN) -> DataFrame:
-    """Overlapping pairs of one series with their IoU; indices from 0 in order of start. Only pairs that share a bucket of
-    rows meet, and each pair counts in the first bucket that both reach, so a series of many intervals is not crossed."""
-    p, g = _side(pred, keys, "pred"), _side(gt, keys, "gt")
-    p = p.withColumn("_b", F.explode(F.sequence(F.floor(F.col("pred_start") / bin), F.floor(F.col("pred_end") / bin))))
-    g = g.withColumn("_b", F.explode(F.sequence(F.floor(F.col("gt_start") / bin), F.floor(F.col("gt_end") / bin))))
-    both = p.join(g, [*keys, "_b"])
-    meets = (F.col("pred_start") <= F.col("gt_end")) & (F.col("gt_start") <= F.col("pred_end"))
-    both = both.where(meets & (F.col("_b") == F.floor(F.greatest("pred_start", "gt_start") / bin))).drop("_b")
-    return both.withColumn("iou", segment_iou(F.col("pred_start"), F.col("pred_end"), F.col("gt_start"), F.col("gt_end")))
+def _level(start: Column, end: Column) -> Column:
+    """The least power of two (its exponent) that is no shorter than an interval."""
+    return F.when(end > start, F.length(F.bin(end - start))).otherwise(0)
+
+
+def _cells(side: DataFrame, keys: list[str], name: str, other: DataFrame) -> DataFrame:
+    """An interval at its own level (`_own`), and at the higher levels that the other side has: at each, the one or two cells of that length it lies in."""
+    s, e = F.col(f"{name}_start"), F.col(f"{name}_end")
+    present = other.groupBy(*keys).agg(F.collect_set("_q").alias("_levels"))  # at most 63 a series
+    levels = F.array_union(F.array("_q"), F.filter("_levels", lambda q: q > F.col("_q")))
+    each = side.join(present, keys).select(*side.columns, F.explode(levels).alias("_l")).withColumn("_own", F.col("_l") == F.col("_q"))
+    width = F.pow(F.lit(2.0), F.col("_l")).cast("long")
+    return each.withColumn("_b", F.explode(F.sequence(F.floor(s / width), F.floor(e / width))))
+
+
+def iou_pairs(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlapping pairs of one series with their IoU; indices from 0 in order of start. Two intervals meet at the level of the longer one: in cells as
+    long as it, of which either lies in one or two. So an interval of a whole series costs two cells, and short ones do not crowd them: at
+    that level they are met by the long ones only."""
+    c, reach = F.col, [f"{n}_{x}" for n in ("pred", "gt") for x in ("start", "end")]
+    p, g = _side(pred, keys, "pred").withColumn("_q", _level(c("pred_start"), c("pred_end"))), _side(gt, keys, "gt").withColumn("_q", _level(c("gt_start"), c("gt_end")))
+    p, g = p.where("pred_end >= pred_start"), g.where("gt_end >= gt_start")
+    cells_p, cells_g = _cells(p, keys, "pred", g).drop("_q"), _cells(g, keys, "gt", p).drop("_q").withColumnRenamed("_own", "_other")
+    both = cells_p.join(cells_g, [*keys, "_l", "_b"]).where("_own or _other")
+    meets = (c("pred_start") <= c("gt_end")) & (c("gt_start") <= c("pred_end"))
+    first = F.floor(F.greatest("pred_start", "gt_start") / F.pow(F.lit(2.0), c("_l")).cast("long"))
+    both = both.where(meets & (c("_b") == first)).select(*keys, "pred_index", *reach[:2], "gt_index", *reach[2:])
+    return both.withColumn("iou", segment_iou(c("pred_start"), c("pred_end"), c("gt_start"), c("gt_end")))
 
 
 def match_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10, width: int = greedy.WIDTH) -> DataFrame:

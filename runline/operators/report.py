@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runline.operators import intervals
+from runline.operators import intervals, ranges
 from runline.operators.matching import f1_of, iou_pairs, ratio
 
 METRICS = ["precision", "recall", "f1", "matched_mean_iou", "mean_best_gt_iou", "best_any_iou", "row_f1"]
@@ -28,11 +28,15 @@ def row_metrics(pred: DataFrame, gt: DataFrame, lengths: DataFrame, keys: list[s
 
 
 def row_auc(df: DataFrame, prob: str, label: str, keys: list[str]) -> DataFrame:
-    """Exact area under the ROC curve with ties; null for one class. Equal probabilities are aggregated first."""
+    """Exact area under the ROC curve with ties; null for one class. Equal probabilities are aggregated first; the others are in ranges, and what lies
+    below a range is carried into it, so one series of any number of different probabilities is spread over tasks."""
     c = F.col
     counts = df.groupBy(*keys, c(prob).alias("_prob")).agg(F.sum((c(label) == 1).cast("long")).alias("_pos"), F.sum((c(label) != 1).cast("long")).alias("_neg"))
-    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*keys).orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = counts.withColumn("_area", c("_pos") * (below + c("_neg") / 2.0))
+    ranged = ranges.in_ranges(counts, keys, ["_prob"])
+    before = ranges.carried(ranged.groupBy(*keys, "_part").agg(F.sum("_neg").alias("_sum")), keys, _below="_sum").drop("_sum")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_prob").rowsBetween(Window.unboundedPreceding, -1)
+    area = ranged.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(before, [*keys, "_part"])
+    area = area.withColumn("_area", c("_pos") * (c("_in") + c("_below") + c("_neg") / 2.0))
     sums = area.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("_area", "_pos", "_neg")])
     return sums.select(*keys, F.when((c("_pos") > 0) & (c("_neg") > 0), c("_area") / (c("_pos") * c("_neg"))).alias("row_auc"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runline.config import SESSION_FILES, TIME_COLUMNS
+from runline.operators import ranges
+from runline.sources.scratch import Scratch
 
 _NAME = r"(session|sess|s)[_\- ]*(1|2|13)\b"
 
@@ -38,12 +43,22 @@ def read_files(spark: SparkSession, path: str, pattern: str = "Data_from_*.csv")
         read = spark.read.option("header", True).csv(g.paths)
         one = normalise_header(read.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return row_index(out, ["file_name"], ["_at", "_id"]).drop("_at", "_id")
+    return _numbered_by_splits(out)
+
+
+def _numbered_by_splits(rows: DataFrame) -> DataFrame:
+    """`row_idx` of rows of splits of files (file_name, `_at`, where `_id` goes up by one from row to row of a split): a split's rows are counted, and the
+    rows of the splits before it added. A row per split is all that is ordered, so a file of many splits is numbered by as many tasks."""
+    rows = Scratch(rows.sparkSession, "splits").stored(rows)
+    split = ["file_name", "_at"]
+    before = F.sum("_k").over(Window.partitionBy("file_name").orderBy("_at")) - F.col("_k")
+    counts = rows.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_k")).select(*split, "_first", before.alias("_before"))
+    return rows.join(counts, split).withColumn("row_idx", (F.col("_id") - F.col("_first") + F.col("_before")).cast("long")).drop("_at", "_id", "_first", "_before")
 
 
 def row_index(df: DataFrame, keys: list[str], by: list[str], name: str = "row_idx") -> DataFrame:
-    """Position within each file or series, from 0, in the order of `by`."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1).cast("long"))
+    """Position within each series, from 0, in the order of `by`: rows are sorted in ranges, so a series is numbered by many tasks."""
+    return ranges.placed(df, keys, by, name)
 
 
 def read_sessions(spark: SparkSession, path: str, pattern: str = "Data_from_*.csv") -> DataFrame:
@@ -73,6 +88,21 @@ def missing_sessions(found: DataFrame, targets: list[int]) -> DataFrame:
     return wanted.join(found, "session_id", "left_anti")
 
 
+def require_sessions(found: DataFrame, targets: list[int]) -> DataFrame:
+    """`found`, or an error that names the targets without a file."""
+    missing = sorted(r.session_id for r in missing_sessions(found, targets).collect())  # at most the targets
+    if missing:
+        raise FileNotFoundError(f"no file for sessions {', '.join(map(str, missing))}")
+    return found
+
+
+def read_target_sessions(spark: SparkSession, path: str, targets: list[int], pattern: str = "*.csv", known: dict[str, int] = SESSION_FILES) -> DataFrame:
+    """Rows of the files that stand for the target sessions, with session_id; fails if a target has none."""
+    rows = read_files(spark, path, pattern)
+    files = require_sessions(session_from_filename(rows.select("file_name").distinct(), targets, known), targets)
+    return rows.join(F.broadcast(files), "file_name")  # a row per target
+
+
 def parse_time(df: DataFrame, candidates: list[str] = TIME_COLUMNS, name: str = "ts", unit: str = "ns") -> DataFrame:
     """The first of the candidate columns that exists (else the first column) as a timestamp; what cannot be read is null.
     Numbers are an epoch in `unit` (s, ms, us, ns)."""
@@ -86,8 +116,69 @@ def parse_time(df: DataFrame, candidates: list[str] = TIME_COLUMNS, name: str =
     return df.withColumn(name, F.timestamp_micros((c * per).cast("long")))
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, partition_by: list[str] | None = None, kind: str = "parquet") -> None:
-    """Each table in a folder of its own; an empty one keeps its schema, in a file without partitions."""
+def _files(spark: SparkSession, path: str):
+    """(file system, path class of the JVM) for a folder of any store."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _leaves(fs, make, folder: str, depth: int) -> list[str]:
+    """Partition folders (`a=1/b=2`) of a written table, relative to it."""
+    found = [""]
+    for _ in range(depth):
+        found = [f"{f}/{x.getPath().getName()}".lstrip("/") for f in found for x in fs.listStatus(make(f"{folder}/{f}" if f else folder)) if "=" in x.getPath().getName()]
+    return found
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, partition_by: list[str] | None = None, kind: str = "parquet", replace: str = "tables") -> None:
+    """Each table in a folder of its own; an empty one keeps its schema, in a file without partitions.
+
+    All tables are first written, once each, to a staging folder beside them; a run that fails until then leaves what is there as it is. Then a
+    marker tells what is to be moved, and folders are renamed; if that is interrupted, the next call (or `finish_commit`) goes on with it. replace:
+    `tables` (a table is replaced whole) or `partitions` (only the partitions that the new one has, e.g. those of a fold).
+    """
+    if replace not in ("tables", "partitions"):
+        raise ValueError(f"replace: {replace}")
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    finish_commit(spark, path)
+    staging, moves = f"{path}/_staging-{uuid.uuid4().hex}", []
+    options = {"header": True} if kind == "csv" else {}
+    fs, make = _files(spark, path)
     for name, df in tables.items():
-        by = [] if df.isEmpty() else [c for c in partition_by or [] if c in df.columns]
-        df.write.mode("overwrite").partitionBy(*by).format(kind).options(**({"header": True} if kind == "csv" else {})).save(f"{path}/{name}")
+        by, folder = [c for c in partition_by or [] if c in df.columns], f"{staging}/{name}"
+        df.write.partitionBy(*by).format(kind).options(**options).save(folder)
+        leaves = _leaves(fs, make, folder, len(by))
+        if not leaves:  # no row
+            fs.delete(make(folder), True)
+            spark.createDataFrame([], df.schema).coalesce(1).write.format(kind).options(**options).save(folder)
+        if by and leaves and replace == "partitions":
+            moves += [f"{name}/{leaf}" for leaf in leaves]
+        elif leaves or replace == "tables" or not fs.exists(make(f"{path}/{name}")):
+            moves.append(name)
+    marker = json.dumps({"staging": staging.rsplit("/", 1)[1], "moves": moves})
+    spark.createDataFrame([(marker,)], "value string").coalesce(1).write.text(f"{path}/_commit")
+    finish_commit(spark, path)
+
+
+def finish_commit(spark: SparkSession, path: str) -> bool:
+    """Carries out a commit that was decided, but not ended; removes staging folders without a decision. False if there was none."""
+    fs, make = _files(spark, path)
+    if not fs.exists(make(path)):
+        return False
+    decided = fs.exists(make(f"{path}/_commit/_SUCCESS"))
+    if decided:
+        told = json.loads("".join(r.value for r in spark.read.text(f"{path}/_commit").collect()))
+        for name in told["moves"]:
+            source, target = make(f"{path}/{told['staging']}/{name}"), make(f"{path}/{name}")
+            if fs.exists(source):  # else it has been moved already
+                fs.delete(target, True)
+                fs.mkdirs(target.getParent())
+                if not fs.rename(source, target):
+                    raise OSError(f"cannot move {source.toString()}")
+    for x in fs.listStatus(make(path)):
+        if x.getPath().getName().startswith("_staging-"):
+            fs.delete(x.getPath(), True)
+    fs.delete(make(f"{path}/_commit"), True)
+    return decided

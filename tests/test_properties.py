@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runline.operators import candidates, clusters, intervals, matching, model, select, thresholds
+from runline.operators import candidates, clusters, intervals, matching, model, ranges, report, select, thresholds
 
 CASES = 60
 
@@ -38,8 +38,7 @@ def cases(spark):
 
 def test_matching(spark, cases):
     pred, gt, p, g = cases
-    for bin in (7, 4096):
-        assert matching.iou_pairs(p, g, ["k"], bin).count() == sum(plain_iou(a, b) > 0 for k in pred for a in pred[k] for b in gt[k])
+    assert matching.iou_pairs(p, g, ["k"]).count() == sum(plain_iou(a, b) > 0 for k in pred for a in pred[k] for b in gt[k])
     got = {(r.k, r.pred_index, r.gt_index) for r in matching.match_segments(p, g, ["k"]).collect()}
     want = set()
     for k in pred:
@@ -262,3 +261,42 @@ def test_a_session_of_one_chain_is_walked_by_several_tasks(spark):
         else:
             number, total, n = number + 1, float(i), 1
         assert got[i] == number
+
+
+def test_pairs_of_intervals_of_any_length(spark):
+    """Lengths from 1 to 10^7 in one series, against all pairs."""
+    rng = random.Random(21)
+
+    def some(n):
+        return sorted({(a, a + int(10 ** rng.uniform(0, 7)) - 1) for a in (rng.randrange(10**7) for _ in range(n))} | {(0, 10**7 - 1), (5, 5), (5, 6)})
+
+    pred, gt = {k: some(60) for k in range(3)}, {k: some(60) for k in range(3)}
+    p, g = (spark.createDataFrame([(k, a, b) for k, x in d.items() for a, b in x], "k int, start long, `end` long") for d in (pred, gt))
+    got = sorted((r.k, r.pred_index, r.gt_index) for r in matching.iou_pairs(p, g, ["k"]).collect())
+    assert got == sorted((k, i, j) for k in pred for i, a in enumerate(pred[k]) for j, b in enumerate(gt[k]) if plain_iou(a, b) > 0)
+
+
+def test_places_and_percentiles_in_ranges(spark):
+    """Groups over several ranges, null keys, ties."""
+    rng = random.Random(22)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), rng.choice([rng.random(), 0.5, 1.0]), i) for i in range(3000)] + [(3, 0.25, -1), (4, None, -2)]
+    df = spark.createDataFrame(rows, "k int, v double, i long").repartition(7)
+    got = ranges.placed(df, ["k"], ["v", "i"])
+    for k in (1, 2, None, 3, 4):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [r.i for r in got.where(F.col("k").eqNullSafe(F.lit(k).cast("int"))).orderBy("pos").collect()] == [r[2] for r in own]
+    points = [0.0, 0.1, 0.5, 0.88, 1.0]
+    found = {(r.k, r.point): r.value for r in ranges.percentiles(df, ["k"], "v", points).collect()}
+    want = df.groupBy("k").agg(F.percentile("v", F.array(*[F.lit(x) for x in points])).alias("q")).where("q is not null").collect()
+    assert len(found) == 5 * len(want)
+    for r in want:
+        for x, q in zip(points, r.q, strict=True):
+            assert abs(found[r.k, x] - q) < 1e-12
+
+
+def test_auc_of_one_series_in_ranges(spark):
+    rng = random.Random(23)
+    rows = [(1, round(rng.random(), 3), int(rng.random() < 0.3)) for _ in range(4000)]
+    got = report.row_auc(spark.createDataFrame(rows, "k int, p double, y int").repartition(6), "p", "y", ["k"]).first().row_auc
+    pos, neg = [p for _, p, y in rows if y], [p for _, p, y in rows if not y]
+    assert abs(got - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)) < 1e-12

@@ -220,3 +220,48 @@ def test_csv_sessions(spark, tmp_path):
     sessions.write_tables({"full": rows, "none": rows.limit(0)}, str(tmp_path / "out"), ["session_id"])
     assert spark.read.parquet(str(tmp_path / "out" / "full")).count() == 80
     assert "FeedRate" in spark.read.parquet(str(tmp_path / "out" / "none")).columns
+
+
+def test_tables_are_committed_together(spark, tmp_path):
+    """A run that fails while it writes leaves the former tables; an interrupted commit is carried on; partitions are replaced alone."""
+    path = str(tmp_path / "out")
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "s int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "s int, v string")
+
+    def read(name="t"):
+        return sorted((r.s, r.v) for r in spark.read.schema("s int, v string").parquet(f"{path}/{name}").collect())
+
+    sessions.write_tables({"t": old, "u": old}, path, ["s"])
+    broken = new.select(F.raise_error(F.lit("broken")).cast("int").alias("s"), "v")
+    with pytest.raises(Exception, match="broken"):
+        sessions.write_tables({"t": new, "u": broken}, path)
+    assert read() == [(1, "a"), (2, "b")] == read("u")
+    sessions.write_tables({"t": new}, path, ["s"], replace="partitions")
+    assert read() == [(1, "a"), (2, "c"), (3, "d")] and not [x for x in (tmp_path / "out").iterdir() if x.name.startswith("_")]
+    # Decided, staged, but not moved.
+    new.write.parquet(f"{path}/_staging-1/t")
+    spark.createDataFrame([('{"staging": "_staging-1", "moves": ["t"]}',)], "value string").coalesce(1).write.text(f"{path}/_commit")
+    assert sessions.finish_commit(spark, path) and not sessions.finish_commit(spark, path)
+    assert read() == [(2, "c"), (3, "d")]
+    sessions.write_tables({"t": new.limit(0)}, path, ["s"])
+    assert read() == [] and read("u") == [(1, "a"), (2, "b")]
+
+
+def test_target_sessions_without_a_file(spark, tmp_path):
+    for name in ("Data_from_2021-11-26.csv", "session_2.csv", "x_session_2.csv", "other.csv"):
+        (tmp_path / name).write_text("a\n" + "".join(f"{name}{i}\n" for i in range(5)))
+    rows = sessions.read_target_sessions(spark, str(tmp_path), [1, 2]).orderBy("session_id", "row_idx").collect()
+    assert [(r.session_id, r.row_idx, r.a) for r in rows] == [(1, i, f"Data_from_2021-11-26.csv{i}") for i in range(5)] + [(2, i, f"x_session_2.csv{i}") for i in range(5)]
+    with pytest.raises(FileNotFoundError, match="sessions 7, 13"):
+        sessions.read_target_sessions(spark, str(tmp_path), [1, 7, 13])
+
+
+def test_a_file_of_many_splits_is_numbered_by_them(spark, tmp_path):
+    lines = [f"{i},{'x' * (i % 50)}" for i in range(4000)]
+    (tmp_path / "Data_from_1.csv").write_text("a,b\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = sessions.read_files(spark, str(tmp_path)).select("a", "row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 4000 and all(int(r.a) == r.row_idx for r in rows)
