@@ -95,7 +95,8 @@ class PhaseChain:
     def pool(self) -> DataFrame:
         """Cut blobs as candidates, in the order of branch, threshold and start."""
         place = F.array_position(F.array(*[F.lit(b) for b in self.branches]), F.col("branch"))
-        found = candidates.generate_candidates(self.blobs, self.branch_rows, BLOB_KEYS, self.p.peak_quantile)
+        made = {"smooth_window": self.p.smooth, "merge_gap": self.p.merge_gap, "min_blob_len": self.p.min_len, "peak_quantile": self.p.peak_quantile}
+        found = candidates.generate_candidates(self.blobs, self.branch_rows, BLOB_KEYS, self.p.peak_quantile, settings=made)
         return self.scratch.stored(found.withColumn("ord", F.row_number().over(Window.partitionBy(K).orderBy(place, F.desc("threshold"), "start"))))
 
     @cached_property

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runline import config
 from runline.config import Stage1
 from runline.jobs import workflows
 from runline.operators import clean, folds, intervals, matching, model, report, temporal, thresholds
 from runline.sources import sessions
-from runline.sources.machine_log import KEYS, SQL, machine_log
+from runline.sources.machine_log import KEYS, SQL, machine_log, study_log
 from runline.sources.scratch import Scratch
 
 # Parameters of the fixture: a tenth of the real ones, as its sessions are.
@@ -494,6 +495,13 @@ def production_workflow(spark, sf_dir):
     return tables["loo_summary"]
 
 
+@query()
+def production_study(spark, sf_dir):
+    """The first study with its own seven groups of sensors and parameters: its tables written, the folds of all experiments read again."""
+    scratch = Scratch(spark, "production-study")
+    return workflows.saved(workflows.localise_production(scratch, study_log(spark, sf_dir), config.EXPERIMENTS, Stage1()), scratch.path(), "all_experiments_fold_results")
+
+
 COEFFICIENTS = (["feed_rate", "spindle_speed", "raw_score"], [50.0, 50.0, 0.4], [29.0, 28.0, 0.2], [0.3, -0.2, 2.5], -0.7)
 Z = "-0.7e0 + (feed_rate - 50e0) / 29e0 * 0.3e0 + (spindle_speed - 50e0) / 28e0 * (-0.2e0) + (raw_score - 0.4e0) / 0.2e0 * 2.5e0"
 SCORED = f"SELECT {K}, row_idx, {r(f'1 / (1 + exp(-({Z})))', 'prob')} FROM ml"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runline import config
 from runline.config import Stage2
 from runline.jobs import workflows
 from runline.jobs.phase_chain import BLOB_KEYS, PhaseChain
 from runline.jobs.stage_one import BEST, EVALUATED, MATCHED, PAIRS, frame, long_only, merged, r, rounded, runs
 from runline.operators import boundary, candidates, clean, clusters, intervals
-from runline.sources.machine_log import SQL, machine_log
+from runline.sources.machine_log import SQL, machine_log, study_log
 from runline.sources.scratch import Scratch
 
 K = "session_id"
@@ -273,7 +274,7 @@ def segment_confidence(spark, sf_dir):
     return candidates.segment_confidence(pieces, chain.branch_rows, [K, "branch"]).select(*BLOB_KEYS, "start", "end", "confidence")
 
 
-@query(sql(*POOLED, f"SELECT {K}, branch, {r('threshold', 'threshold')}, s AS start, e AS \"end\", length, {r('center', 'center')}, {r('confidence', 'confidence')}, median_len, min_allowed_len, max_allowed_len, ord FROM pool"))
+@query(sql(*POOLED, f"SELECT {K}, branch, {r('threshold', 'threshold')}, s AS start, e AS \"end\", length, {r('center', 'center')}, {r('confidence', 'confidence')}, median_len, min_allowed_len, max_allowed_len, ord, {W} AS smooth_window, {GAP} AS merge_gap, {MIN_LEN} AS min_blob_len, CAST(0.88 AS DOUBLE) AS peak_quantile FROM pool"))
 def generate_candidates(spark, sf_dir):
     return chain_of(spark, sf_dir).pool
 
@@ -386,3 +387,10 @@ def phase_workflow(spark, sf_dir):
     """All of stage two with fitted models, over all sessions: its summary of folds."""
     tables = workflows.localise_phase(Scratch(spark, "phase"), machine_log(spark, sf_dir), BRANCHES, FIXTURE)
     return tables["stage2_loo_summary"]
+
+
+@query()
+def phase_study(spark, sf_dir):
+    """The second study with its own sensors, branches and parameters: its tables written, its summary of folds read again."""
+    scratch = Scratch(spark, "phase-study")
+    return workflows.saved(workflows.localise_phase(scratch, study_log(spark, sf_dir), config.BRANCHES, Stage2()), scratch.path(), "stage2_loo_summary")

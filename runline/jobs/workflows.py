@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runline.config import Stage1, Stage2
 from runline.jobs.phase_chain import PhaseChain
 from runline.operators import clean, folds, intervals, matching, model, report, temporal, thresholds
+from runline.sources import sessions
 from runline.sources.scratch import Scratch
 
 K = "session_id"
@@ -41,6 +42,13 @@ def _models(features: DataFrame, label: str, sensors: dict[str, list[str]], wind
     return model.fit(scratch.stored(rows), list(bits), own, label) if own else {}
 
 
+def saved(tables: dict[str, DataFrame], path: str, name: str, replace: str = "tables") -> DataFrame:
+    """All tables of a study, committed together to `path`, by experiment and session; and one of them as it is read again. replace: see `write_tables`."""
+    sessions.write_tables(tables, path, ["experiment", K], replace=replace)
+    one = tables[name]
+    return one.sparkSession.read.schema(one.schema).parquet(f"{path}/{name}").select(*one.columns)
+
+
 def localise_production(scratch: Scratch, rows: DataFrame, experiments: dict[str, list[str]], p: Stage1, label: str = "production") -> dict[str, DataFrame]:
     """rows: session_id, row_idx, the label (0/1) and the sensors. Per experiment and test session: a model and a threshold from the
     other sessions, intervals on the test session, and how well they match. All tables are keyed by experiment and session_id
@@ -74,7 +82,7 @@ def localise_production(scratch: Scratch, rows: DataFrame, experiments: dict[str
         "boundary_errors": errors, "predicted_segments": matching.predicted_segments(pred, both), "matched_segments": matching.matched_segments(pred, true, both, p.match_iou),
         "best_match_per_gt_segment": matching.best_pred_per_gt(pred, true, both), "threshold_selection": chosen, "loo_summary": summary,
         "overall_metrics": report.all_folds([report.overall_metrics(summary.where(c("experiment") == x), SUMMARY_METRICS).withColumn("experiment", F.lit(x)) for x in experiments]),
-        "experiment_comparison_summary": report.experiment_comparison(summary, SUMMARY_METRICS),
+        "all_experiments_fold_results": report.all_folds([summary]), "experiment_comparison_summary": report.experiment_comparison(summary, SUMMARY_METRICS),
     }
 
 

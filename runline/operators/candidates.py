@@ -172,15 +172,17 @@ def segment_confidence(segments: DataFrame, signal: DataFrame, keys: list[str],
     return out.withColumn("confidence", value).drop("_before", "_upto", "_b0", "_b1")
 
 
-def generate_candidates(blobs: DataFrame, signal: DataFrame, keys: list[str], quantile: float = 0.88, prob: str = "prob_s", boundary: str = "boundary", order: str = "row_idx") -> DataFrame:
+def generate_candidates(
+    blobs: DataFrame, signal: DataFrame, keys: list[str], quantile: float = 0.88, prob: str = "prob_s", boundary: str = "boundary", order: str = "row_idx", settings: dict[str, int | float] | None = None
+) -> DataFrame:
     """Pieces of all blobs with length, center and confidence. `keys` name series, branch and threshold; the signal has them
-    but for the threshold."""
+    but for the threshold. settings: further columns that tell how the blobs were made, alike for all."""
     own = [k for k in keys if k in signal.columns]
     points = candidate_split_points(blobs, _spread(signal, blobs, keys, own, order, [boundary]), keys, quantile, value=boundary, order=order)
     pieces = split_blob(blobs, points, keys)
     scored = segment_confidence(pieces, signal, own, prob, boundary, order)
     n = F.col("end") - F.col("start") + 1
-    return scored.select(*keys, "start", "end", n.alias("length"), ((F.col("start") + F.col("end")) / 2).alias("center"), "confidence", *PRIOR)
+    return scored.select(*keys, "start", "end", n.alias("length"), ((F.col("start") + F.col("end")) / 2).alias("center"), "confidence", *PRIOR, *[F.lit(v).alias(n) for n, v in (settings or {}).items()])
 
 
 def _spread(signal: DataFrame, blobs: DataFrame, keys: list[str], own: list[str], order: str, cols: list[str]) -> DataFrame:

@@ -37,3 +37,15 @@ def machine_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("value").alias("feed_rate"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("spindle_speed"), dirty.alias("coolant_flow"),
         (c("user_id") % 7).cast("int").alias("tool_number"), status.cast("int").alias("program_status"), score.alias("raw_score"),
     )
+
+
+def study_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log with the sensors under the names of the studies; those it has no reading for are absent, and count as 0."""
+    c = F.col
+    return machine_log(spark, sf_dir).select(
+        "session_id", "row_idx", "ts", "phase", "production",
+        (c("event_id") % 2).cast("int").alias("CabinDoorLockFront"), (c("event_id") % 5).cast("int").alias("DNCMode"), (c("raw_score") > 0.5).alias("SpindleApproval"),
+        c("program_status").alias("ProgramStatus"), (c("program_status") * 7 + c("tool_number")).alias("ProgramDetail"), c("tool_number").alias("ToolNumber"),
+        (c("event_id") % 4).cast("int").alias("DriveStatus"), (c("event_id") % 3).cast("int").alias("DoorStatusMain"),
+        c("coolant_flow").alias("CoolantFlow"), (c("raw_score") * 100).alias("OverrideFeed"), c("feed_rate").alias("FeedRate"), c("spindle_speed").alias("SpindleSpeed"),
+    )
