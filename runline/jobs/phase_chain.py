@@ -82,14 +82,9 @@ class PhaseChain:
         found = intervals.runs_over_thresholds(self.branch_rows, "prob_s", list(self.p.blob_thresholds), [K, "branch"], self.p.merge_gap, self.p.min_len)
         return self.scratch.stored(candidates.with_prior(found, self.prior, KEYS))
 
-    @cached_property
-    def split_signal(self) -> DataFrame:
-        """The signal for each threshold of a branch that has blobs."""
-        return self.branch_rows.join(self.blobs.select(*BLOB_KEYS).distinct(), [K, "branch"])
-
     @cached_property
     def points(self) -> DataFrame:
-        return candidates.candidate_split_points(self.blobs, self.split_signal, BLOB_KEYS, self.p.peak_quantile, self.p.max_splits)
+        return candidates.candidate_split_points(self.blobs, self.branch_rows, BLOB_KEYS, self.p.peak_quantile, self.p.max_splits)
 
     @cached_property
     def pool(self) -> DataFrame:

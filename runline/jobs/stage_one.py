@@ -229,7 +229,7 @@ DIFF = f"df AS (SELECT {K}, row_idx, production, feed_rate AS x, coalesce(feed_r
 
 def _window_query(**cols):
     def run(spark, sf_dir):
-        return machine_log(spark, sf_dir).select(K, "row_idx", *[f().alias(n) for n, f in cols.items()])
+        return temporal.step_rows(machine_log(spark, sf_dir), cols, KEYS, block=2000).select(K, "row_idx", *cols)
 
     return run
 
@@ -239,7 +239,7 @@ def _named(name: str, run, text: str):
     query(text)(run)
 
 
-_named("row_diff", _window_query(diff1=lambda: temporal.row_diff("feed_rate", KEYS), absdiff1=lambda: F.abs(temporal.row_diff("feed_rate", KEYS))), sql(DIFF, f"SELECT {K}, row_idx, {r('d', 'diff1')}, {r('abs(d)', 'absdiff1')} FROM df"))
+_named("row_diff", _window_query(diff1=("feed_rate", "diff"), absdiff1=("feed_rate", "absdiff")), sql(DIFF, f"SELECT {K}, row_idx, {r('d', 'diff1')}, {r('abs(d)', 'absdiff1')} FROM df"))
 @query(sql(f"SELECT {K}, row_idx, {r(f'avg(feed_rate) OVER ({frame(W)})', 'm')}, {r(f'avg(feed_rate) OVER ({frame(4)})', 'even')} FROM ml"))
 def rolling_mean(spark, sf_dir):
     return temporal.rolling_rows(machine_log(spark, sf_dir), {"m": ("feed_rate", "mean", W), "even": ("feed_rate", "mean", 4)}, KEYS, block=2000)
@@ -256,7 +256,7 @@ def smooth(spark, sf_dir):
     return temporal.smooth_rows(rows, {"same": "raw_score"}, 1, KEYS).drop("raw_score")
 
 
-_named("change_flag", _window_query(changed=lambda: temporal.change_flag("program_status", KEYS)), sql(f"SELECT {K}, row_idx, {r(f'coalesce(CAST(CAST(program_status <> lag(program_status) OVER (PARTITION BY {K} ORDER BY row_idx) AS INTEGER) AS DOUBLE), 0.0)', 'changed')} FROM ml"))
+_named("change_flag", _window_query(changed=("program_status", "change")), sql(f"SELECT {K}, row_idx, {r(f'coalesce(CAST(CAST(program_status <> lag(program_status) OVER (PARTITION BY {K} ORDER BY row_idx) AS INTEGER) AS DOUBLE), 0.0)', 'changed')} FROM ml"))
 
 
 @query(sql(DIFF, f"SELECT {K}, row_idx, {r(f'avg(abs(d)) OVER ({frame(W)})', 'absdiff_mean')} FROM df"))
@@ -521,10 +521,12 @@ def score_expression(spark, sf_dir):
     return machine_log(spark, sf_dir).select(K, "row_idx", model.score_expression(*COEFFICIENTS).alias("prob"))
 
 
-@query(f"SELECT {r('0.2e0 + i * 0.025e0', 'threshold')}, n AS events FROM range(25) t(i), (SELECT count(*) AS n FROM events)")
+@query(sql(f"tg AS (SELECT round(0.2e0 + i * 0.025e0, 3) AS threshold FROM range(25) t(i)), {smoothed()}", f"SELECT {K}, {r('threshold', 'threshold')}, count(*) FILTER (p >= threshold) AS n_rows FROM sm CROSS JOIN tg GROUP BY {K}, threshold"))
 def threshold_grid(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count("*").alias("events"))
-    return thresholds.threshold_grid(spark).join(F.broadcast(n))  # one row
+    """How many rows of each session reach each threshold of the grid."""
+    log = machine_log(spark, sf_dir)
+    rows = temporal.smooth_rows(log.select(K, "row_idx", "raw_score"), {"p": "raw_score"}, W, KEYS, block=2000).withColumn("p", F.round("p", 9))
+    return thresholds.rows_reaching(rows, "p", [t.threshold for t in thresholds.threshold_grid(spark).collect()], KEYS)  # 25 rows
 
 
 def _in_thresholds(text: str) -> str:

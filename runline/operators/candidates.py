@@ -5,11 +5,16 @@ Blobs and candidates carry `median_len`, `min_allowed_len` and `max_allowed_len`
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from runline.operators import clean, greedy, scan
+from runline.sources.scratch import Scratch
 
 PRIOR = ["median_len", "min_allowed_len", "max_allowed_len"]
 
@@ -19,23 +24,105 @@ def with_prior(df: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(prior.select(*keys, *PRIOR), keys)
 
 
-def candidate_split_points(blobs: DataFrame, signal: DataFrame, keys: list[str], quantile: float = 0.88, max_splits: int = 30, order: str = "row_idx", value: str = "boundary") -> DataFrame:
+#: Value ranges that a blob's rows are first counted by.
+BINS = 1024
+
+
+def _over_blocks(signal: DataFrame, asked: DataFrame, own: list[str], answer, schema: str, order: str, value: str, block: int) -> DataFrame:
+    """`answer(rows, values, question)` gives rows of `schema` for each question of `asked` (own keys, `_lo`, `_hi`: rows it is about) and each block of the
+    signal that it reaches. The signal is dealt once, whatever the questions; a question goes to its blocks."""
+    c, names = F.col, [x.split(" ")[0].strip("`") for x in schema.split(", ")]
+    of = [f"_b_{k}" for k in own]
+    rows = signal.select(*[c(k).alias(o) for k, o in zip(own, of, strict=True)], c(order).cast("long").alias("_row"), c(value).cast("double").alias("_value"), F.floor(c(order) / block).alias("_at"))
+    questions = asked.withColumn("_block", F.explode(F.sequence(F.floor(c("_lo") / block), F.floor(c("_hi") / block))))
+
+    types = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            row, v = left.column("_row").to_numpy(), left.column("_value").to_numpy()
+            sorted_ = np.argsort(row, kind="stable")
+            row, v = row[sorted_], v[sorted_]
+            for q in right.to_pylist():
+                a, b = np.searchsorted(row, q["_lo"]), np.searchsorted(row, q["_hi"], side="right")
+                if b > a:
+                    out += answer(row[a:b], v[a:b], q)
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.table([pa.array(list(x), f.type) for x, f in zip(columns, types, strict=True)], schema=types)
+
+    return rows.groupBy(*of, "_at").cogroup(questions.groupBy(*own, "_block")).applyInArrow(run, schema)
+
+
+def _place(v: np.ndarray | float, low: float, high: float):
+    """Value range of a value: it never falls as values rise."""
+    return np.clip(np.floor((v - low) / max(high - low, 1e-300) * BINS), 0, BINS - 1).astype(np.int64)
+
+
+def _counts_by_range(row: np.ndarray, v: np.ndarray, q: dict) -> list[tuple]:
+    bins, n = np.unique(_place(v, q["_min"], q["_max"]), return_counts=True)
+    return [(q["_id"], int(k), int(m)) for k, m in zip(bins, n, strict=True)]
+
+
+def _values_and_best(row: np.ndarray, v: np.ndarray, q: dict) -> list[tuple]:
+    """For an anchor the first of the largest values; for a blob the different values in the ranges that hold its quantile."""
+    if q["_a"] is not None:
+        k = int(v.argmax())
+        return [(q["_id"], q["_a"], int(row[k]), float(v[k]), None)]
+    mine, n = np.unique(v[np.isin(_place(v, q["_min"], q["_max"]), q["_bins"])], return_counts=True)
+    return [(q["_id"], None, None, float(x), int(m)) for x, m in zip(mine, n, strict=True)]
+
+
+def _peaks(row: np.ndarray, v: np.ndarray, q: dict) -> list[tuple]:
+    at = np.flatnonzero(v >= q["_q"] - 1e-12)
+    return [(q["_id"], int(row[k]), float(v[k])) for k in at]
+
+
+def candidate_split_points(
+    blobs: DataFrame, signal: DataFrame, keys: list[str], quantile: float = 0.88, max_splits: int = 30, order: str = "row_idx", value: str = "boundary", block: int = clean.BLOCK
+) -> DataFrame:
     """(blob, idx, score, rank): rows of long blobs where the signal is in its top quantile of the blob, or the first maximum
-    near one of the evenly spaced anchors; none too near an end. Blobs are named by keys, start and end."""
-    c = F.col
-    blob = [*keys, "start", "end"]
+    near one of the evenly spaced anchors; none too near an end. Blobs are named by keys, start and end; the signal may lack some of the keys.
+
+    Blobs are not expanded to rows: they and their anchors go as questions to the blocks of the signal that they reach. A blob's quantile is found by
+    counts of its values by ranges, and then the values of the range that holds its rank.
+    """
+    c, scratch = F.col, Scratch(blobs.sparkSession, "points")
+    own, blob = [k for k in keys if k in signal.columns], [*keys, "start", "end"]
     long = blobs.where(c("end") - c("start") + 1 >= c("max_allowed_len")).select(*blob, *PRIOR).distinct()
     long = long.withColumn("_n", c("end") - c("start") + 1).withColumn("_m", F.greatest(c("median_len"), F.lit(1)))
     long = long.withColumn("_k", F.least(F.greatest(F.rint(c("_n") / c("_m")), F.lit(1.0)), F.lit(max_splits + 1.0)).cast("int"))
-    rows = long.withColumn(order, F.explode(F.sequence("start", "end"))).join(signal.select(*keys, order, value), [*keys, order])
-    cut = rows.groupBy(*blob).agg(F.percentile(value, quantile).alias("_q"))
-    peaks = rows.join(cut, blob).where(c(value) >= c("_q") - 1e-12).select(*blob, *PRIOR, c(order).alias("idx"), c(value).alias("score"))
+    span = signal.groupBy(*own).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
+    long = scratch.stored(long.join(span, own).withColumn("_id", F.monotonically_increasing_id()))
+    asked = long.select(*own, "_id", "_min", "_max", c("start").alias("_lo"), c("end").alias("_hi"))
+    counted = _over_blocks(signal, asked, own, _counts_by_range, "_id long, _bin long, _count long", order, value, block)
+    bins = Window.partitionBy("_id").orderBy("_bin")
+    ranked = counted.groupBy("_id", "_bin").agg(F.sum("_count").alias("_count")).withColumn("_upto", F.sum("_count").over(bins))
+    place = (F.sum("_count").over(Window.partitionBy("_id")) - 1) * F.lit(float(quantile))
+    ranked = ranked.withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_share": place - F.floor(place)})
+    holds = ((c("_upto") > c("_low")) & (c("_upto") - c("_count") <= c("_low"))) | ((c("_upto") > c("_high")) & (c("_upto") - c("_count") <= c("_high")))
+    held = ranked.where(holds).groupBy("_id").agg(
+        F.collect_list("_bin").alias("_bins"), F.min(c("_upto") - c("_count")).alias("_below"), *[F.max(x).alias(x) for x in ("_low", "_high", "_share")]
+    )  # one range or two; ranges between them are empty
+    held = scratch.stored(held)
     anchors = long.where("_k > 1").withColumn("_a", F.explode(F.sequence(F.lit(1), c("_k") - 1))).withColumn("_at", F.rint(c("_n") * c("_a") / c("_k")).cast("long"))
     half = F.floor(c("_m") / 2)
     anchors = anchors.withColumns({"_lo": F.greatest(F.lit(0), c("_at") - half), "_hi": F.least(c("_n") - 1, c("_at") + half)}).where("_hi > _lo")
-    near = anchors.withColumn(order, F.explode(F.sequence(c("start") + c("_lo"), c("start") + c("_hi")))).join(signal.select(*keys, order, value), [*keys, order])
-    best = near.groupBy(*blob, *PRIOR, "_a").agg(F.max(F.struct(c(value).alias("score"), (-c(order)).alias("neg"))).alias("b"))
-    points = peaks.unionByName(best.select(*blob, *PRIOR, (-c("b.neg")).alias("idx"), c("b.score").alias("score"))).distinct()
+    anchors = anchors.select(*own, "_id", "_a", (c("start") + c("_lo")).alias("_lo"), (c("start") + c("_hi")).alias("_hi"))
+    asked = asked.join(held.select("_id", "_bins"), "_id").unionByName(anchors, allowMissingColumns=True)
+    found = scratch.stored(_over_blocks(signal, asked, own, _values_and_best, "_id long, _a int, idx long, score double, n long", order, value, block))
+    best = found.where("_a is not null").groupBy("_id", "_a").agg(F.max(F.struct("score", (-c("idx")).alias("neg"))).alias("b")).select("_id", (-c("b.neg")).alias("idx"), c("b.score").alias("score"))
+    values = found.where("_a is null").groupBy("_id", "score").agg(F.sum("n").alias("n")).withColumn("_upto", F.sum("n").over(Window.partitionBy("_id").orderBy("score"))).join(held, "_id")
+    values = values.withColumn("_upto", c("_upto") + c("_below"))
+
+    def at_rank(rank: str) -> Column:
+        return F.max(F.when((c("_upto") > c(rank)) & (c("_upto") - c("n") <= c(rank)), c("score")))
+
+    cut = values.groupBy("_id").agg(at_rank("_low").alias("_v0"), at_rank("_high").alias("_v1"), F.max("_share").alias("_share"), F.max(c("_high") - c("_low")).alias("_gap"))
+    cut = cut.select("_id", F.when(c("_gap") == 0, c("_v0")).otherwise((1 - c("_share")) * c("_v0") + c("_share") * c("_v1")).alias("_q"))
+    asked = long.select(*own, "_id", c("start").alias("_lo"), c("end").alias("_hi")).join(cut, "_id")
+    peaks = _over_blocks(signal, asked, own, _peaks, "_id long, idx long, score double", order, value, block)
+    points = long.select(*blob, *PRIOR, "_id").join(peaks.unionByName(best).distinct(), "_id").drop("_id")
     points = points.where((c("idx") - c("start") + 1 >= c("min_allowed_len")) & (c("end") - c("idx") >= c("min_allowed_len")))
     rank = F.row_number().over(Window.partitionBy(*blob).orderBy(F.desc("score"), F.desc("idx")))
     return points.select(*blob, "idx", "score", rank.alias("rank"))
@@ -178,21 +265,13 @@ def generate_candidates(
     """Pieces of all blobs with length, center and confidence. `keys` name series, branch and threshold; the signal has them
     but for the threshold. settings: further columns that tell how the blobs were made, alike for all."""
     own = [k for k in keys if k in signal.columns]
-    points = candidate_split_points(blobs, _spread(signal, blobs, keys, own, order, [boundary]), keys, quantile, value=boundary, order=order)
+    points = candidate_split_points(blobs, signal, keys, quantile, value=boundary, order=order)
     pieces = split_blob(blobs, points, keys)
     scored = segment_confidence(pieces, signal, own, prob, boundary, order)
     n = F.col("end") - F.col("start") + 1
     return scored.select(*keys, "start", "end", n.alias("length"), ((F.col("start") + F.col("end")) / 2).alias("center"), "confidence", *PRIOR, *[F.lit(v).alias(n) for n, v in (settings or {}).items()])
 
 
-def _spread(signal: DataFrame, blobs: DataFrame, keys: list[str], own: list[str], order: str, cols: list[str]) -> DataFrame:
-    """The signal once for each value of the keys that it lacks (a few thresholds)."""
-    lacking = [k for k in keys if k not in own]
-    if not lacking:
-        return signal
-    return signal.select(*own, order, *cols).join(blobs.select(*keys).distinct(), own)
-
-
 def candidate_nms_score(candidates: DataFrame, fold: list[str]) -> DataFrame:
     """0.78 x confidence normalised over the fold's pool + 0.22 / (1 + relative distance to the median length)."""
     c = F.col

@@ -28,6 +28,15 @@ def change_flag(c: str, keys: list[str], order: str = "row_idx") -> Column:
     return F.coalesce((F.col(c) != F.lag(c).over(ordered(keys, order))).cast("double"), F.lit(0.0))
 
 
+def step_rows(df: DataFrame, cols: dict[str, tuple[str, str]], keys: list[str], order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """`df` with, for each new name, the `diff`, `absdiff` or `change` of a column from row to row (see `row_diff`, `change_flag`). Over blocks with a halo of
+    one row, so a series of any length is spread over tasks."""
+    part = [*keys, "_block"]
+    kinds = {"diff": row_diff, "absdiff": lambda *a: F.abs(row_diff(*a)), "change": change_flag}
+    steps = in_blocks(df, keys, 1, order, block).withColumns({n: kinds[kind](c, part, order) for n, (c, kind) in cols.items()})
+    return steps.where("_own").select(*df.columns, *cols)
+
+
 def rolling_mean(c: str, w: int, keys: list[str], order: str = "row_idx") -> Column:
     return F.avg(c).over(centred(keys, w, order))
 

@@ -14,6 +14,16 @@ def threshold_grid(spark: SparkSession, low: float = 0.2, high: float = 0.8, ste
     return spark.range(n).select(F.round(F.lit(low) + F.col("id") * F.lit(step), 3).alias("threshold"))
 
 
+def rows_reaching(rows: DataFrame, value: str, grid: list[float], keys: list[str]) -> DataFrame:
+    """(keys, threshold, n_rows): rows with at least each threshold. A row is counted once, with the number of thresholds it reaches; thresholds
+    multiply these counts only."""
+    levels = sorted(grid)
+    reach = sum((F.col(value) >= t).cast("int") for t in levels)
+    counts = rows.groupBy(*keys, reach.alias("_k")).agg(F.count("*").alias("_n"))
+    each = counts.select(*keys, "_k", "_n", F.posexplode(F.array(*[F.lit(t) for t in levels])).alias("_i", "threshold"))
+    return each.groupBy(*keys, "threshold").agg(F.coalesce(F.sum(F.when(F.col("_k") > F.col("_i"), F.col("_n"))), F.lit(0)).alias("n_rows"))
+
+
 def threshold_scores(
     smoothed: DataFrame, gt: DataFrame, thresholds: list[float], keys: list[str], value: str, gap: int, min_len: int, iou_weight: float = 0.7, f1_weight: float = 0.3, order: str = "row_idx"
 ) -> DataFrame:

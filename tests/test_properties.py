@@ -300,3 +300,30 @@ def test_auc_of_one_series_in_ranges(spark):
     got = report.row_auc(spark.createDataFrame(rows, "k int, p double, y int").repartition(6), "p", "y", ["k"]).first().row_auc
     pos, neg = [p for _, p, y in rows if y], [p for _, p, y in rows if not y]
     assert abs(got - sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)) < 1e-12
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_split_points_over_blocks(spark, block):
+    """Long blobs over many blocks, signals with many ties or none, two thresholds of one signal: against whole arrays."""
+    rng, n = np.random.default_rng(31), 400
+    signals = {1: np.round(rng.random(n), 9), 2: np.floor(rng.random(n) * 4) / 4, 3: np.where(rng.random(n) < 0.9, 0.0, rng.random(n)), 4: np.full(n, 0.5)}
+    signal = spark.createDataFrame([(k, i, float(x)) for k, v in signals.items() for i, x in enumerate(v)], "k int, row_idx long, boundary double")
+    spans = [(1, 0.5, 0, 399), (1, 0.35, 5, 120), (2, 0.5, 30, 390), (2, 0.35, 30, 390), (3, 0.5, 3, 333), (4, 0.5, 0, 250), (4, 0.35, 10, 12)]
+    median, low, high = 30, 6, 50
+    blobs = spark.createDataFrame([(*s, median, low, high) for s in spans], "k int, threshold double, start long, `end` long, median_len long, min_allowed_len long, max_allowed_len long")
+    got = {}
+    for r in candidates.candidate_split_points(blobs, signal, ["k", "threshold"], block=block).collect():
+        got.setdefault((r.k, r.threshold, r.start, r.end), []).append((r.rank, r.idx, r.score))
+    for k, t, a, b in spans:
+        v, size = signals[k][a : b + 1], b - a + 1
+        points = set()
+        if size >= high:
+            points |= set(np.flatnonzero(v >= np.quantile(v, 0.88) - 1e-12).tolist())
+            parts = int(min(max(round(size / median), 1), 31))
+            for j in range(1, parts):
+                at = round(size * j / parts)
+                lo, hi = max(0, at - median // 2), min(size - 1, at + median // 2)
+                if hi > lo:
+                    points.add(lo + int(v[lo : hi + 1].argmax()))
+        want = sorted(((float(v[i]), a + i) for i in points if i + 1 >= low and size - 1 - i >= low), reverse=True)
+        assert [(i, s) for _, i, s in sorted(got.get((k, t, a, b), []))] == [(i, s) for s, i in want]
