@@ -183,8 +183,9 @@ def dependence(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return 1 / np.maximum((np.clip(alike - 0.3, 0, None) / 0.7).sum(axis=1), 1)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, levels: int = 24) -> np.ndarray:
-    """Posterior chance that each row is toxic. Labels are held; they start the estimate, and give the voters' dependence, where
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, levels: int = 24, held: bool = True) -> np.ndarray:
+    """Posterior chance that each row is toxic: of a row with a label that label, or (`held` false) what its votes alone say, by the model that labels helped
+    to estimate. While it is estimated, labels are held; they start the estimate, and give the voters' dependence, where
     both classes have some (20 rows for the latter), else texts with any vote do.
 
     Evidence of a row: the sum over its votes of say x log(chance on toxic / chance on clean). Its odds: how much more often toxic
@@ -211,12 +212,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, levels:
         ratio = np.log(share[1] / share[0])
         ratio = np.maximum.accumulate(ratio)
         prior = np.clip(weight[1].sum() / total.sum(), 1e-3, 1 - 1e-3)
-        fresh = np.where(known, labels, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio[level], -40, 40))))
+        said = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio[level], -40, 40)))
+        fresh = np.where(known, labels, said)
         done = k > 0 and np.abs(fresh - toxic).max() < 1e-6
         toxic = fresh
         if done:
             break
-    return toxic
+    return toxic if held else said
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
@@ -247,9 +249,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", label: str = "toxic", text: str = "text") -> Model | None:
-    """Learns from rows for which `learn` holds (an expression over the id). Samples are taken by hash of the id, bounded by
-    TOXIC_ROWS, CLEAN_ROWS and OTHER_ROWS, so they are sent to the tasks that read the texts. Of rows that repeat an id one is
+def train(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column,
+    id: str = "doc_id",
+    label: str = "toxic",
+    text: str = "text",
+    toxic_rows: int = TOXIC_ROWS,
+    clean_rows: int = CLEAN_ROWS,
+    other_rows: int = OTHER_ROWS,
+    most_voters: int = MOST_VOTERS,
+    held: bool = True,
+) -> Model | None:
+    """Learns from rows for which `learn` holds (an expression over the id). The classifier is fitted to posteriors; those of rows with a label are the label
+    (`held`), or what their votes say. Samples are taken by hash of the id, bounded by so many toxic, clean and further rows, so they are sent to the tasks that read the texts. Of rows that repeat an id one is
     learned from (the least text); a label that is null is none. None without a toxic label."""
     c = F.col
     marked = labels.where(learn & c(label).isNotNull()).select(c(id).alias("own"), c(label).cast("int").alias("label"))
@@ -262,14 +277,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
         met = own.join(F.broadcast(rows), c("id") == c("own"))
         return met.groupBy("own", "label").agg(F.min("text").alias("text")).select("label", "text")  # one of the rows of an id
 
-    toxic, clean = some(marked.where("label = 1"), TOXIC_ROWS), some(marked.where("label = 0"), CLEAN_ROWS)
-    keys = mine(texts(toxic).select("text"), texts(clean).select("text"))
+    toxic, clean = some(marked.where("label = 1"), toxic_rows), some(marked.where("label = 0"), clean_rows)
+    keys = mine(texts(toxic).select("text"), texts(clean).select("text"), most_voters)
     if not len(keys):
         return None
     other = own.select(c("id").alias("own"), F.lit(-1).alias("label"))
-    sample = toxic.unionByName(some(marked.where("label = 0"), CLEAN_ROWS // 2)).unionByName(some(other, OTHER_ROWS))
+    sample = toxic.unionByName(some(marked.where("label = 0"), clean_rows // 2)).unionByName(some(other, other_rows))
     votes, known = _vote_matrix(texts(sample.groupBy("own").agg(F.max("label").alias("label"))), keys)
-    return Model(keys, logistic(votes, label_model(votes, known)))
+    return Model(keys, logistic(votes, label_model(votes, known, held=held)))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -29,6 +29,26 @@ def test_label_model_with_all_labels_but_a_few():
         assert abs(got[rows & (labels < 0)].mean() - want) < 0.03
 
 
+def test_posteriors_with_a_dependent_pair_by_enumeration():
+    """Three voters and a copy of the first: over all patterns of votes, what the model says is what Bayes' rule says of the three, with a tenth of the
+    rows labelled, and for rows with a label too."""
+    rng, n = np.random.default_rng(6), 200_000
+    chances, prior = ((0.5, 0.05), (0.4, 0.1), (0.6, 0.03)), 0.2
+    truth = rng.random(n) < prior
+    votes = np.stack([rng.random(n) < np.where(truth, a, b) for a, b in chances], axis=1)
+    votes = np.hstack([votes, votes[:, :1]])
+    labels = np.where(rng.random(n) < 0.1, truth, -1).astype(int)
+    got = toxicity.label_model(votes.astype(float), labels, levels=200, held=False)
+    for k in range(8):
+        pattern = [k >> i & 1 for i in range(3)]
+        odds = prior / (1 - prior)
+        for v, (a, b) in zip(pattern, chances, strict=True):
+            odds *= a / b if v else (1 - a) / (1 - b)
+        rows = (votes[:, :3] == pattern).all(axis=1)
+        assert abs(got[rows & (labels < 0)].mean() - odds / (1 + odds)) < 0.08
+        assert abs(got[rows & (labels >= 0)].mean() - odds / (1 + odds)) < 0.08
+
+
 def test_labels_of_one_class_or_none():
     votes = np.array([[1, 0], [0, 0], [1, 1], [0, 0]], dtype=float)
     for labels in ([-1] * 4, [1, -1, -1, -1], [0, -1, -1, -1]):
