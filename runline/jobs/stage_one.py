@@ -108,8 +108,9 @@ def gt_of(log: DataFrame) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str):
-    log = machine_log(spark, sf_dir)
-    return log, pred_of(log), gt_of(log), log.select(K).distinct()
+    """The log, its predicted and true intervals (written, as they are used several times), its sessions."""
+    log, scratch = machine_log(spark, sf_dir), Scratch(spark, "sides")
+    return log, scratch.stored(pred_of(log)), scratch.stored(gt_of(log)), log.select(K).distinct()
 
 
 # ---- sources
@@ -649,7 +650,7 @@ def overall_metrics(spark, sf_dir):
 def _experiments(spark, sf_dir):
     """Two experiments: the score itself, and a coarser threshold."""
     log, pred, gt, groups = sides(spark, sf_dir)
-    other = intervals.prob_to_segments(log, "raw_score", 0.6, KEYS, W, GAP, MIN_LEN)
+    other = Scratch(spark, "sides").stored(intervals.prob_to_segments(log, "raw_score", 0.6, KEYS, W, GAP, MIN_LEN))
     one = matching.evaluate_segments(pred, gt, groups, KEYS).withColumn("experiment", F.lit("t50"))
     return [one, matching.evaluate_segments(other, gt, groups, KEYS).withColumn("experiment", F.lit("t60"))]
 

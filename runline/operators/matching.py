@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runline.operators import greedy
+from runline.sources.scratch import Scratch
 
 def segment_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Inclusive intersection over union; 0 for disjoint or reversed intervals."""
@@ -50,22 +51,23 @@ def iou_pairs(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("iou", segment_iou(c("pred_start"), c("pred_end"), c("gt_start"), c("gt_end")))
 
 
-def match_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10, width: int = greedy.WIDTH) -> DataFrame:
+def match_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10, width: int = greedy.WIDTH, pairs: DataFrame | None = None) -> DataFrame:
     """Greedy one-to-one: pairs by (iou, pred_index, gt_index) from the largest down to `threshold`; each side once. By rounds: two pairs compete
-    if they share a side, and then both lie in what that side spans."""
+    if they share a side, and then both lie in what that side spans. pairs: those of `iou_pairs`, if they are known."""
     c = F.col
-    pairs = iou_pairs(pred, gt, keys).where(c("iou") >= threshold)
+    pairs = (iou_pairs(pred, gt, keys) if pairs is None else pairs).where(c("iou") >= threshold)
     order = [F.desc("iou"), F.desc("pred_index"), F.desc("gt_index")]
     places = (F.greatest("pred_start", "gt_start"), F.least("pred_start", "gt_start"), F.greatest("pred_end", "gt_end"))
     kept = greedy.greedy(pairs, keys, order, greedy.Shared(), ["pred_index", "gt_index"], *places, width=width)
     return kept.select(*keys, "iou", "pred_index", "gt_index", "pred_start", "pred_end", "gt_start", "gt_end")
 
 
-def best_pred_per_gt(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
+def best_pred_per_gt(pred: DataFrame, gt: DataFrame, keys: list[str], pairs: DataFrame | None = None) -> DataFrame:
     """Each true interval with its prediction of largest IoU, the first on ties; where none overlaps, prediction 0 with IoU 0;
     nulls (IoU 0) where the series has no prediction."""
     c = F.col
-    best = iou_pairs(pred, gt, keys).groupBy(*keys, "gt_index").agg(F.max_by(F.struct("pred_index", "pred_start", "pred_end", "iou"), F.struct("iou", -c("pred_index"))).alias("b"))
+    pairs = iou_pairs(pred, gt, keys) if pairs is None else pairs
+    best = pairs.groupBy(*keys, "gt_index").agg(F.max_by(F.struct("pred_index", "pred_start", "pred_end", "iou"), F.struct("iou", -c("pred_index"))).alias("b"))
     first = _side(pred, keys, "pred").where("pred_index = 0").select(*keys, F.struct("pred_index", "pred_start", "pred_end", F.lit(0.0).alias("iou")).alias("f"))
     rows = _side(gt, keys, "gt").join(best, [*keys, "gt_index"], "left").join(first, keys, "left").withColumn("x", F.coalesce("b", "f"))
     return rows.select(*keys, "gt_index", "gt_start", "gt_end", c("x.pred_index").alias("pred_index"), c("x.pred_start").alias("pred_start"), c("x.pred_end").alias("pred_end"), F.coalesce("x.iou", F.lit(0.0)).alias("iou"))
@@ -76,10 +78,10 @@ def boundary_errors(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumns({"start_abs_error": F.abs(F.col("pred_start") - F.col("gt_start")), "end_abs_error": F.abs(F.col("pred_end") - F.col("gt_end"))})
 
 
-def best_iou_summary(pred: DataFrame, gt: DataFrame, groups: DataFrame, keys: list[str], empty: float | None = 1.0) -> DataFrame:
+def best_iou_summary(pred: DataFrame, gt: DataFrame, groups: DataFrame, keys: list[str], empty: float | None = 1.0, pairs: DataFrame | None = None) -> DataFrame:
     """Per group: mean over true intervals of their best IoU, and the best IoU of any pair. Both lists empty: `empty`;
     one of them empty: 0."""
-    best = best_pred_per_gt(pred, gt, keys).groupBy(*keys).agg(F.avg("iou").alias("m"), F.max("iou").alias("b"), F.count("*").alias("n_gt"))
+    best = best_pred_per_gt(pred, gt, keys, pairs).groupBy(*keys).agg(F.avg("iou").alias("m"), F.max("iou").alias("b"), F.count("*").alias("n_gt"))
     n = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
     rows = groups.select(*keys).join(best, keys, "left").join(n, keys, "left").fillna(0, ["n_gt", "n_pred"])
     nothing = (F.col("n_gt") == 0) & (F.col("n_pred") == 0)
@@ -99,13 +101,14 @@ def f1_of(precision: Column, recall: Column) -> Column:
 
 
 def evaluate_segments(pred: DataFrame, gt: DataFrame, groups: DataFrame, keys: list[str], threshold: float = 0.10, empty: float | None = 1.0) -> DataFrame:
-    """Per group: n_pred, n_gt, tp, fp, fn, precision, recall, f1, matched_mean_iou and the best-IoU summary."""
-    matched = match_segments(pred, gt, keys, threshold).groupBy(*keys).agg(F.count("*").alias("tp"), F.avg("iou").alias("matched_mean_iou"))
+    """Per group: n_pred, n_gt, tp, fp, fn, precision, recall, f1, matched_mean_iou and the best-IoU summary. Overlapping pairs are written once for both."""
+    pairs = Scratch(pred.sparkSession, "pairs").stored(iou_pairs(pred, gt, keys))
+    matched = match_segments(pred, gt, keys, threshold, pairs=pairs).groupBy(*keys).agg(F.count("*").alias("tp"), F.avg("iou").alias("matched_mean_iou"))
     p, g = pred.groupBy(*keys).agg(F.count("*").alias("n_pred")), gt.groupBy(*keys).agg(F.count("*").alias("n_gt"))
     rows = groups.select(*keys).join(p, keys, "left").join(g, keys, "left").join(matched, keys, "left").fillna(0, ["n_pred", "n_gt", "tp"]).fillna(0.0, ["matched_mean_iou"])
     rows = rows.withColumns({"fp": F.col("n_pred") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp"), "precision": ratio(F.col("tp"), F.col("n_pred")), "recall": ratio(F.col("tp"), F.col("n_gt"))})
     rows = rows.withColumn("f1", f1_of(F.col("precision"), F.col("recall")))
-    return rows.join(best_iou_summary(pred, gt, groups, keys, empty), keys)
+    return rows.join(best_iou_summary(pred, gt, groups, keys, empty, pairs), keys)
 
 
 def matched_segments(pred: DataFrame, gt: DataFrame, keys: list[str], threshold: float = 0.10) -> DataFrame:
