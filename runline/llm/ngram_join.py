@@ -395,7 +395,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: s
     whole sequence if it has fewer. Documents whose sets overlap in `percent` of their union are linked; a
     component is named by its smallest id. Texts that are null or have no words have an empty set and no links.
     Repeated rows are equal sets. Rows with a null id are returned with a null component and link nothing. An empty
-    table gives an empty one. Ids are integers; other columns are not read.
+    table gives an empty one. Ids are integers (but the smallest long, which stands for a null id); other columns are not read. A text longer
+    than a chunk is a chunk of its own, whole.
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     scratch = Scratch(spark, "ngrams")

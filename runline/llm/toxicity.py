@@ -265,7 +265,8 @@ def train(
 ) -> Model | None:
     """Learns from rows for which `learn` holds (an expression over the id). The classifier is fitted to posteriors; those of rows with a label are the label
     (`held`), or what their votes say. Samples are taken by hash of the id, bounded by so many toxic, clean and further rows, so they are sent to the tasks that read the texts. Of rows that repeat an id one is
-    learned from (the least text); a label that is null is none. None without a toxic label."""
+    learned from (the least text); a label that is null is none; an id labelled both ways is mined from on both sides, and toxic to the label
+    model. Long texts are read whole, in slices of their own. None without a toxic label."""
     c = F.col
     marked = labels.where(learn & c(label).isNotNull()).select(c(id).alias("own"), c(label).cast("int").alias("label"))
     own = docs.where(learn).select(c(id).alias("id"), c(text).alias("text"))

@@ -57,7 +57,7 @@ def training_order(
     `size` little-endian unsigned 16-bit ids, padded by `end_id`.
 
     Sequences are those of packing. Null or empty texts are `end_id` alone; repeated rows count each; an empty table
-    gives none; other columns are not read.
+    gives none; other columns are not read. Ids are longs, ints or strings; texts of any length are encoded whole, in rows of 2^20 ids.
     """
     encoded = Scratch(spark, "order").stored(packing.encode(docs, id, text, end_id, vocabulary))
     before, total = packing.offsets(encoded)

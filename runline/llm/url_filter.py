@@ -130,7 +130,8 @@ def url_filter(
     """`id`, `host`, `path`, `rule`, `verdict` of each page.
 
     rules: columns `host`, `path`, `action` (block or allow; block wins where one rule has both). A rule fits its host
-    and all subdomains, if the URL's path starts with the rule's; the longest rule (host and path together) wins. A
+    and all subdomains, if the URL's path starts with the rule's; the longest rule (host and path together) wins, of equally long ones the first by
+    host and path in a row. Hosts and paths of any length are read whole. A
     URL with no listed key gets `default`: the cascade has shown that no listed key covers it. Null URLs, and those
     without `://`, have empty host and path and no rule. Repeated pages give repeated rows; no rules, or no pages,
     give `default` throughout, or an empty table. Other columns are not read.
