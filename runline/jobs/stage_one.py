@@ -374,7 +374,7 @@ def segment_iou(spark, sf_dir):
 @query(sql(PRED, GT, PAIRS, f"SELECT {K}, pi AS pred_index, ps AS pred_start, pe AS pred_end, gi AS gt_index, gs AS gt_start, ge AS gt_end, {r('iou', 'iou')} FROM pairs WHERE iou > 0"))
 def iou_pairs(spark, sf_dir):
     _, pred, gt, _ = sides(spark, sf_dir)
-    return matching.iou_pairs(pred, gt, KEYS, bin=64)
+    return matching.iou_pairs(pred, gt, KEYS)
 
 
 @query(sql(PRED, GT, PAIRS, MATCHED, f"SELECT {K}, {r('iou', 'iou')}, pi AS pred_index, gi AS gt_index, ps AS pred_start, pe AS pred_end, gs AS gt_start, ge AS gt_end FROM matched", recursive=True))
