@@ -179,7 +179,11 @@ def counted_phrases(spark: SparkSession, docs: DataFrame, lang: str, text: str,
     known = dictionary.select("lang", "word", F.col("id").cast("long").alias("id"))
     if n_words * 40 <= MOST_SENT:
         known = F.broadcast(known)
-    ids = met.join(known, ["lang", "word"]).select(F.col("chunk").alias("of"), "local", "id")
+
+    def ids_in(rows: DataFrame) -> DataFrame:
+        """At most a row for each of `rows`: a word is in the dictionary once."""
+        return rows.join(known, ["lang", "word"]).select(F.col("chunk").alias("of"), "local", "id")
+
     codes = numbered.where("codes is not null").select("chunk", "codes")
     total = per_lang.agg(F.sum("n")).first()[0] or 0
     ranges = min(MOST_RANGES, max(1, -(-total // RANGE_KEYS)))
@@ -201,7 +205,7 @@ def counted_phrases(spark: SparkSession, docs: DataFrame, lang: str, text: str,
     if ranges > 1:
         some = codes.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(SAMPLED_CHUNKS)
         some = F.broadcast(scratch.stored(some))
-        seen = codes.join(some, "chunk").groupBy("chunk").cogroup(ids.join(some.select(F.col("chunk").alias("of")), "of").groupBy("of")).applyInArrow(sample, "keys binary")
+        seen = codes.join(some, "chunk").groupBy("chunk").cogroup(ids_in(met.join(some, "chunk")).groupBy("of")).applyInArrow(sample, "keys binary")
         seen = [np.frombuffer(r["keys"], np.uint32).reshape(-1, longest) for r in seen.collect()]
         if seen:
             seen = np.concatenate(seen)
@@ -243,7 +247,7 @@ def counted_phrases(spark: SparkSession, docs: DataFrame, lang: str, text: str,
                 sums.append(f[kept])
         return pa.table({"key": pa.array(names, pa.binary()), "k": pa.array(np.concatenate(lengths) if lengths else [], pa.int32()), "f": pa.array(np.concatenate(sums) if sums else [], pa.int64())})
 
-    dealt = codes.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(deal, "range int, n long, keys binary")
+    dealt = codes.groupBy("chunk").cogroup(ids_in(met).groupBy("of")).applyInArrow(deal, "range int, n long, keys binary")
     found = dealt.groupBy("range").applyInArrow(count, "key binary, k int, f long")
     phrases = scratch.stored(found.groupBy("key", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     return phrases, dictionary, per_lang, width

@@ -65,6 +65,36 @@ def test_dictionary_that_is_not_sent(spark, monkeypatch):
     assert {tuple(r) for r in phrases.phrases(spark, frame(spark, docs), least=4, longest=3).collect()} == brute(docs, 4, longest=3)
 
 
+def rows_joined(spark, on, after):
+    """Rows out of the joins on `on`, for each execution from number `after` on that has one."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), {}
+        told = store.executionMetrics(run).iterator() if run >= after else None
+        while told is not None and told.hasNext():
+            pair = told.next()
+            values[pair._1()] = pair._2()
+        for node in (nodes.apply(i) for i in range(nodes.size() if values else 0)):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            if "Join" in node.name() and on in re.sub("#[0-9]+L?", "", node.desc()):
+                out += [int(values.get(m.accumulatorId(), "0").replace(",", "")) for m in metrics if m.name() == "number of output rows"]
+    return out
+
+
+def test_sample_joins_its_own_chunks_alone(spark, monkeypatch):
+    """The bounds' sample joins the words of its chunks to the dictionary, not those of all chunks once more."""
+    for name, value in (("CHUNK_BYTES", 500), ("RANGE_KEYS", 50), ("SAMPLED_CHUNKS", 2)):
+        monkeypatch.setattr(phrases, name, value)
+    docs = made(3)
+    after = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = phrases.phrases(spark, frame(spark, docs), least=5).collect()
+    few, every = sorted(rows_joined(spark, "[lang, word], [lang, word]", after))
+    assert 0 < 5 * few < every
+    assert {tuple(r) for r in got} == brute(docs, 5)
+
+
 def test_no_rows_and_ties(spark):
     assert phrases.phrases(spark, frame(spark, [])).count() == 0
     assert phrases.phrases(spark, frame(spark, [(None, "en")])).count() == 0
