@@ -31,13 +31,14 @@ def encode(docs: DataFrame, id: str, text: str, end_id: int, vocabulary: str) ->
             for own in text_batches(batch, "text"):
                 ids, counts = tokenizer.batch(own.column(1))
                 ends = np.cumsum(counts)
-                with_end = np.insert(ids, ends, end_id).astype("<u2")
+                with_end = np.insert(ids, ends, end_id).astype("<u2", copy=False)
+                del ids
                 counts, ends = counts + 1, ends + np.arange(1, len(counts) + 1)
                 rows = np.repeat(np.arange(len(counts)), -(-counts // ROW_IDS))
                 start = (np.arange(len(rows)) - np.searchsorted(rows, rows)) * ROW_IDS
                 low = (ends - counts)[rows] + start
                 high = np.minimum(low + ROW_IDS, ends[rows])
-                blob = memoryview(with_end.tobytes())
+                blob = memoryview(with_end).cast("B")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(rows), part, np.int32)),

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text encoded at once; a longer text alone.
 BATCH_BYTES = 8 << 20
+#: Pieces whose ids are put in place at once: their places take eight times the bytes of the ids.
+PIECES_AT_ONCE = 1 << 16
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 IRREGULAR = rf"\x20(?:[{_SPACE}]|\z)"
 
@@ -58,13 +60,14 @@ class Ids:
         split = pc.split_pattern(pc.if_else(alone, pa.scalar("", texts.type), texts), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        piece = coded.indices.to_numpy().astype(np.int64)
+        del split
+        piece = coded.indices.to_numpy()
         first = offsets[:-1]  # even an empty text has one piece
         later = np.ones(len(piece), dtype=bool)
         later[first] = False
         # Pieces that a blank comes before: all distinct ones in one text, cut where they begin.
-        present = np.bincount(piece[later], minlength=len(coded.dictionary)) > 0
-        used, piece_later = np.flatnonzero(present), (np.cumsum(present) - 1)[piece[later]]
+        used = np.flatnonzero(np.bincount(piece[later], minlength=len(coded.dictionary)))
+        del later
         spelled = coded.dictionary.take(pa.array(used))
         sizes = pc.binary_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64) + 1 if len(used) else np.zeros(0, np.int64)
         ids = self._joined(spelled) if len(used) else np.zeros(0, np.int64)
@@ -74,13 +77,21 @@ class Ids:
         heads = pc.if_else(alone, texts, coded.dictionary.take(pa.array(piece[first])))
         head_ids = [self.one(t) for t in heads.to_pylist()]
         head_sizes = np.array([len(x) for x in head_ids], dtype=np.int64)
-        pool = np.concatenate((ids, np.array([i for x in head_ids for i in x], dtype=np.int64)))
-        start, size = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
-        start[later], size[later] = cuts[:-1][piece_later], np.diff(cuts)[piece_later]
+        pool = np.concatenate((ids.astype(np.uint16), np.array([i for x in head_ids for i in x], dtype=np.uint16)))
+        # Where each piece's ids begin in the pool, and how many they are.
+        begin_of, size_of = np.zeros((2, len(coded.dictionary)), np.int32)
+        begin_of[used], size_of[used] = cuts[:-1], np.diff(cuts)
+        start, size = begin_of[piece], size_of[piece]
         start[first], size[first] = len(ids) + np.cumsum(head_sizes) - head_sizes, head_sizes
-        ends = np.cumsum(size)
-        at = np.repeat(start - ends + size, size) + np.arange(ends[-1])
-        return pool.astype(np.uint16)[at], ends[offsets[1:] - 1] - (ends[first] - size[first])
+        del coded, piece, heads, head_ids
+        ends = np.insert(np.cumsum(size, dtype=np.int64), 0, 0)
+        out = np.empty(ends[-1], np.uint16)
+        for low in range(0, len(size), PIECES_AT_ONCE):
+            high = min(low + PIECES_AT_ONCE, len(size))
+            at = np.repeat(start[low:high] - ends[low:high], size[low:high])
+            at += np.arange(ends[low], ends[high])
+            out[ends[low] : ends[high]] = pool[at]
+        return out, ends[offsets[1:]] - ends[first]
 
 
 @functools.cache
