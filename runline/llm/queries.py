@@ -93,9 +93,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences as they are read again from the binary shards."""
-    ordered = training_order.training_order(spark, _table(spark, sf_dir, "documents"))
     path = Scratch(spark, "shards").path()
-    training_order.write_shards(ordered, path)
+    training_order.write_order(spark, _table(spark, sf_dir, "documents"), path)
     read = training_order.read_from(spark, path).select("slot", F.crc32("payload").alias("payload_crc32"))
     index = spark.read.parquet(f"{path}/index").select("slot", "sequence_id", "shard", "position", "n_tokens", F.col("ids_of_docs").alias("doc_ids"))
     return index.join(read, "slot")

@@ -51,6 +51,7 @@ def training_order(
     key: int = 20240613,
     shard_size: int = 256,
     partition_bytes: int = 32 << 20,
+    then=None,
 ) -> DataFrame:
     """A row per sequence, in order of `slot` within and across partitions: `slot`, `sequence_id`, `shard`, `position`
     (byte in the shard), `n_tokens`, `ids_of_docs` (documents in the sequence, in order) and `payload`, always
@@ -58,6 +59,7 @@ def training_order(
 
     Sequences are those of packing. Null or empty texts are `end_id` alone; repeated rows count each; an empty table
     gives none; other columns are not read. Ids are longs, ints or strings; texts of any length are encoded whole, in rows of 2^20 ids.
+    `then` takes a partition's batches on in the same task, and gives `stride` in place of `payload`.
     """
     encoded = Scratch(spark, "order").stored(packing.encode(docs, id, text, end_id, vocabulary))
     before, total = packing.offsets(encoded)
@@ -119,7 +121,10 @@ def training_order(
                 schema=schema,
             )
 
-    return dealt.mapInArrow(assemble, f"slot long, sequence_id long, shard long, position long, n_tokens long, ids_of_docs array<{kind}>, payload binary")
+    kinds = f"slot long, sequence_id long, shard long, position long, n_tokens long, ids_of_docs array<{kind}>"
+    if then is not None:
+        return dealt.mapInArrow(lambda batches: then(assemble(batches)), f"{kinds}, stride long")
+    return dealt.mapInArrow(assemble, f"{kinds}, payload binary")
 
 
 def _gathered(batches, rows: int):
@@ -149,17 +154,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(other, f"{path}/{name}")
 
 
-def write_shards(ordered: DataFrame, path: str, shard_size: int = 256, per_folder: int = 1 << 16) -> None:
-    """Files `path/shards/range=<first slot // per_folder>/shard-<number>.bin`: the payloads of a shard's slots, in order, and nothing
-    else; a sequence lies at `position`. Beside them Parquet: `index`, the other columns, and `layout`, a row with the numbers
-    that place a slot.
-
-    ordered: rows of training_order with the same `shard_size`: whole shards in each partition, in order. Tasks write where
-    pyarrow can (shared folders, HDFS, S3, GCS). Fails if `path` has an index already. No rows give no files.
-    """
-    kept = [c for c in ordered.columns if c != "payload"]
-    places = [ordered.columns.index(c) for c in kept]
-    shard_at, payload_at = ordered.columns.index("shard"), ordered.columns.index("payload")
+def _writer(path: str, shard_size: int, per_folder: int):
+    """Writes the shards of a partition's batches, and gives their other columns and `stride`."""
 
     def run(batches):
         shard, parts = None, []
@@ -168,24 +164,47 @@ def write_shards(ordered: DataFrame, path: str, shard_size: int = 256, per_folde
             _put(f"{path}/shards/range={shard * shard_size // per_folder}", _file(shard), b"".join(parts))
 
         for batch in batches:
-            for number, payload in zip(batch.column(shard_at).to_pylist(), batch.column(payload_at).to_pylist(), strict=True):
+            kept = [c for c in batch.schema.names if c != "payload"]
+            payloads = batch.column("payload").to_pylist()
+            for number, payload in zip(batch.column("shard").to_pylist(), payloads, strict=True):
                 if number != shard:
                     if parts:
                         close()
                     shard, parts = number, []
                 parts.append(payload)
-            stride = pa.array([len(x) for x in batch.column(payload_at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], stride], [*kept, "stride"])
+            stride = pa.array([len(x) for x in payloads], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], stride], [*kept, "stride"])
         if parts:
             close()
 
-    kinds = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in kept)
-    ordered.mapInArrow(run, f"{kinds}, stride long").write.mode("errorifexists").parquet(f"{path}/index")
-    index = ordered.sparkSession.read.parquet(f"{path}/index")
+    return run
+
+
+def _write_index(rows: DataFrame, path: str, shard_size: int, per_folder: int) -> None:
+    rows.write.mode("errorifexists").parquet(f"{path}/index")
+    index = rows.sparkSession.read.parquet(f"{path}/index")
     layout = index.agg(F.max("stride").alias("stride"), F.count("*").alias("n_slots"))
     layout.select("stride", "n_slots", F.lit(shard_size).cast("long").alias("shard_size"), F.lit(per_folder).cast("long").alias("per_folder")).write.parquet(f"{path}/layout")
 
 
+def write_shards(ordered: DataFrame, path: str, shard_size: int = 256, per_folder: int = 1 << 16) -> None:
+    """Files `path/shards/range=<first slot // per_folder>/shard-<number>.bin`: the payloads of a shard's slots, in order, and nothing
+    else; a sequence lies at `position`. Beside them Parquet: `index`, the other columns, and `layout`, a row with the numbers
+    that place a slot.
+
+    ordered: rows of training_order with the same `shard_size`: whole shards in each partition, in order. Tasks write where
+    pyarrow can (shared folders, HDFS, S3, GCS). Fails if `path` has an index already. No rows give no files.
+    """
+    kinds = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in ordered.columns if c != "payload")
+    _write_index(ordered.mapInArrow(_writer(path, shard_size, per_folder), f"{kinds}, stride long"), path, shard_size, per_folder)
+
+
+def write_order(spark: SparkSession, docs: DataFrame, path: str, shard_size: int = 256, per_folder: int = 1 << 16, **how) -> None:
+    """write_shards of training_order (`how`: its further arguments). The Python process that puts a partition in order writes it too: no
+    second one per task, and no payload between them."""
+    _write_index(training_order(spark, docs, shard_size=shard_size, then=_writer(path, shard_size, per_folder), **how), path, shard_size, per_folder)
+
+
 def read_from(spark: SparkSession, path: str, slot: int = 0, shard: int | None = None) -> DataFrame:
     """(slot, shard, position, payload) of the sequences from `slot` on (resumed), or of one shard's, cut out of the binary files.
     Only folders that can hold them are read."""
