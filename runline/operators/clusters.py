@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runline.operators import clean, scan
 from runline.operators.candidates import PRIOR, at_rows, prefix_sums
+from runline.sources.scratch import partitions
 
 
 def _join_cluster(state: list[float] | None, center: float, ord: int, radius: int):
@@ -57,20 +59,61 @@ def vote_radius() -> Column:
     return F.greatest(F.lit(5), (F.col("median_len") * F.lit(0.35)).cast("int"))
 
 
-def boundary_votes(members: DataFrame, lengths: DataFrame, fold: list[str], order: str = "row_idx") -> DataFrame:
-    """(cluster, row, start_votes, end_votes): sums of Gaussian votes, only on rows that have any. lengths: `n_rows` of each fold's series."""
-    c = F.col
-    rows = members.join(lengths.select(*fold, "n_rows"), fold).withColumn("_r", vote_radius())
-    weight = F.greatest(F.lit(1e-6), c("confidence") * c("confidence"))
-    sigma = F.greatest(F.lit(1.0), c("_r") / 2)
+#: Rows of a block of votes. Up to so many different ends are added one by one, more of them by a Fourier transform.
+VOTE_BLOCK, ONE_BY_ONE = 1 << 17, 512
+
 
-    def votes(end: str) -> DataFrame:
-        near = F.sequence(F.greatest(F.lit(0), c(end) - c("_r")).cast("long"), F.least(c("n_rows") - 1, c(end) + c("_r")).cast("long"))
-        each = rows.withColumn(order, F.explode(near))
-        return each.select(*fold, "cluster_id", order, (weight * F.exp(F.lit(-0.5) * F.pow((c(order) - c(end)) / sigma, F.lit(2.0)))).alias("_v"))
+def gaussian_votes(at: np.ndarray, weight: np.ndarray, radius: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Votes on the rows first ... first + n - 1 of ends at the rows `at`, each of which votes `radius` rows to either side, and which of the rows have any."""
+    at, same = np.unique(at, return_inverse=True)
+    weight = np.bincount(same, weight)
+    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(1.0, radius / 2)) ** 2)
+    low, high = np.clip(at - radius - first, 0, n), np.clip(at + radius + 1 - first, 0, n)
+    voted = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0
+    if len(at) > ONE_BY_ONE:
+        spread = np.bincount(at - first + radius, weight, n + 2 * radius)
+        size = 1 << (n + 2 * radius).bit_length()
+        total = np.fft.irfft(np.fft.rfft(spread, size) * np.fft.rfft(kernel, size), size)[2 * radius : 2 * radius + n]
+        return np.where(voted, np.maximum(total, 0.0), 0.0), voted
+    total = np.zeros(n)
+    for a, b, w, p in zip(low.tolist(), high.tolist(), weight.tolist(), (first - at + radius).tolist(), strict=True):
+        total[a:b] += w * kernel[a + p : b + p]
+    return total, voted
 
-    both = votes("start").select("*", F.lit(0.0).alias("_w")).unionByName(votes("end").select(*fold, "cluster_id", order, F.lit(0.0).alias("_v"), c("_v").alias("_w")))
-    return both.groupBy(*fold, "cluster_id", order).agg(F.sum("_v").alias("start_votes"), F.sum("_w").alias("end_votes"))
+
+def boundary_votes(members: DataFrame, lengths: DataFrame, fold: list[str], order: str = "row_idx", block: int = VOTE_BLOCK) -> DataFrame:
+    """(cluster, row, start_votes, end_votes): sums of Gaussian votes, only on rows that have any. lengths: `n_rows` of each fold's series.
+
+    What is dealt are the ends, to the blocks of rows that their votes reach; ends at one row are added up first. A vote is no row, so work does not grow
+    with members times the rows that each reaches."""
+    c, spark = F.col, members.sparkSession
+    weight = F.greatest(F.lit(1e-6), c("confidence") * c("confidence"))
+    rows = members.join(lengths.select(*fold, "n_rows"), fold).select(*fold, "cluster_id", "n_rows", vote_radius().alias("_r"), weight.alias("_w"), "start", "end")
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c(end).cast("long").alias("at")) for k, end in enumerate(("start", "end"))]))
+    ends = rows.withColumn("_e", both).groupBy(*fold, "cluster_id", "n_rows", "_r", c("_e.k").alias("_k"), c("_e.at").alias("_at")).agg(F.sum("_w").alias("_w"))
+    reached = F.sequence(F.floor(F.greatest(F.lit(0), c("_at") - c("_r")) / block), F.floor(F.least(c("n_rows") - 1, c("_at") + c("_r")) / block))
+    group = [*fold, "cluster_id", "_block"]
+    dealt = ends.withColumn("_block", F.explode(reached)).repartition(partitions(spark), *group)  # so many tasks, however few rows are dealt
+    schema = f"{', '.join(f'`{k}` {members.schema[k].dataType.simpleString()}' for k in [*fold, 'cluster_id'])}, `{order}` long, start_votes double, end_votes double"
+    names = [*fold, "cluster_id", order, "start_votes", "end_votes"]
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind, at, radius, weight_ = (table.column(x).to_numpy() for x in ("_k", "_at", "_r", "_w"))
+        first = key[-1].as_py() * block
+        n = min(block, table.column("n_rows")[0].as_py() - first)
+        sums, some = np.zeros((2, n)), np.zeros(n, bool)
+        for r in np.unique(radius):
+            for k in (0, 1):
+                mine = (kind == k) & (radius == r)
+                if mine.any():
+                    votes, voted = gaussian_votes(at[mine], weight_[mine], int(r), first, n)
+                    sums[k] += votes
+                    some |= voted
+        found = np.flatnonzero(some)
+        same = [pa.repeat(k, len(found)) for k in key[:-1]]
+        return pa.table([*same, pa.array(first + found), pa.array(sums[0, found]), pa.array(sums[1, found])], names=names)
+
+    return dealt.groupBy(*group).applyInArrow(run, schema)
 
 
 def _normal_votes(votes: DataFrame, lengths: DataFrame, fold: list[str]) -> DataFrame:
