@@ -217,40 +217,72 @@ def split_blob(blobs: DataFrame, points: DataFrame, keys: list[str], max_splits:
     return rows.mapInPandas(run, f"{kinds}, blob_start long, blob_end long, start long, end long, " + ", ".join(f"{p} long" for p in PRIOR))
 
 
-def prefix_sums(signal: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx", block: int = clean.BLOCK) -> DataFrame:
-    """keys, order, the columns, and for each the sum up to and including the row (`s_` + name): sums within blocks of rows, plus
-    those of the blocks before, from a small table (a row per block)."""
-    c = F.col
-    rows = signal.select(*keys, order, *cols).withColumn("_block", F.floor(c(order) / block))
+def rows_within(asked: DataFrame, signal: DataFrame, cols: list[str], keys: list[str], order: str = "row_idx", block: int = clean.BLOCK) -> DataFrame:
+    """`asked` (keys, `_lo`, `_hi`, and what else tells its rows apart) with each row of the signal from `_lo` to `_hi`: its number, its columns `cols`, and for
+    each the sum over the series up to and including the row (`s_` + name).
+
+    The signal is dealt once by blocks of rows, and a question goes to the blocks that it reaches, so none is expanded to rows before they meet. Sums are
+    those within a block, plus those of the blocks before, from a small table (a row per block)."""
+    c, of = F.col, [f"_b_{k}" for k in keys]
+    at = F.floor(c(order) / block)
+    rows = signal.select(*[c(k).alias(o) for k, o in zip(keys, of, strict=True)], at.alias("_at"), c(order).cast("long").alias("_row"), *[c(x).cast("double").alias(f"_v_{x}") for x in cols])
+    some = asked.where("_hi >= 0 and _hi >= _lo")
+    questions = some.withColumn("_block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), c("_lo")) / block), F.floor(c("_hi") / block))))
+    kinds = T.StructType([*questions.schema.fields, T.StructField(order, T.LongType()), *[T.StructField(n, T.DoubleType()) for n in [*cols, *[f"s_{x}" for x in cols]]]])
+    types = to_arrow_schema(kinds)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return types.empty_table()
+        row = left.column("_row").to_numpy()
+        sorted_ = np.argsort(row, kind="stable")
+        row = row[sorted_]
+        first = np.searchsorted(row, right.column("_lo").to_numpy())
+        n = np.searchsorted(row, right.column("_hi").to_numpy(), side="right") - first
+        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+        values = [left.column(f"_v_{x}").fill_null(0.0).to_numpy()[sorted_] for x in cols]
+        told = [pa.array(x[each]) for x in (row, *values, *[np.cumsum(v) for v in values])]
+        return pa.table([*right.take(pa.array(np.repeat(np.arange(len(n)), n))).columns, *told], names=types.names)
+
+    found = rows.groupBy(*of, "_at").cogroup(questions.groupBy(*keys, "_block")).applyInArrow(run, kinds)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(x).alias(f"_t_{x}") for x in cols])
+    totals = signal.groupBy(*keys, at.alias("_block")).agg(*[F.sum(x).alias(f"_t_{x}") for x in cols])
     carried = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0.0)).alias(f"_c_{x}") for x in cols])
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumns({f"_w_{x}": F.sum(x).over(inside) for x in cols}).join(carried, [*keys, "_block"])
-    return summed.select(*keys, order, *[(c(f"_w_{x}") + c(f"_c_{x}")).alias(f"s_{x}") for x in cols], *cols)
+    return found.join(carried, [*keys, "_block"]).select(*asked.columns, order, *cols, *[(c(f"s_{x}") + c(f"_c_{x}")).alias(f"s_{x}") for x in cols])
+
+
+def first_largest(asked: DataFrame, signal: DataFrame, value: str, keys: list[str], order: str = "row_idx", block: int = clean.BLOCK) -> DataFrame:
+    """`asked` (keys, `_lo`, `_hi`, and what else tells its rows apart) with the largest value of the signal between, and the first row that has it, per block of
+    the signal that the question reaches."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
+    names = asked.columns
+
+    def answer(row: np.ndarray, v: np.ndarray, q: dict) -> list[tuple]:
+        k = int(v.argmax())
+        return [(*[q[n] for n in names], int(row[k]), float(v[k]))]
+
+    return _over_blocks(signal, asked, keys, answer, f"{kinds}, `{order}` long, `{value}` double", order, value, block)
 
 
-def at_rows(df: DataFrame, table: DataFrame, rows: dict[str, Column], keys: list[str], names: dict[str, tuple[str, str]], order: str = "row_idx") -> DataFrame:
-    """Looks up columns of `table` at some rows of each interval, all by one join; 0 outside the series.
+def at_rows(df: DataFrame, signal: DataFrame, cols: list[str], rows: dict[str, Column], keys: list[str], names: dict[str, tuple[str, str]], order: str = "row_idx", block: int = clean.BLOCK) -> DataFrame:
+    """Looks up columns of `signal`, and their sums up to a row (`s_` + name), at some rows of each interval; 0 outside the series.
 
     rows: place -> row number, given the interval's start and end (and what its keys fix). names: new column -> (place, column).
     """
     c, interval = F.col, [*keys, "start", "end"]
-    used = list(dict.fromkeys(col for _, col in names.values()))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), v.cast("long").alias("row")) for k, v in rows.items()])).alias("_w")
-    asked = df.select(*interval, wanted).select(*interval, c("_w.place").alias("_place"), c("_w.row").alias(order)).distinct()
-    met = asked.join(table.select(*keys, order, *[c(x).alias(f"_v_{x}") for x in used]), [*keys, order])
-    found = met.groupBy(*interval).agg(*[F.max(F.when(c("_place") == place, c(f"_v_{col}"))).alias(new) for new, (place, col) in names.items()])
+    asked = df.select(*interval, wanted).select(*interval, c("_w.place").alias("_place"), c("_w.row").alias("_lo"), c("_w.row").alias("_hi")).distinct()
+    met = rows_within(asked, signal, cols, keys, order, block)
+    found = met.groupBy(*interval).agg(*[F.max(F.when(c("_place") == place, c(col))).alias(new) for new, (place, col) in names.items()])
     return df.join(found, interval, "left").fillna(0.0, list(names))
 
 
 def segment_confidence(segments: DataFrame, signal: DataFrame, keys: list[str], prob: str = "prob_s", boundary: str = "boundary", order: str = "row_idx") -> DataFrame:
     """Adds `confidence`: 0.58 mean probability + 0.32 mean boundary at both ends + 0.10 (1 - relative distance to the median
-    length, at most 1). Means come from prefix sums: three look-ups per interval, whatever its length, in one join."""
+    length, at most 1). Means come from sums up to a row: three look-ups per interval, whatever its length."""
     c = F.col
-    sums = prefix_sums(signal, [prob, boundary], keys, order)
     out = at_rows(
-        segments, sums, {"before": c("start") - 1, "start": c("start"), "end": c("end")}, keys,
+        segments, signal, [prob, boundary], {"before": c("start") - 1, "start": c("start"), "end": c("end")}, keys,
         {"_before": ("before", f"s_{prob}"), "_upto": ("end", f"s_{prob}"), "_b0": ("start", boundary), "_b1": ("end", boundary)}, order,
     )
     n, m = c("end") - c("start") + 1, F.greatest(c("median_len"), F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runline.operators import clean, scan
-from runline.operators.candidates import PRIOR, at_rows, prefix_sums
+from runline.operators.candidates import PRIOR, at_rows, first_largest, rows_within
 from runline.sources.scratch import partitions
 
 
@@ -139,13 +139,22 @@ def vote_boundaries(stats: DataFrame, votes: DataFrame, signal: DataFrame, lengt
     rows = stats.join(lengths.select(*fold, "n_rows"), fold)
     reach = F.greatest(vote_radius(), (c("median_len") * F.lit(0.75)).cast("int"))
 
-    def best(end: str, median: str) -> DataFrame:
-        near = F.sequence(F.greatest(F.lit(0), c(median) - reach).cast("long"), F.least(c("n_rows") - 1, c(median) + reach).cast("long"))
-        each = rows.select(*fold, "cluster_id", F.explode(near).alias(order)).join(track, [*fold, order]).join(scaled.select(*fold, "cluster_id", order, c(f"{end}_votes").alias("_v")), [*fold, "cluster_id", order], "left")
-        value = F.round(F.lit(0.72) * F.coalesce("_v", F.lit(0.0)) + F.lit(0.28) * c("_g"), 12)
-        return each.groupBy(*fold, "cluster_id").agg((-F.max(F.struct(value.alias("v"), (-c(order)).alias("i")))["i"]).alias(f"_{end}"))
-
-    out = rows.join(best("start", "start_median"), [*fold, "cluster_id"]).join(best("end", "end_median"), [*fold, "cluster_id"])
+    rows = rows.withColumn("_reach", reach)
+    medians = rows.select(*fold, "cluster_id", "n_rows", "start_median", "end_median", "_reach")
+
+    def value(votes: Column) -> Column:
+        return F.round(F.lit(0.72) * votes + F.lit(0.28) * c("_g"), 12)
+
+    # The best row of the boundary alone, and the best of the rows with votes: more votes are never worse, so the better one of both is the best of all.
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c(f"{k}_median").alias("at")) for k in ("start", "end")]))
+    asked = medians.withColumn("_e", ends).select(*fold, "cluster_id", c("_e.k").alias("_end"), F.greatest(F.lit(0), c("_e.at") - c("_reach")).cast("long").alias("_lo"), F.least(c("n_rows") - 1, c("_e.at") + c("_reach")).cast("long").alias("_hi"))
+    plain = first_largest(asked, track, "_g", fold, order).select(*fold, "cluster_id", "_end", value(F.lit(0.0)).alias("_v"), order)
+    near = {k: F.when(F.abs(c(order) - c(f"{k}_median")) <= c("_reach"), c(f"{k}_votes")).alias(f"_{k}_votes") for k in ("start", "end")}
+    voted = scaled.join(medians.drop("n_rows"), [*fold, "cluster_id"]).select(*fold, "cluster_id", order, *near.values()).where("_start_votes is not null or _end_votes is not null").join(track, [*fold, order])
+    voted = voted.select(*fold, "cluster_id", order, *[value(c(f"_{k}_votes")).alias(f"_v_{k}") for k in near])
+    plain = plain.select(*fold, "cluster_id", order, *[F.when(c("_end") == k, c("_v")).alias(f"_v_{k}") for k in near])
+    best = plain.unionByName(voted).groupBy(*fold, "cluster_id").agg(*[(-F.max(F.when(c(f"_v_{k}").isNotNull(), F.struct(c(f"_v_{k}").alias("v"), (-c(order)).alias("i"))))["i"]).alias(f"_{k}") for k in near])
+    out = rows.join(best, [*fold, "cluster_id"])
     reversed_ = c("_end") <= c("_start")
     out = out.withColumn("start", F.when(reversed_, c("start_median")).otherwise(c("_start"))).withColumn("end", F.when(reversed_, c("end_median")).otherwise(c("_end")))
     for limit, bad in (("min_allowed_len", c("end") - c("start") + 1 < c("min_allowed_len")), ("max_allowed_len", c("end") - c("start") + 1 > c("max_allowed_len"))):
@@ -153,7 +162,7 @@ def vote_boundaries(stats: DataFrame, votes: DataFrame, signal: DataFrame, lengt
         out = out.withColumn("_bad", bad).withColumn("_first", first)
         out = out.withColumn("start", F.when(c("_bad"), c("_first")).otherwise(c("start")).cast("long"))
         out = out.withColumn("end", F.when(c("_bad"), F.least(c("n_rows") - 1, c("start") + c(limit) - 1)).otherwise(c("end")).cast("long"))
-    return out.drop("_start", "_end", "_bad", "_first")
+    return out.drop("_start", "_end", "_bad", "_first", "_reach")
 
 
 def _entropy(p: Column) -> Column:
@@ -163,14 +172,13 @@ def _entropy(p: Column) -> Column:
 
 def entropy_gain(segments: DataFrame, signal: DataFrame, lengths: DataFrame, fold: list[str], track: str = "support", order: str = "row_idx") -> DataFrame:
     """Adds `entropy_gain`: binary entropy of the context's mean, less that of inside and outside by size; at least 0. The context
-    is the interval and half a median length on either side. Four prefix sums per interval, in one join."""
+    is the interval and half a median length on either side. Four sums up to a row per interval."""
     c = F.col
-    sums = prefix_sums(signal, [track], fold, order)
     around = F.greatest(F.lit(10), F.rint(F.lit(0.5) * F.greatest(c("median_len"), F.lit(1))).cast("long"))
     out = segments if "n_rows" in segments.columns else segments.join(lengths.select(*fold, "n_rows"), fold)
     out = out.withColumn("_lo", F.greatest(F.lit(0), c("start") - around)).withColumn("_hi", F.least(c("n_rows") - 1, c("end") + around))
     places = {"a": c("_lo") - 1, "b": c("start") - 1, "c": c("end"), "d": c("_hi")}
-    out = at_rows(out, sums, places, fold, {f"_{k}": (k, f"s_{track}") for k in places}, order)
+    out = at_rows(out, signal, [track], places, fold, {f"_{k}": (k, f"s_{track}") for k in places}, order)
     n, inside = c("_hi") - c("_lo") + 1, c("end") - c("start") + 1
     outside = n - inside
     gain = _entropy((c("_d") - c("_a")) / n) - inside / n * _entropy((c("_c") - c("_b")) / inside) - outside / n * _entropy((c("_d") - c("_a") - c("_c") + c("_b")) / outside)
@@ -178,13 +186,13 @@ def entropy_gain(segments: DataFrame, signal: DataFrame, lengths: DataFrame, fol
     return out.withColumn("entropy_gain", value).drop("_lo", "_hi", "_a", "_b", "_c", "_d")
 
 
-def refine_one(start: int, end: int, first: int, n_rows: int, boundary: np.ndarray, support: np.ndarray, median: int, low: int, high: int, radius: int) -> tuple[int, int]:
-    """The best pair of ends near the given ones, on a slice of the tracks that begins at row `first`. All pairs at once."""
+def refine_at(start: int, end: int, n_rows: int, rows: np.ndarray, boundary: np.ndarray, sums: np.ndarray, median: int, low: int, high: int, radius: int) -> tuple[int, int]:
+    """The best pair of ends near the given ones, all pairs at once. rows: the numbers, in order, of those rows that the search needs, with the boundary
+    and the sum of the support up to each; the sum before the first one is 0 if it is not among them."""
     around = max(10, round(0.5 * max(1, median)))
-    sums = np.concatenate(([0.0], np.cumsum(support)))
 
-    def total(a, b):  # rows a..b
-        return sums[b - first + 1] - sums[a - first]
+    def upto(row):
+        return np.where(row < rows[0], 0.0, sums[np.searchsorted(rows, np.maximum(row, rows[0]))])
 
     def entropy(p):
         p = np.clip(p, 1e-9, 1 - 1e-9)
@@ -197,12 +205,12 @@ def refine_one(start: int, end: int, first: int, n_rows: int, boundary: np.ndarr
         return start, end
     a, b, size = a[fits], b[fits], size[fits]
     lo, hi = np.maximum(0, a - around), np.minimum(n_rows - 1, b + around)
-    n, inside = hi - lo + 1, total(a, b)
+    n, inside = hi - lo + 1, upto(b) - upto(a - 1)
     outside = n - size
-    whole = total(lo, hi)
+    whole = upto(hi) - upto(lo - 1)
     gain = entropy(whole / n) - size / n * entropy(inside / size) - outside / n * entropy((whole - inside) / np.maximum(outside, 1))
     gain = np.where((n < 3) | (outside <= 0), 0.0, np.maximum(gain, 0))
-    score = np.round(0.45 * gain + 0.35 * (boundary[a - first] + boundary[b - first]) / 2 + 0.20 * inside / size, 12)
+    score = np.round(0.45 * gain + 0.35 * (boundary[np.searchsorted(rows, a)] + boundary[np.searchsorted(rows, b)]) / 2 + 0.20 * inside / size, 12)
     best = score.argmax()  # scanned by start, then end: the first of equals
     here = np.flatnonzero((a == start) & (b == end))
     if len(here) and score[here[0]] >= score[best]:
@@ -210,33 +218,46 @@ def refine_one(start: int, end: int, first: int, n_rows: int, boundary: np.ndarr
     return int(a[best]), int(b[best])
 
 
+def refine_one(start: int, end: int, first: int, n_rows: int, boundary: np.ndarray, support: np.ndarray, median: int, low: int, high: int, radius: int) -> tuple[int, int]:
+    """`refine_at` on a slice of the tracks that begins at row `first`."""
+    return refine_at(start, end, n_rows, np.arange(first, first + len(support)), boundary, np.cumsum(support), median, low, high, radius)
+
+
 def refine_boundaries(segments: DataFrame, signal: DataFrame, lengths: DataFrame, fold: list[str], radius: int = 50, order: str = "row_idx", boundary: str = "boundary", track: str = "support") -> DataFrame:
     """Moves `start` and `end` within `radius` to the best of 0.45 entropy gain + 0.35 boundary + 0.20 mean support. A group is one
-    cluster with the slice of the tracks that its search can reach."""
+    cluster with the rows that its search reads: those near its ends and those near the ends of its context, where sums up to a row are looked up. So
+    its size does not grow with the cluster's length."""
     c = F.col
     rows = segments if "n_rows" in segments.columns else segments.join(lengths.select(*fold, "n_rows"), fold)
-    reach = radius + F.greatest(F.lit(10), F.rint(F.lit(0.5) * c("median_len")).cast("long")) + 1
-    need = ["start", "end", "n_rows", *PRIOR]
-    near = F.sequence(F.greatest(F.lit(0), c("start") - reach), F.least(c("n_rows") - 1, c("end") + reach))
-    slices = rows.select(*fold, "cluster_id", *need, F.explode(near).alias(order)).join(signal.select(*fold, order, boundary, track), [*fold, order])
-    kinds = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in [*fold, "cluster_id"])
+    around, last = F.greatest(F.lit(10), F.rint(F.lit(0.5) * c("median_len")).cast("long")), c("n_rows") - 1
+    need, name = ["start", "end", "n_rows", *PRIOR], [*fold, "cluster_id"]
+
+    def within(first: Column, end: Column) -> Column:
+        return F.struct(F.greatest(F.lit(0), F.least(last, first)).cast("long").alias("lo"), F.least(last, end).cast("long").alias("hi"))
+
+    shifts = {"start": (-around, F.lit(0)), "end": (F.lit(0), around)}
+    ends = [within(c(k) + by - radius - 1, F.greatest(F.lit(0), c(k) + by + radius)) for k, both in shifts.items() for by in both]
+    short = c("end") - c("start") + 2 * around <= 6 * radius
+    near = F.explode(F.when(short, F.array(within(c("start") - around - radius - 1, c("end") + around + radius))).otherwise(F.array(*ends))).alias("_near")
+    asked = rows.select(*name, *need, near).select(*name, *need, c("_near.lo").alias("_lo"), c("_near.hi").alias("_hi"))
+    read = rows_within(asked, signal, [boundary, track], fold, order).drop("_lo", "_hi", track)
+    kinds = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in name)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
+        part = part.drop_duplicates(order).sort_values(order)
         x = part.iloc[0]
-        a, b = refine_one(int(x["start"]), int(x["end"]), int(x[order]), int(x["n_rows"]), part[boundary].to_numpy(), part[track].to_numpy(), int(x["median_len"]), int(x["min_allowed_len"]), int(x["max_allowed_len"]), radius)
-        return pd.DataFrame([[*[x[k] for k in [*fold, "cluster_id"]], a, b]], columns=[*fold, "cluster_id", "start", "end"])
+        a, b = refine_at(int(x["start"]), int(x["end"]), int(x["n_rows"]), part[order].to_numpy(), part[boundary].to_numpy(), part[f"s_{track}"].to_numpy(), int(x["median_len"]), int(x["min_allowed_len"]), int(x["max_allowed_len"]), radius)
+        return pd.DataFrame([[*[x[k] for k in name], a, b]], columns=[*name, "start", "end"])
 
-    moved = slices.groupBy(*fold, "cluster_id").applyInPandas(run, f"{kinds}, start long, end long")
-    return segments.drop("start", "end").join(moved, [*fold, "cluster_id"])
+    moved = read.groupBy(*name).applyInPandas(run, f"{kinds}, start long, end long")
+    return segments.drop("start", "end").join(moved, name)
 
 
 def cluster_features(segments: DataFrame, signal: DataFrame, lengths: DataFrame, fold: list[str], order: str = "row_idx", boundary: str = "boundary", track: str = "support") -> DataFrame:
     """Adds length, duration_fit, boundary_support, internal_boundary, prob_support, internal_prob and entropy_gain."""
     c = F.col
-    sums = prefix_sums(signal, [boundary, track], fold, order)
     out = at_rows(
-        segments, sums, {"before": c("start") - 1, "start": c("start"), "end": c("end")}, fold,
+        segments, signal, [boundary, track], {"before": c("start") - 1, "start": c("start"), "end": c("end")}, fold,
         {"_b": ("before", f"s_{boundary}"), "_t": ("before", f"s_{track}"), "_b0": ("start", boundary), "_t0": ("start", track),
          "_bb": ("end", f"s_{boundary}"), "_tt": ("end", f"s_{track}"), "_b1": ("end", boundary), "_t1": ("end", track)}, order,
     )

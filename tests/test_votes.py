@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from runline.operators import clusters
+from runline.operators import candidates, clusters
 
 K = ["k"]
 
@@ -80,3 +80,53 @@ def test_votes_are_no_rows(spark):
             at = np.arange(20_000, 23_000) + shift
             near = np.abs(row - at) <= 7000
             assert abs(got[row][place] - (0.25 * np.exp(-0.5 * ((row - at[near]) / sigma) ** 2)).sum()) < 1e-9
+
+
+def tracks(spark, n, seed=9):
+    rng = np.random.default_rng(seed)
+    boundary, support = rng.random(n).round(2), rng.random(n)
+    frame = spark.createDataFrame([(1, i, float(b), float(s)) for i, (b, s) in enumerate(zip(boundary, support, strict=True))], "k int, row_idx long, boundary double, support double")
+    return boundary, support, frame, spark.createDataFrame([(1, n)], "k int, n_rows long")
+
+
+CLUSTERS = "k int, cluster_id int, start long, `end` long, median_len long, min_allowed_len long, max_allowed_len long"
+
+
+@pytest.mark.parametrize("block", [7, 64, 50_000])
+def test_rows_within_blocks(spark, block):
+    boundary, support, signal, _ = tracks(spark, 100)
+    asked = spark.createDataFrame([(1, "a", -1, -1), (1, "b", 0, 0), (1, "c", 60, 75), (1, "d", 90, 120), (1, "e", 5, 4)], "k int, name string, _lo long, _hi long")
+    got = {(r.name, r.row_idx): r for r in candidates.rows_within(asked, signal, ["boundary", "support"], K, block=block).collect()}
+    assert sorted(got) == [("b", 0), *[("c", i) for i in range(60, 76)], *[("d", i) for i in range(90, 100)]]
+    for (_, row), r in got.items():
+        assert r.boundary == boundary[row] and r.support == support[row]
+        assert abs(r.s_boundary - boundary[: row + 1].sum()) < 1e-9 and abs(r.s_support - support[: row + 1].sum()) < 1e-9
+
+
+def test_refined_and_voted_without_rows_of_clusters(spark):
+    """Clusters of 20,000 and fewer rows: the same ends as on the whole tracks, and no cluster is expanded to its rows."""
+    n = 30_000
+    boundary, support, signal, lengths = tracks(spark, n)
+    rows = [(1, 1, 4000, 24_000, 20_000, 100, 40_000), (1, 2, 40, 80, 60, 20, 200), (1, 3, 29_900, 29_990, 60, 18, 5000), (1, 4, 0, 29_999, 20_000, 18, 40_000), (1, 5, 29_990, 29_999, 60, 5000, 6000)]
+    after = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.cluster_id: (r.start, r.end) for r in clusters.refine_boundaries(spark.createDataFrame(rows, CLUSTERS), signal, lengths, K).collect()}
+    assert rows_generated(spark, after) < 200
+    assert got == {r[1]: clusters.refine_one(r[2], r[3], 0, n, boundary, support, r[4], r[5], r[6], 50) for r in rows}
+
+    stats = spark.createDataFrame([(*r, float(r[2] + r[3]) / 2) for r in rows], f"{CLUSTERS}, center_mean double").withColumnsRenamed({"start": "start_median", "end": "end_median"})
+    votes = [(1, c, i, float((i * 7) % 5), float((i * 11) % 3)) for c, at in ((1, 4000), (2, 60), (3, 29_900)) for i in range(at - 30, at + 30)]
+    after = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    voted = clusters.vote_boundaries(stats, spark.createDataFrame(votes, "k int, cluster_id int, row_idx long, start_votes double, end_votes double"), signal, lengths, K).collect()
+    assert rows_generated(spark, after) < 200
+    for r in voted:
+        reach, ends = max(5, int(r.median_len * 0.35), int(r.median_len * 0.75)), []
+        for place, median in ((3, r.start_median), (4, r.end_median)):
+            value = np.zeros(n)
+            mine = [v for v in votes if v[1] == r.cluster_id]
+            for v in mine:
+                value[v[2]] = v[place] / max(x[place] for x in mine)
+            lo = max(0, median - reach)
+            ends.append(lo + int(np.round(0.72 * value + 0.28 * boundary, 12)[lo : median + reach + 1].argmax()))
+        start, end = ends if ends[1] > ends[0] else (r.start_median, r.end_median)
+        if r.min_allowed_len <= end - start + 1 <= r.max_allowed_len:
+            assert (r.start, r.end) == (start, end)
