@@ -151,10 +151,12 @@ class PhaseChain:
     @cached_property
     def summary(self) -> DataFrame:
         """Counts, scores and lengths allowed of each fold."""
-        scored = matching.evaluate_segments(self.final, self.truth, self.groups, KEYS, empty=self.p.empty_iou)
-        rows = report.row_metrics(self.final, self.truth, self.lengths, KEYS)
-        auc = report.row_auc(self.rows.withColumn("p", F.round("program_physical", 9)), "p", "target_phase2", KEYS)
-        clustered = self.members.groupBy(K).agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count("*").alias("n_candidates"))
-        texts = [intervals.interval_text(x, self.groups, KEYS, n) for x, n in ((self.truth, "gt_intervals"), (self.final, "pred_intervals"))]
-        out = report.fold_summary(scored, rows, auc, matching.boundary_errors(self.final, self.truth, KEYS), *texts, KEYS)
+        stored = self.scratch.stored  # a row per fold each; one plan of all of them would be too large for the driver
+        scored = stored(matching.evaluate_segments(self.final, self.truth, self.groups, KEYS, empty=self.p.empty_iou))
+        rows = stored(report.row_metrics(self.final, self.truth, self.lengths, KEYS))
+        auc = stored(report.row_auc(self.rows.withColumn("p", F.round("program_physical", 9)), "p", "target_phase2", KEYS))
+        clustered = stored(self.members.groupBy(K).agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count("*").alias("n_candidates")))
+        texts = [stored(intervals.interval_text(x, self.groups, KEYS, n)) for x, n in ((self.truth, "gt_intervals"), (self.final, "pred_intervals"))]
+        errors = stored(matching.boundary_errors(self.final, self.truth, KEYS))
+        out = report.fold_summary(scored, rows, auc, errors, *texts, KEYS)
         return out.join(clustered, K, "left").fillna(0, ["n_clusters", "n_candidates"]).join(self.prior.select(K, *candidates.PRIOR), K)

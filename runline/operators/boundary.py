@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runline.operators import clean, temporal
+from runline.sources.scratch import Scratch
 
 
 def branch_boundary_signals(df: DataFrame, branches: dict[str, tuple[list[str], float]], keys: list[str], order: str = "row_idx", inner: int = 9, outer: int = 7, block: int = clean.BLOCK) -> DataFrame:
     """keys, order, and a signal per branch (name: sensors, weight of jumps). Per present sensor (1 - jump) x normalised smoothed
     |difference| + jump x normalised changes, summed, smoothed, normalised. Sensors that the table lacks are skipped. What a
-    sensor gives is computed once for all branches; all windows are over blocks with a halo."""
+    sensor gives is computed once for all branches; all windows are over blocks with a halo. What is normalised is read twice, so it is written first."""
     c, present = F.col, [x for x in dict.fromkeys(x for sensors, _ in branches.values() for x in sensors) if x in df.columns]
     rows = clean.clean_numeric(df.select(*keys, order, *present), present, keys, order, block)
     spread = temporal.in_blocks(rows, keys, inner // 2 + outer // 2 + 2, order, block)
@@ -22,7 +23,8 @@ def branch_boundary_signals(df: DataFrame, branches: dict[str, tuple[list[str],
         *[temporal.change_flag(x, part, order).alias(f"j_{x}") for x in present],
     )
     smoothed = steps.withColumns({f"d_{x}": temporal.running_mean(f"d_{x}", inner, part, order) for x in present}) if inner > 1 else steps
-    scaled = clean.minmax_normalise(smoothed, [f"{k}_{x}" for x in present for k in "dj"], keys, c("_own")) if present else smoothed
+    scratch = Scratch(df.sparkSession, "signals")
+    scaled = clean.minmax_normalise(scratch.stored(smoothed), [f"{k}_{x}" for x in present for k in "dj"], keys, c("_own")) if present else smoothed
 
     def total(sensors: list[str], jump: float) -> Column:
         out = F.lit(0.0)
@@ -33,7 +35,7 @@ def branch_boundary_signals(df: DataFrame, branches: dict[str, tuple[list[str],
 
     summed = scaled.select(*part, order, "_own", *[total(*spec).alias(f"_{b}") for b, spec in branches.items()])
     out = summed.withColumns({b: temporal.running_mean(f"_{b}", outer, part, order) if outer > 1 else c(f"_{b}") for b in branches}).where("_own")
-    return clean.minmax_normalise(out.select(*keys, order, *branches), list(branches), keys)
+    return clean.minmax_normalise(scratch.stored(out.select(*keys, order, *branches)), list(branches), keys)
 
 
 def branch_boundary_signal(df: DataFrame, sensors: list[str], jump: float, keys: list[str], order: str = "row_idx", name: str = "boundary", inner: int = 9, outer: int = 7, block: int = clean.BLOCK) -> DataFrame:

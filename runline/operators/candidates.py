@@ -298,7 +298,7 @@ def generate_candidates(
     but for the threshold. settings: further columns that tell how the blobs were made, alike for all."""
     own = [k for k in keys if k in signal.columns]
     points = candidate_split_points(blobs, signal, keys, quantile, value=boundary, order=order)
-    pieces = split_blob(blobs, points, keys)
+    pieces = Scratch(blobs.sparkSession, "pieces").stored(split_blob(blobs, points, keys))  # read twice
     scored = segment_confidence(pieces, signal, own, prob, boundary, order)
     n = F.col("end") - F.col("start") + 1
     return scored.select(*keys, "start", "end", n.alias("length"), ((F.col("start") + F.col("end")) / 2).alias("center"), "confidence", *PRIOR, *[F.lit(v).alias(n) for n, v in (settings or {}).items()])
